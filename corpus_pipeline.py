@@ -1,17 +1,73 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: drop what is poor or in no known language, keep one document
+of each group of near-duplicates, take out secrets, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from adjudica.llm import langid, packing, quality, secrets, simhash
+from adjudica.llm.common import staged, table
+from adjudica.llm.queries import remainder, tokenizer
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts 1 for. Where nothing is labelled, nothing is rejected."""
+    labels = table(spark, sf_dir, "labels").filter(remainder(4) != 2)
+    model = quality.fit(docs, labels)
+    if not model.tables:
+        return docs
+    return quality.scored(docs, model, names=("_score", "_predicted")).filter("_predicted = 1").select(docs.columns)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a margin that isn't narrow."""
+    dictionaries = langid.fit(docs.filter(remainder(3) != 1))
+    return langid.identified(docs, dictionaries, names=("_lang", "_score", "_reliable")).filter("_reliable").select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates, in one row even if its row is repeated.
+
+    Rows without an id, which no group can name, stay.
+    """
+    found = simhash.near_duplicates(docs)
+    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.filter("doc_id is not null").join(others, "doc_id", "left_anti").withColumn("_copy", copy).filter("_copy = 1")
+    return kept.select(docs.columns).unionAll(docs.filter("doc_id is null"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars counted anew."""
+    clean = secrets.redact(docs, secrets.train(secrets.samples(spark)))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
 
-STAGES = []
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_language),
+    ("near_duplicates", keep_one_of_each_group),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
 #: The stages learn models and merge tokens, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The packed pieces of all documents that the stages keep; each stage's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
