@@ -108,7 +108,7 @@ def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float,
     return score
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = 256, length: int = 16, share: float = 0.1, least: int = 400, size: int = 16384, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = 256, length: int = 96, share: float = 0.12, least: int = 600, size: int = 16384, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the *k* largest inner products found, in double precision.
 
     *pivots* bounds the sample of pivots, *length* is that of a permutation, *size* that of a segment; of each

@@ -66,7 +66,7 @@ def test_recall(spark):
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     found = {}
-    for r in nearest(df, least=200).collect():
+    for r in nearest(df).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     hits = total = 0
     for q in np.flatnonzero(ids % 20 == 0):
