@@ -1,19 +1,381 @@
-"""The registered queries."""
+"""The registered queries, each over whole tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import decisions as d
+from ..functions import text as t
+from ..kernels import hdc
+from ..kernels.rules import Rule, RuleClass
+from ..kernels.text import Config
+from ..operators import decide, graphs, hypervectors, lexicon, rules, tokens
+from ..sources import journal
+from . import delivery, oracles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EVENT_TYPES = 5
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- gate -------------------------------------------------------------------------------------------------------------
+
+
+def _event_evidence(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
+    """(user_id, option, c): how often each event type, in byte order, occurs to a user, in thousandths of the most frequent or of all."""
+    events = table(spark, sf_dir, "events")
+    options = decide.candidate_options(events.select("event_type").distinct(), [], "event_type")
+    n = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    whole = n.groupBy("user_id").agg((F.max("n") if of == "max" else F.sum("n")).alias("whole"))
+    return n.join(whole, "user_id").join(F.broadcast(options), "event_type").select("user_id", "option", F.expr("cast(1000 * n div whole as int)").alias("c"))
+
+
+def _gate(spark: SparkSession, sf_dir: str, profile: str, of: str = "max") -> DataFrame:
+    scored = decide.dense(decide.score(_event_evidence(spark, sf_dir, of), ["user_id"]), ["user_id"], EVENT_TYPES)
+    return decide.flat(decide.decide(scored, profile))
+
+
+@query
+def gate_fast(spark, sf_dir):
+    return _gate(spark, sf_dir, "fast")
+
+
+@query
+def gate_standard(spark, sf_dir):
+    return _gate(spark, sf_dir, "standard")
+
+
+@query
+def gate_deep(spark, sf_dir):
+    return _gate(spark, sf_dir, "deep")
+
+
+@query
+def gate_low_confidence(spark, sf_dir):
+    return _gate(spark, sf_dir, "deep", "sum")
+
+
+@query
+def noul_gate(spark, sf_dir):
+    """Yes or no per customer: is most of what they ordered urgent?"""
+    orders = table(spark, sf_dir, "orders")
+    urgent = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)
+    n = orders.groupBy("o_custkey").agg(F.sum(urgent).alias("yes"), F.count("*").alias("n"))
+    scored = n.select("o_custkey", F.array(F.expr("cast(1000 * (n - yes) div n as int)"), F.expr("cast(1000 * yes div n as int)")).alias("scores"))
+    return decide.flat(decide.decide(scored, "deep", "noul"))
+
+
+@query
+def score_gate(spark, sf_dir):
+    """A priority level per customer."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("option"))
+    n = orders.groupBy("o_custkey", "option").agg(F.count("*").alias("n"))
+    most = n.groupBy("o_custkey").agg(F.max("n").alias("most"))
+    scored = n.join(most, "o_custkey").select("o_custkey", "option", F.expr("cast(1000 * n div most as int)").alias("c"))
+    return decide.flat(decide.decide(decide.dense(scored, ["o_custkey"], 5), "standard", "score"))
+
+
+@query
+def sum_scorer(spark, sf_dir):
+    """Saturating sums of evidence, less a penalty for each error event."""
+    events = table(spark, sf_dir, "events")
+    evidence = events.select("user_id", F.pmod("event_id", F.lit(4)).cast("int").alias("option"), F.lit(40).alias("c"))
+    summed = decide.score(evidence, ["user_id"], scorer="sum")
+    off = events.filter("event_id % 10 = 0").select("user_id", F.pmod("event_id", F.lit(4)).cast("int").alias("option"), F.lit(25).alias("c"))
+    return decide.subtract(summed, off, ["user_id"])
+
+
+@query
+def raise_to(spark, sf_dir):
+    """The strongest evidence per user and option."""
+    events = table(spark, sf_dir, "events")
+    evidence = events.select("user_id", F.pmod("event_id", F.lit(4)).cast("int").alias("option"), F.floor(F.col("value")).cast("int").alias("c"))
+    return decide.score(evidence, ["user_id"])
+
+
+@query
+def candidate_chosen(spark, sf_dir):
+    """For each customer, the order status that stands out among all of theirs."""
+    orders = table(spark, sf_dir, "orders")
+    n = orders.groupBy("o_custkey", F.col("o_orderstatus").alias("candidate")).agg(F.count("*").alias("n"))
+    most = n.groupBy("o_custkey").agg(F.max("n").alias("most"))
+    return decide.choose(n.join(most, "o_custkey").select("o_custkey", "candidate", F.expr("cast(1000 * n div most as int)").alias("c")), ["o_custkey"])
+
+
+# --- arbitration ------------------------------------------------------------------------------------------------------
+
+LEVELS, WEIGHTS = [800, 1000, 300], [[1000, 200, 0, 500, 100], [100, 950, 1000, 300, 0], [0, 0, 900, 1000, 1000]]
+
+
+def _arbitrated(spark, sf_dir, incumbent):
+    scored = decide.dense(_event_evidence(spark, sf_dir, "max"), ["user_id"], EVENT_TYPES)
+    if incumbent:
+        scored = scored.withColumn("incumbent", F.pmod("user_id", F.lit(EVENT_TYPES)).cast("int"))
+    out = decide.arbitrate(scored, LEVELS, WEIGHTS, "incumbent" if incumbent else None)
+    a = F.col("answer")
+    return out.select("user_id", F.array_join("urges", ",").alias("urges"), F.array_join("dominant", ",", "-").alias("dominant"), "persisted", "bonus", a["answer"].alias("answer"), a["option"].alias("option"), a["confidence"].alias("confidence"), "winner_drive")
+
+
+@query
+def arbitrate(spark, sf_dir):
+    return _arbitrated(spark, sf_dir, False)
+
+
+@query
+def arbitrate_incumbent(spark, sf_dir):
+    return _arbitrated(spark, sf_dir, True)
+
+
+# --- text -------------------------------------------------------------------------------------------------------------
+
+
+@query
+def canonical_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.canonical(F.col("text")).alias("canonical"))
+
+
+@query
+def canonical_documents(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").select("doc_id", t.normalized(F.col("text"), Config(punct="collapse")).alias("n"))
+    kinds = F.array_join(F.transform("n.protected", lambda p: F.concat_ws(":", p["kind"], p["span"]["start"], p["span"]["end"])), ",")
+    return n.select("doc_id", F.sha2("n.canonical", 256).alias("canonical_sha256"), F.size("n.tokens").alias("n_tokens"), "n.sentences", kinds.alias("protected"))
+
+
+@query
+def sentence_counts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens.sentence_count(t.canonical(F.col("text"))).alias("sentences"))
+
+
+@query
+def protected_urls(spark, sf_dir):
+    n = table(spark, sf_dir, "pages").select("page_id", t.normalized(F.col("url")).alias("n"))
+    return n.select("page_id", F.transform("n.protected", lambda p: p["kind"])[0].alias("kind"), F.size("n.protected").alias("n"))
+
+
+# --- lexicon ----------------------------------------------------------------------------------------------------------
+
+PHRASES = ["the", "of the", "in the", "then", "no", "and the", "on the a"]
+
+
+def _words(spark, sf_dir):
+    return tokens.plain_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def lexicon_phrases(spark, sf_dir):
+    hits = lexicon.phrase_hits(_words(spark, sf_dir), lexicon.terms_table(spark, PHRASES))
+    return hits.groupBy("doc", "term").agg(F.count("*").alias("n"))
+
+
+@query
+def lexicon_greedy(spark, sf_dir):
+    hits = lexicon.without_overlaps(lexicon.phrase_hits(_words(spark, sf_dir), lexicon.terms_table(spark, PHRASES)))
+    return hits.groupBy("doc", "term").agg(F.count("*").alias("n"))
+
+
+@query
+def lexicon_substrings(spark, sf_dir):
+    return lexicon.substring_hits(_words(spark, sf_dir), lexicon.terms_table(spark, ["tionan", "ering", "there", "ungen", "mente"]))
+
+
+@query
+def lexicon_repairs(spark, sf_dir):
+    return lexicon.repairs(_words(spark, sf_dir), ["there", "hearing", "stan", "einheit", "theory"], ["then"])
+
+
+@query
+def lexicon_lookup(spark, sf_dir):
+    """The whole scan, greedy and with repairs, over messages."""
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.lexicon_lookup(F.col("text"), delivery.classifier().lexicon).alias("f"))
+    # the lexicon collapses runs of marks, as its texts must
+    return found.select("conv_id", "turn", F.array_join(F.transform("f.hits", lambda h: F.concat_ws(":", h["term"], h["kind"], h["span"]["start"])), ",").alias("hits"), F.size("f.flags").alias("flags"))
+
+
+@query
+def overlap_candidates(spark, sf_dir):
+    """The benchmark item whose words a document has, if one stands out."""
+    items = tokens.plain_tokens(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("doc", "candidate")
+    return decide.choose(lexicon.overlaps(_words(spark, sf_dir), items), ["doc"], "deep")
+
+
+# --- rules ------------------------------------------------------------------------------------------------------------
+
+CLASSES = [RuleClass("article", "sum"), RuleClass("action", "max")]
+RULES = [
+    Rule("a.the", "article", "the", 300), Rule("a.of_the", "article", "of the", 400), Rule("a.the_word_of", "article", "the {word} of", 450), Rule("b.gerund", "action", "the {gerund}", 700), Rule("b.ing", "action", "{gerund} of", 650, forbids=("negation",)),
+    Rule("b.and", "action", "and", 500, forbids=("negation",)), Rule("b.is", "action", "is", 350, requires=("negation",)),
+]
+RULE_NEGATORS = ["no", "in the"]
+
+
+def _matches(spark, sf_dir):
+    return rules.matches(_words(spark, sf_dir), rules.rules_table(spark, RULES), RULE_NEGATORS, 3)
+
+
+@query
+def rule_matches(spark, sf_dir):
+    return _matches(spark, sf_dir).groupBy("doc", "rule", "status").agg(F.count("*").alias("n"), F.sum("effective").cast("long").alias("effective"))
+
+
+@query
+def rule_class_scores(spark, sf_dir):
+    return rules.class_scores(_matches(spark, sf_dir), CLASSES, spark)
+
+
+@query
+def rule_decisions(spark, sf_dir):
+    scores = decide.dense(rules.class_scores(_matches(spark, sf_dir), CLASSES, spark), ["doc"], len(CLASSES))
+    return decide.flat(decide.decide(scores, "deep"))
+
+
+@query
+def classifier_decide(spark, sf_dir):
+    """The flagship: each message's decision by the compiled classifier."""
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.classified(F.col("text"), delivery.classifier(), F.lit("standard")).alias("d"))
+    return made.select("conv_id", "turn", "d.answer", "d.option", "d.label", "d.confidence", F.col("d.why.kind").alias("why"), d.ranked_text(F.col("d.ranked")).alias("ranked"), "d.data_version", F.size("d.trail").alias("steps"))
+
+
+# --- journal ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def journal_round_trip(spark, sf_dir):
+    """Decide, write as journal lines, parse, replay: every record must come out the same."""
+    c = delivery.classifier()
+    made = table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("text"), F.lit("deep").alias("profile")).withColumn("d", t.classified(F.col("text"), c, F.col("profile")))
+    entries = journal.parsed(journal.lines(made, F.col("text"), F.col("profile"), F.col("d.json")))
+    return journal.check(entries, c).groupBy("error", "check.same").agg(F.count("*").alias("n"))
+
+
+@query
+def decision_diff(spark, sf_dir):
+    return journal.difference(_gate(spark, sf_dir, "standard"), _gate(spark, sf_dir, "deep"), "user_id", ["answer", "chosen", "why"])
+
+
+# --- hypervectors -----------------------------------------------------------------------------------------------------
+
+NAMESPACE = "parts"
+
+
+def _parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").withColumn("vector", hypervectors.encode(F.col("p_name"), NAMESPACE))
+
+
+@query
+def hdc_seed(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", hypervectors.seed(F.col("p_name"), NAMESPACE).alias("seed"))
+
+
+@query
+def hdc_encode(spark, sf_dir):
+    return _parts(spark, sf_dir).select("p_partkey", F.col("vector")[0].alias("first_word"), F.col("vector")[15].alias("last_word"), F.aggregate("vector", F.lit(0), lambda s, x: s + F.bit_count(x)).alias("ones"))
+
+
+@query
+def hdc_nearest(spark, sf_dir):
+    """The brand whose hypervector is most like a part's name's."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")).distinct().withColumn("vector", hypervectors.encode(F.col("id"), NAMESPACE))
+    return hypervectors.nearest(_parts(spark, sf_dir).select("p_partkey", "vector"), brands, "p_partkey")
+
+
+@query
+def hdc_bind(spark, sf_dir):
+    """A name bound with its brand: as far from either as chance has it, and freed again by binding once more."""
+    p = _parts(spark, sf_dir).withColumn("brand", hypervectors.encode(F.col("p_brand"), NAMESPACE)).withColumn("bound", d.bind(F.col("vector"), F.col("brand")))
+    return p.select("p_partkey", d.similarity(F.col("bound"), F.col("vector"), 1024).alias("to_name"), d.hamming(d.bind(F.col("bound"), F.col("brand")), F.col("vector")).alias("left_over"), d.similarity(d.negate(F.col("vector")), F.col("vector"), 1024).alias("to_negative"))
+
+
+@query
+def hdc_bundle(spark, sf_dir):
+    """Each brand's bundle of names, and how like the bundle its names are on the whole."""
+    p = _parts(spark, sf_dir)
+    bundles = hypervectors.bundle(p, ["p_brand"]).withColumnRenamed("vector", "bundle")
+    return p.join(bundles, "p_brand").groupBy("p_brand").agg(F.sum(d.similarity(F.col("vector"), F.col("bundle"), 1024)).cast("long").alias("similarity"), F.count("*").alias("n"))
+
+
+@query
+def hdc_decode(spark, sf_dir):
+    """What event types a user's weighted sum is made of."""
+    events = table(spark, sf_dir, "events")
+    ids = sorted(r[0] for r in events.select("event_type").distinct().collect())  # options: a handful
+    weights = events.groupBy("user_id", "event_type").agg(F.count("*").alias("w")).withColumn("vector", hypervectors.encode(F.col("event_type"), "events"))
+    total = hypervectors.sums(weights, ["user_id"], weight="w")
+    return hypervectors.decode(total, ids, hdc.encode([hdc.seed("events", i) for i in ids]), "user_id", 3, 100)
+
+
+@query
+def hdc_resonate(spark, sf_dir):
+    """Each pair of a region's and a nation's name, recovered from their binding."""
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions, nations = sorted(r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()), sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_name").collect())
+    book = lambda ids: (ids, hdc.encode([hdc.seed("geo", i) for i in ids]))
+    bound = both.withColumn("vector", d.bind(hypervectors.encode(F.col("r_name"), "geo"), hypervectors.encode(F.col("n_name"), "geo")))
+    return hypervectors.resonate(bound, book(regions), book(nations), "n_nationkey")
+
+
+# --- graphs -----------------------------------------------------------------------------------------------------------
+
+
+def _trade(spark, sf_dir):
+    """Nations, their customers and suppliers, and orders; nodes are numbered by kind."""
+    number = lambda kind, c: (F.col(c).cast("long") * 4 + kind).alias("v")
+    nation, customer, supplier, orders = (table(spark, sf_dir, x) for x in ("nation", "customer", "supplier", "orders"))
+    nodes = nation.select(number(0, "n_nationkey"), F.lit(0).alias("label")).unionAll(customer.select(number(1, "c_custkey"), F.lit(1))).unionAll(supplier.select(number(2, "s_suppkey"), F.lit(2))).unionAll(orders.select(number(3, "o_orderkey"), F.lit(3)))
+    edge = lambda df, k, a, m, b, directed: df.select(number(k, a).alias("a"), number(m, b).alias("b"), F.lit(None).cast("long").alias("label"), F.lit(directed).alias("directed"))
+    edges = edge(customer, 1, "c_custkey", 0, "c_nationkey", False).unionAll(edge(supplier, 2, "s_suppkey", 0, "s_nationkey", False)).unionAll(edge(orders, 3, "o_orderkey", 1, "o_custkey", True))
+    return nodes, edges
+
+
+@query
+def wl_colours(spark, sf_dir):
+    """The partition of the trade graph after two rounds."""
+    nodes, edges = _trade(spark, sf_dir)
+    return graphs.partition(graphs.refine(nodes, graphs.adjacency(edges), 2))
+
+
+@query
+def wl_stable_classes(spark, sf_dir):
+    """Sizes of the classes that no further round splits."""
+    nodes, edges = _trade(spark, sf_dir)
+    stable = graphs.partition(graphs.refine(nodes, graphs.adjacency(edges), None))
+    return stable.groupBy("class").agg(F.count("*").alias("n"))
+
+
+def _chains(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("v"), F.when(F.col("role") == "user", 1).otherwise(2).cast("long").alias("label"))
+    edges = turns.select("g", F.col("v").alias("a"), F.lead("v").over(Window.partitionBy("g").orderBy("v")).alias("b"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("directed")).filter("b is not null")
+    return turns.dropDuplicates(["g", "v"]), edges
+
+
+@query
+def wl_fingerprints(spark, sf_dir):
+    """A fingerprint per conversation's chain of turns; equal ones have the same shape."""
+    return graphs.refine_each(*_chains(spark, sf_dir))
+
+
+@query
+def spd_wl_fingerprints(spark, sf_dir):
+    return graphs.refine_each(*_chains(spark, sf_dir), mode="spd")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return classifier_decide(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql(PHRASES, LEVELS, WEIGHTS)
