@@ -109,7 +109,7 @@ bytes as (
 seeded as (
     select p_partkey, p_name, p_brand, symbol, list_reduce([cast(x as uhugeint) for x in b], lambda h, x: cast(xor(h, x) * 1099511628211 % 18446744073709551616 as uhugeint), cast(14695981039346656037 as uhugeint)) as seed from bytes)"""
 STREAM = """
-z0 as (select *, [cast((seed + (i + 1) * cast(11400714819323198485 as uhugeint)) % cast(18446744073709551616 as uhugeint) as uhugeint) for i in range(16)] as z from seeded),
+z0 as (select *, [cast((seed + cast(i + 1 as uhugeint) * cast(11400714819323198485 as uhugeint)) % cast(18446744073709551616 as uhugeint) as uhugeint) for i in range(16)] as z from seeded),
 z1 as (select * replace ([xor(x, x >> 30) * cast(13787848793156543929 as uhugeint) % cast(18446744073709551616 as uhugeint) for x in z] as z) from z0),
 z2 as (select * replace ([xor(x, x >> 27) * cast(10723151780598845931 as uhugeint) % cast(18446744073709551616 as uhugeint) for x in z] as z) from z1),
 vectors as (select p_partkey, p_name, p_brand, symbol, [cast(xor(x, x >> 31) as ubigint) for x in z] as v from z2)"""
