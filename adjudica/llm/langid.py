@@ -38,6 +38,9 @@ class Identifier:
     #: Short matches count: words of a language share syllables more than whole words.
     SEARCH = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 5, "min_match": 4, "target_length": 64}
 
+    #: Texts of fewer bytes than SHORT, which zstandard would store as they are, follow a LEAD of known text.
+    SHORT, LEAD = 256, 512
+
     def __init__(self, dictionaries: dict[str, bytes], part: int = 1024):
         import zstandard
 
@@ -47,13 +50,17 @@ class Identifier:
         for lang, content in dictionaries.items():
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=search)
-            self.coders.append((lang, zstandard.ZstdCompressor(compression_params=search, dict_data=held)))
+            coder = zstandard.ZstdCompressor(compression_params=search, dict_data=held)
+            lead = content[-self.LEAD :]
+            self.coders.append((lang, coder, lead, len(coder.compress(lead))))
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
         """(bytes, language), smallest first; equal sizes in the order of the languages."""
         raw = text.lower().encode("utf-8", "replace")
+        if len(raw) < self.SHORT:
+            return sorted((max(1, len(c.compress(lead + raw)) - alone), lang) for lang, c, lead, alone in self.coders)
         parts = [raw[s : s + self.part] for s in range(0, len(raw), self.part)]
-        return sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in self.coders)
+        return sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c, _, _ in self.coders)
 
     def identify(self, text: str | None) -> tuple[str, float]:
         """(language, score from 0 to 1): the score grows with the next language's relative excess m, as m / (m + 0.02)."""
