@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,10 +30,11 @@ def _record(t: str | None, config: kernel.Config, skeletons: dict[str, str]) ->
         n = kernel.normalize(t, config, skeletons)
     except kernel.TooLong:
         return {"refused": True, "canonical": None, "sentences": None, "protected": None, "tokens": None}
-    at = [0]
-    for c in n.canonical:
-        at.append(at[-1] + len(c.encode("utf-8", "surrogatepass")))
-    tokens = [{"pos": i, "text": x.text, "start": at[x.start], "end": at[x.end], "span": _span(x.span), "zone": x.zone, "sentence": x.sentence, "confusable": x.confusable, "skeleton": x.skeleton} for i, x in enumerate(n.tokens)]
+    if n.canonical.isascii():
+        at = range(len(n.canonical) + 1)
+    else:
+        at = list(itertools.accumulate((1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in n.canonical), initial=0))
+    tokens = [(i, x.text, at[x.start], at[x.end], x.span, x.zone, x.sentence, x.confusable, x.skeleton) for i, x in enumerate(n.tokens)]
     return {"refused": False, "canonical": n.canonical, "sentences": n.sentences, "protected": [{"kind": k, "start": at[a], "end": at[b], "span": _span(s)} for k, a, b, s in n.protected], "tokens": tokens}
 
 

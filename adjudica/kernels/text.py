@@ -8,6 +8,8 @@ run of marks it was collapsed from.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -46,7 +48,7 @@ class Config:
         return f"{ALGORITHM_TAG};fold={self.fold};punct={self.punct}"
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Token:
     text: str
     start: int  # canonical characters
@@ -92,8 +94,6 @@ class Normalized:
         offsets = [0]
         for c in self.canonical:
             offsets.append(offsets[-1] + len(c.encode("utf-8", "surrogatepass")))
-        import bisect
-
         start = min(max(start, 0), offsets[-1])
         end = max(start, min(end, offsets[-1]))
         if start == end:
@@ -123,10 +123,7 @@ def _starts_chunk(c: str) -> bool:
 
 def _composed(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     """NFC, with the byte range of the original for each of its characters, and whether it was left as it was."""
-    sizes = [len(c.encode("utf-8", "surrogatepass")) for c in text] if not text.isascii() else [1] * len(text)
-    at = [0]
-    for n in sizes:
-        at.append(at[-1] + n)
+    at = list(range(len(text) + 1)) if text.isascii() else list(itertools.accumulate((1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text), initial=0))
     if unicodedata.is_normalized("NFC", text):
         return text, at[:-1], at[1:], [True] * len(text)
     out, lows, highs, same = [], [], [], []
@@ -151,6 +148,7 @@ def _composed(text: str) -> tuple[str, list[int], list[int], list[bool]]:
 _URL = regex.compile(r"(?i:https?|ftp|file)://|(?i:www)\.")
 _PATH = regex.compile(r"~/|\.\.?/")
 _NUMBER = regex.compile(r"[vV]?[0-9]+(?:\.[0-9]+)+")
+_NOTABLE = regex.compile(r"[/\\]|(?i:www)\.|[0-9]\.[0-9]")  # in every URL, path and number
 _TRAILING, _LEADING = ".,;:!?)]}'\">", "([<{"
 
 
@@ -186,6 +184,8 @@ def protected_spans(text: str) -> list[tuple[int, int, str]]:
             if not clash(s, e):
                 taken.append((s, e, kind))
                 at = e
+    if not _NOTABLE.search(text):
+        return sorted(taken)
     for m in regex.finditer(r"\P{White_Space}+", text):
         raw = m[0]
         end = m.start() + len(raw.rstrip(_TRAILING))
@@ -228,10 +228,16 @@ def skeleton(word: str, table: dict[str, str]) -> str:
     return unicodedata.normalize("NFD", "".join(table.get(c, c) for c in unicodedata.normalize("NFD", word)))
 
 
+#: Accented Latin letters keep their accents in a skeleton and are Latin: no word of these alone with ASCII looks like another.
+_LATIN = frozenset(c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) > 1 and c not in "ŀĿŉ") | frozenset(map(chr, range(0x21, 0x7F)))
+
+
 def look_alike(word: str, table: dict[str, str]) -> tuple[str | None, str | None]:
     """(MixedScript or Homoglyph or None, ASCII skeleton or None)."""
     if word.isascii():
         return None, None
+    if all(c in _LATIN for c in word):
+        return None, None
     s = skeleton(word, table)
     plain = s if s.isascii() and s != word else None
     if not single_script(word):
@@ -239,6 +245,15 @@ def look_alike(word: str, table: dict[str, str]) -> tuple[str | None, str | None
     return ("Homoglyph", plain) if plain is not None else (None, None)
 
 
+_RUN = regex.compile(r"(?P<space>\p{White_Space}+)|(?P<word>\P{White_Space}+)")
+_WIDE = regex.compile(r"\p{White_Space}{2,}")
+_DOUBLED = regex.compile(r"([!-/:-@\[-`{-~])\1")
+
+
+def _one_to_one(c: str, low: str) -> bool:
+    return c.lower() == low
+
+
 # --- the whole --------------------------------------------------------------------------------------------------------
 
 
@@ -260,53 +275,98 @@ def normalize(text: str, config: Config = Config(), skeletons: dict[str, str] =
         raise TooLong(size)
     nfc, lows, highs, same = _composed(text)
     n = Normalized(text, config)
-    out: list[str] = []
-    exact: list[bool] = []
-
-    def put(chars: str, first: int, last: int, verbatim: bool) -> None:
-        out.extend(chars)
+    out: list[str] = []  # pieces
+    length, verbatim = 0, True  # characters so far; whether the last one is as it was
+
+    def put(chars: str, first: int, last: int) -> None:
+        """One canonical piece that stands for NFC characters first..last as a whole."""
+        nonlocal length
+        out.append(chars)
+        length += len(chars)
         n.lows.extend([lows[first]] * len(chars))
         n.highs.extend([highs[last]] * len(chars))
-        exact.extend([verbatim and same[first]] * len(chars))
+
+    def copy(chars: str, first: int) -> None:
+        """Characters that stand for one NFC character each."""
+        nonlocal length
+        out.append(chars)
+        length += len(chars)
+        n.lows.extend(lows[first : first + len(chars)])
+        n.highs.extend(highs[first : first + len(chars)])
 
     gap: tuple[int, int] | None = None
-    spans, i, mark = iter(protected_spans(nfc)), 0, None
-    upcoming = next(spans, None)
-    while i < len(nfc):
-        c = nfc[i]
-        guarded = upcoming is not None and upcoming[0] == i
-        if not guarded and _SPACE.match(c):
-            gap, mark = (gap[0] if gap else i, i), None
-            i += 1
-            continue
-        if gap:
-            if out:
-                put(" ", *gap, nfc[gap[0] : gap[1] + 1] == " ")
-            gap = None
-        if guarded:
-            start, end, kind = upcoming
-            first = len(out)
-            for j in range(start, end):
-                put(nfc[j], j, j, True)
-            n.protected.append((kind, first, len(out), n.span(first, len(out))))
-            i, mark, upcoming = end, None, next(spans, None)
-            continue
-        if config.punct == "collapse" and c in _ASCII_MARK and c == mark:
-            n.highs[-1], exact[-1] = highs[i], False
-        else:
-            mark = c if c in _ASCII_MARK else None
-            low = lower(c, config.fold)
-            put(low, i, i, low == c)
-        i += 1
+
+    def close_gap() -> None:
+        nonlocal gap
+        if gap and length:
+            put(" ", *gap)
+        gap = None
+
+    def free(start: int, end: int) -> None:
+        """Text outside spans: stretches without wide gaps at once where each character becomes one, else word by word."""
+        nonlocal gap, verbatim
+        while start < end:
+            wide = _WIDE.search(nfc, start, end)
+            stop = wide.start() if wide else end
+            s, e = start, stop
+            while s < e and _SPACE.match(nfc[s]):
+                s += 1
+            while s < e and _SPACE.match(nfc[e - 1]):
+                e -= 1
+            core = nfc[s:e]
+            if core and "Σ" not in core and (config.fold == "unicode_lower" or core.isascii()) and (config.punct == "keep" or not _DOUBLED.search(core)) and len(low := core.lower()) == len(core) and (core.isascii() or all(map(_one_to_one, core, low))):
+                words(start, s)
+                close_gap()
+                copy(_SPACE.sub(" ", low), s)
+                verbatim = low[-1] == core[-1] and same[e - 1]
+                words(e, stop)
+            else:
+                words(start, stop)
+            start = wide.end() if wide else end
+            if wide:
+                words(wide.start(), start)
+
+    def words(start: int, end: int) -> None:
+        nonlocal gap, verbatim
+        for m in _RUN.finditer(nfc, start, end):
+            s, e = m.span()
+            if m.lastgroup == "space":
+                gap = (gap[0] if gap else s, e - 1)
+                continue
+            close_gap()
+            word = m[0]
+            low = word.lower() if config.fold == "unicode_lower" or word.isascii() else "".join(lower(c, config.fold) for c in word)
+            plain = len(low) == len(word) and "Σ" not in word and (config.punct == "keep" or not _DOUBLED.search(word))
+            if plain and (word.isascii() or all(map(_one_to_one, word, low))):
+                copy(low, s)
+                verbatim = low[-1] == word[-1] and same[e - 1]
+                continue
+            mark = None
+            for i, c in enumerate(word, s):
+                if config.punct == "collapse" and c == mark:
+                    n.highs[-1], verbatim = highs[i], False
+                    continue
+                mark = c if c in _ASCII_MARK else None
+                made = lower(c, config.fold)
+                put(made, i, i)
+                verbatim = made == c and same[i]
+
+    at = 0
+    for start, end, kind in protected_spans(nfc):
+        free(at, start)
+        close_gap()
+        first = length
+        copy(nfc[start:end], start)
+        n.protected.append((kind, first, length, n.span(first, length)))
+        at, verbatim = end, same[end - 1]
+    free(at, len(nfc))
     n.canonical = "".join(out)
-    n.exact_end = not exact or exact[-1]
+    n.exact_end = verbatim
     _tokenize(n, skeletons)
     return n
 
 
 def _tokenize(n: Normalized, skeletons: dict[str, str]) -> None:
-    import bisect
-
     starts = sentence_starts(n.canonical)
     n.sentences = len(starts)
     ends = [p[2] for p in n.protected]
@@ -315,10 +375,15 @@ def _tokenize(n: Normalized, skeletons: dict[str, str]) -> None:
         bounds.insert(0, 0)
     if bounds[-1] != len(n.canonical):
         bounds.append(len(n.canonical))
+    sentence, upcoming, lows, highs = 0, 1, n.lows, n.highs
     for s, e in zip(bounds, bounds[1:]):
         word = n.canonical[s:e]
-        if not _WORDLIKE.search(word):
+        if not word.isalnum() and not _WORDLIKE.search(word):
             continue
-        k = bisect.bisect_right(ends, s)
-        zone = n.protected[k][0] if k < len(ends) and n.protected[k][1] < e else None
-        n.tokens.append(Token(word, s, e, n.span(s, e), zone, bisect.bisect_right(starts, s) - 1, *look_alike(word, skeletons)))
+        while upcoming < len(starts) and starts[upcoming] <= s:
+            sentence, upcoming = upcoming, upcoming + 1
+        zone = None
+        if ends:
+            k = bisect.bisect_right(ends, s)
+            zone = n.protected[k][0] if k < len(ends) and n.protected[k][1] < e else None
+        n.tokens.append(Token(word, s, e, (lows[s], highs[e - 1]), zone, sentence, *((None, None) if word.isascii() else look_alike(word, skeletons))))

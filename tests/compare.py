@@ -43,7 +43,7 @@ if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     names = sys.argv[2:] or [n for n in e.queries() if not n.startswith("op") and n != "pipeline"]
     os.environ["PYTHONPATH"] = sys.path[0]
-    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{os.environ.get('CPUS', '3')}]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     for n in names:
         began = time.time()
