@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 PROFILE = {"fast": (850, 200), "standard": (750, 150), "deep": (650, 100)}
 
 EVIDENCE = """
@@ -133,6 +135,10 @@ select v, min(v) over (partition by colour) as class from c2"""
 def sql(terms: list[str], levels: list[int], weights: list[list[int]]) -> dict[str, str]:
     names = {"seed": f"with {SEED.format(name='p_name')} select p_partkey, {SIGNED.format(x='seed')} as seed from seeded"}
     vectors = f"with {SEED.format(name='p_name')}, {STREAM}"
+    named = f"{SEED.format(name='p_name')}, {STREAM}"
+    branded = re.sub(r"\b(raw|bytes|seeded|z0|z1|z2|vectors)\b", r"\1_b", f"{SEED.format(name='p_brand')}, {STREAM}")
+    both = f"with {named}, {branded}"
+    apart = "list_sum(list_transform(list_zip({a}, {b}), lambda x: bit_count(xor(x[1], x[2]))))"
     standard, deep = (f"select * from ({events_gate(p)})" for p in ("standard", "deep"))
     customers = """
 counted as (select o_custkey, option, count(*) as n from (select o_custkey, cast(substr(o_orderpriority, 1, 1) as integer) - 1 as option from orders) group by all),
@@ -192,5 +198,19 @@ select * from (
     from a full join b on a.user_id = b.user_id) where answer_changed or chosen_changed or why_changed or only_before or only_after""",
         "hdc_seed": names["seed"],
         "hdc_encode": f"{vectors} select p_partkey, {SIGNED.format(x='v[1]')} as first_word, {SIGNED.format(x='v[16]')} as last_word, cast(list_sum([bit_count(x) for x in v]) as integer) as ones from vectors",
+        "hdc_nearest": f"""
+{both}, book as (select symbol as id, any_value(v) as bv from vectors_b group by symbol),
+sims as (select p_partkey, id, cast((1024 - 2 * {apart.format(a="v", b="bv")}) * 1000 // 1024 as integer) as sim from vectors cross join book),
+ordered as (select *, row_number() over (partition by p_partkey order by sim desc, id) as r from sims)
+select p_partkey, max(case when r = 1 then id end) as id, max(case when r = 1 then sim end) as similarity, cast(least(1000, max(case when r = 1 then sim end) - max(case when r = 2 then sim end)) as integer) as margin
+from ordered group by p_partkey""",
+        "hdc_bind": f"""
+{both}, bound as (select a.p_partkey, a.v, b.v as bv, list_transform(list_zip(a.v, b.v), lambda x: xor(x[1], x[2])) as w from vectors a join vectors_b b using (p_partkey))
+select p_partkey, cast((1024 - 2 * {apart.format(a="w", b="v")}) * 1000 // 1024 as integer) as to_name, cast({apart.format(a="list_transform(list_zip(w, bv), lambda x: xor(x[1], x[2]))", b="v")} as integer) as left_over, -1000 as to_negative from bound""",
+        "hdc_bundle": f"""
+with {named}, bits as (select p_partkey, p_brand, w, b, cast((v[w + 1] >> b) & 1 as integer) as bit from vectors cross join range(16) t(w) cross join range(64) u(b)),
+bundles as (select p_brand, w, b, case when sum(1 - 2 * bit) < 0 then 1 else 0 end as bit from bits group by all),
+likeness as (select p_partkey, bits.p_brand, (1024 - 2 * count(*) filter (bits.bit <> bundles.bit)) * 1000 // 1024 as s from bits join bundles using (p_brand, w, b) group by all)
+select p_brand, cast(sum(s) as bigint) as similarity, count(*) as n from likeness group by p_brand""",
         "wl_colours": WL,
     }
