@@ -24,9 +24,11 @@ def fit(labelled: DataFrame, size: int = 65536, rows: int = 96, longest: int = 4
     a hash of the text; of a longer text *longest* characters go in. Rows without a language or text are passed over.
     """
     t = F.col(text)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy((F.length("t") > longest) | (F.length("t") < 200), F.xxhash64("t"), "t"))
-    usable = labelled.filter(F.col(lang).isNotNull() & t.isNotNull() & (F.length(t) > 0)).select(F.col(lang).alias("lang"), t.alias("t"))
-    sample = usable.withColumn("r", rank).filter(F.col("r") <= rows).select("lang", "r", F.substring("t", 1, longest).alias("t"))
+    usable = labelled.filter(F.col(lang).isNotNull() & t.isNotNull() & (F.length(t) > 0))
+    # only what the sample can hold of a text is shuffled
+    short = usable.select(F.col(lang).alias("lang"), ((F.length(t) > longest) | (F.length(t) < 200)).alias("odd"), F.xxhash64(t).alias("h"), F.substring(t, 1, longest).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h", "t"))
+    sample = short.withColumn("r", rank).filter(F.col("r") <= rows).select("lang", "r", "t")
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.collect():
         texts.setdefault(r.lang, []).append((r.r, r.t))
@@ -86,5 +88,5 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], least: float = 0
         for texts in batches:
             yield pd.DataFrame([known.identify(t) for t in texts], columns=["lang_pred", "score"])
 
-    both = docs.withColumn("_found", found(F.col(text)))
-    return both.withColumns({names[0]: F.col("_found.lang_pred"), names[1]: F.col("_found.score"), names[2]: F.col("_found.score") >= least}).drop("_found")
+    both = docs.withColumn("__adjudica_found", found(F.col(text)))
+    return both.withColumns({names[0]: F.col("__adjudica_found.lang_pred"), names[1]: F.col("__adjudica_found.score"), names[2]: F.col("__adjudica_found.score") >= least}).drop("__adjudica_found")

@@ -119,7 +119,7 @@ def _ratio(run: Column, models: Models) -> Column:
 
 
 def scan(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
-    """*docs* with a column _spans, array<struct<start, rank, end>>: all spans by start, then kind (see KINDS).
+    """*docs* with a column __adjudica_spans, array<struct<start, rank, end>>: all spans by start, then kind (see KINDS).
 
     Base spans are always there; a random run adds one unless a base span overlaps it. A null or empty text has no
     spans, whole texts are scanned whatever their length, repeated rows each.
@@ -130,9 +130,9 @@ def scan(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     assigned = F.filter(F.when(t.rlike(ASSIGN), F.zip_with(_spans(t, ASSIGN, 0), values, lambda s, v: F.struct(s["start"], s["rank"], s["end"], (F.length(v) >= 6).alias("long")))), lambda s: s["long"])
     base = F.concat(F.coalesce(F.transform(assigned, bare), F.expr(f"cast(array() as {_SPAN})")), F.transform(_spans(t, ACCESS, 1), bare), F.transform(_spans(t, HEX, 2), bare))
     runs = F.filter(_spans(t, RUN, 3), lambda r: (_ratio(r["found"], models) >= models.least * (F.length(r["found"]) - 1)))
-    first = docs.withColumn("_base", base).withColumn("_runs", F.transform(runs, bare))
-    added = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return first.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_base", "_runs")
+    first = docs.withColumn("__adjudica_base", base).withColumn("__adjudica_runs", F.transform(runs, bare))
+    added = F.filter("__adjudica_runs", lambda r: ~F.exists("__adjudica_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    return first.withColumn("__adjudica_spans", F.array_sort(F.concat("__adjudica_base", added))).drop("__adjudica_base", "__adjudica_runs")
 
 
 def _joined(spans: Column) -> Column:
@@ -143,14 +143,14 @@ def _joined(spans: Column) -> Column:
 def report(docs: DataFrame, models: Models, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of *docs*: key, n_assign, n_access, n_hex, base_sha256, spans. Other columns are not read; a null key stays null."""
     found = scan(docs.select(F.col(key), F.col(text).alias("_text")), models, "_text")
-    count = lambda rank: F.size(F.filter("_spans", lambda s: s["rank"] == rank)).cast("long")
-    return found.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.filter("_spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+    count = lambda rank: F.size(F.filter("__adjudica_spans", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.filter("__adjudica_spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), _joined(F.col("__adjudica_spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, models: Models, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """*docs* with each stretch that spans cover, alone or overlapping, replaced by *mark*; a null text stays null."""
     found = scan(docs, models, text)
-    spans = F.col("_spans")
+    spans = F.col("__adjudica_spans")
     # the text between covered stretches: from the furthest end so far to the next start beyond it
     none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("gaps"))
     walk = F.aggregate(
@@ -159,4 +159,4 @@ def redact(docs: DataFrame, models: Models, text: str = "text", mark: str = "[se
         lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when((x["start"] >= s["at"]) & ((x["start"] > s["at"]) | (F.size(s["gaps"]) == 0)), F.array_append(s["gaps"], F.struct(s["at"].alias("a"), x["start"].alias("b")))).otherwise(s["gaps"]).alias("gaps")),
     )
     kept = F.concat(F.array_join(F.transform(walk["gaps"], lambda g: F.concat(F.substring(text, g["a"] + 1, g["b"] - g["a"]), F.lit(mark))), ""), F.substring(text, walk["at"] + 1, F.lit(2**31 - 1)))
-    return found.withColumn(text, F.when(F.size(spans) > 0, kept).otherwise(F.col(text))).drop("_spans")
+    return found.withColumn(text, F.when(F.size(spans) > 0, kept).otherwise(F.col(text))).drop("__adjudica_spans")

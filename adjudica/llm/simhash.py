@@ -32,6 +32,7 @@ SEED = 42
 GOLAY_LOW, GOLAY_HIGH, HAMMING = (0, 23, 0b110001110101, 3), (23, 23, 0b110001110101, 3), (46, 15, 0b10011, 1)
 COARSE, FINE = (GOLAY_LOW, GOLAY_HIGH), (GOLAY_LOW, GOLAY_HIGH, HAMMING)
 _WORDS_AT_ONCE = 1 << 16
+MANY = 1 << 27
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -209,7 +210,11 @@ def links(firsts: DataFrame, most: int = 3, limit: int = 50_000) -> DataFrame:
     """(a, b): links between the ids *first* of distinct fingerprints *fp* that connect all that differ in at most *most* (0 to 3) bits.
 
     An anchor's rows are held together up to *limit* of them (24 bytes each); anchors with more are done over by the finer code.
+    The coarse code has 2**24 anchors; beyond MANY fingerprints the finer one (2**35 anchors) is used from the start, so that
+    anchors stay small. Either finds the same links.
     """
+    if firsts.count() > MANY:
+        return _met(firsts, FINE, None, most, "met").select("a", "b")
     coarse = _met(firsts, COARSE, limit, most, "met")
     dense = coarse.filter("passed_on").select(F.col("a").alias("fp"), F.col("b").alias("first")).distinct()
     found = coarse.filter("not passed_on").select("a", "b")

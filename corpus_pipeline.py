@@ -21,13 +21,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.fit(docs, labels)
     if not model.tables:
         return docs
-    return quality.scored(docs, model, names=("_score", "_predicted")).filter("_predicted = 1").select(docs.columns)
+    return quality.scored(docs, model, names=("__score", "__predicted")).filter("__predicted = 1").select(docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin that isn't narrow."""
     dictionaries = langid.fit(docs.filter(remainder(3) != 1))
-    return langid.identified(docs, dictionaries, names=("_lang", "_score", "_reliable")).filter("_reliable").select(docs.columns)
+    return langid.identified(docs, dictionaries, names=("__lang", "__score", "__reliable")).filter("__reliable").select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = simhash.near_duplicates(docs)
     others = found.filter("doc_id <> component_id").select("doc_id").distinct()
     copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.filter("doc_id is not null").join(others, "doc_id", "left_anti").withColumn("_copy", copy).filter("_copy = 1")
+    kept = docs.filter("doc_id is not null").join(others, "doc_id", "left_anti").withColumn("__copy", copy).filter("__copy = 1")
     return kept.select(docs.columns).unionAll(docs.filter("doc_id is null"))
 
 
