@@ -86,16 +86,24 @@ def bundle(df: DataFrame, keys: list[str], vector: str = "vector", dim: int = 10
     return sums(df, keys, vector, None, dim).withColumn("vector", signs(F.col("sums"))).drop("sums")
 
 
+BLOCK = 4096  # codebook entries that one row holds: 512 KB at 1024 dimensions
+
+
 def nearest(queries: DataFrame, book: DataFrame, key: str, dim: int = 1024, floor: int = -1000) -> DataFrame:
     """(key, id, similarity, margin): for each query the entry of a codebook (id, vector) that is most like it, if that reaches *floor*.
 
-    Codebooks are specification-sized (their entries are one broadcast row), so every query sees all entries without a
-    shuffle. Of equal entries the first id wins; a single entry's runner-up counts as -1000.
+    The codebook is dealt to blocks of about BLOCK entries, each one row; a query meets each block and keeps its two best of it. A
+    codebook of one block (the usual case) needs no shuffle of the queries. Of equal entries the first id wins; a single
+    entry's runner-up counts as -1000. Keys are taken to be unique.
     """
-    entries = book.select("id", "vector").groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("_book"))
-    faced = queries.crossJoin(F.broadcast(entries))  # one row
-    sims = F.transform("_book", lambda e, i: F.struct((-similarity(F.col("vector"), e["vector"], dim)).alias("s"), i.alias("i"), e["id"].alias("id")))
-    best = faced.withColumn("_two", F.slice(F.array_sort(sims), 1, 2)).withColumn("similarity", -F.col("_two")[0]["s"])
+    blocks = max(1, -(-book.count() // BLOCK))
+    entries = book.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_g")).groupBy("_g").agg(F.collect_list(F.struct("id", "vector")).alias("_book"))
+    sent = queries.select(key, "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_g"))
+    sims = F.transform("_book", lambda e: F.struct((-similarity(F.col("vector"), e["vector"], dim)).alias("s"), e["id"].alias("id")))
+    best = sent.join(entries, "_g").select(key, F.slice(F.array_sort(sims), 1, 2).alias("_two"))
+    if blocks > 1:
+        best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_two"))), 1, 2).alias("_two"))
+    best = best.withColumn("similarity", -F.col("_two")[0]["s"])
     margin = F.least(F.lit(1000), F.col("similarity") - F.coalesce(-F.get(F.col("_two"), F.lit(1))["s"], F.lit(-1000)))
     return best.filter(F.col("similarity") >= floor).select(key, F.col("_two")[0]["id"].alias("id"), F.col("similarity").cast("int").alias("similarity"), margin.cast("int").alias("margin"))
 

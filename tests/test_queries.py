@@ -96,6 +96,10 @@ def test_hypervectors_equal_kernel(spark):
     for r in near:
         i, sim, margin = hdc.nearest(book[int(r.s[1:])], book[[int(x[1:]) for x in ids]])
         assert (r.id, r.similarity, r.margin) == (ids[i], sim, margin)
+    hypervectors.BLOCK = 4
+    again = hypervectors.nearest(df.select("s", "vector"), df.select(F.col("s").alias("id"), "vector").filter("id < 's15'"), "s").collect()
+    hypervectors.BLOCK = 4096
+    assert sorted(near) == sorted(again)
     assert df.select(hypervectors.permute(F.col("vector"), 70).alias("p")).first().p == hdc.permute(book[0], 70).view("i8").tolist()
     assert df.select(fd.component(F.col("vector"), 5, 1024)).first()[0] == hdc.signs(book[0])[5]
 
