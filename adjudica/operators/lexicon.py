@@ -16,12 +16,17 @@ def terms_table(spark: SparkSession, terms: list[str]) -> DataFrame:
 def phrase_hits(tokens: DataFrame, terms: DataFrame, widest: int = 3) -> DataFrame:
     """(doc, sentence, pos, term, width): for each token the longest term that its sentence goes on with from there.
 
-    Phrases are slices of a sentence's word array, so one shuffle by sentence serves all widths; the terms are broadcast.
+    One shuffle by sentence: the words after a token come by lead(), and only at adjoining positions (a protected token, which has no
+    row, parts its neighbours); the terms are broadcast.
     """
-    sentences = tokens.groupBy("doc", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))
-    at = sentences.select("doc", "sentence", "ws", F.posexplode("ws").alias("i", "w"))
-    grams = F.filter(F.transform(F.sequence(F.lit(1), F.lit(widest)), lambda n: F.when(F.col("i") + n <= F.size("ws"), F.struct(n.alias("width"), F.array_join(F.transform(F.slice("ws", F.col("i") + 1, n), lambda x: x["word"]), " ").alias("term")))), lambda g: g.isNotNull())
-    each = at.select("doc", "sentence", F.col("w.pos").alias("pos"), F.inline(grams))
+    by = Window.partitionBy("doc", "sentence").orderBy("pos")
+    after = [(F.lead("word", k).over(by), F.lead("pos", k).over(by)) for k in range(1, widest)]
+    wide = tokens.select("doc", "sentence", F.col("pos").cast("int").alias("pos"), "word", *(w.alias(f"w{k}") for k, (w, _) in enumerate(after, 1)), *(p.alias(f"p{k}") for k, (_, p) in enumerate(after, 1)))
+    grams = [F.struct(F.lit(1).alias("width"), F.col("word").alias("term"))]
+    for k in range(1, widest):
+        words = F.concat_ws(" ", "word", *(f"w{i}" for i in range(1, k + 1)))
+        grams.append(F.struct(F.lit(k + 1).alias("width"), F.when(F.col(f"p{k}") == F.col("pos") + k, words).alias("term")))
+    each = wide.select("doc", "sentence", "pos", F.inline(F.array(*grams)))
     met = each.join(F.broadcast(terms.select("term")), "term")
     best = F.max(F.struct("width", "term")).alias("b")
     return met.groupBy("doc", "sentence", "pos").agg(best).select("doc", "sentence", "pos", "b.term", "b.width")
@@ -30,17 +35,19 @@ def phrase_hits(tokens: DataFrame, terms: DataFrame, widest: int = 3) -> DataFra
 def without_overlaps(hits: DataFrame) -> DataFrame:
     """Hits from left to right such that none starts within one that was kept.
 
-    A hit is at most three tokens wide, so what is kept only depends on the two positions before: a fold over a
-    sentence's sorted hits.
+    Hits that overlap, directly or over others, form an island; whether a hit is kept only depends on its island, so each is folded by itself.
     """
+    by = Window.partitionBy("doc", "sentence").orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("width")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    starts = hits.withColumn("_new", F.when(F.col("pos") >= F.coalesce(reach, F.lit(-1)), 1).otherwise(0))
+    islands = starts.withColumn("_island", F.sum("_new").over(by)).groupBy("doc", "sentence", "_island").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "width"))).alias("hs"))
     state = "struct<free:int,kept:array<struct<pos:int,term:string,width:int>>>"
-    sentences = hits.groupBy("doc", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "width"))).alias("hs"))
     walked = F.aggregate(
         "hs",
         F.expr(f"cast(struct(0, array()) as {state})"),
         lambda s, h: F.when(h["pos"] >= s["free"], F.struct((h["pos"] + h["width"]).alias("free"), F.array_append(s["kept"], h).alias("kept"))).otherwise(s).cast(state),
     )
-    return sentences.select("doc", "sentence", F.inline(walked["kept"]))
+    return islands.select("doc", "sentence", F.inline(walked["kept"]))
 
 
 def substring_hits(words: DataFrame, terms: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..kernels.rules import MIN_GERUND_CHARS, SLOTS, Rule, RuleClass
+from ..kernels.rules import MAX_ITEMS, MIN_GERUND_CHARS, SLOTS, Rule, RuleClass
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
@@ -17,30 +17,29 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 def matches(tokens: DataFrame, rules: DataFrame, negators: list[str] = (), window: int = 3) -> DataFrame:
     """(doc, sentence, start, end, rule, class, status, effective): all matches of all rules.
 
-    Sentences become word arrays in one shuffle; a token that is a rule's first literal (a broadcast hash join) is verified
-    against the array, and a match is held against its sentence's other matches and negators in the row of the
-    sentence, so there is no second join.
+    One shuffle by sentence: each token sees the few tokens around it in a range frame over positions (so a protected token, which has
+    no row, parts its neighbours), a broadcast join on the first literal finds candidate rules, and the tokens around verify them. A
+    containing match starts at most a pattern's length before, so suppression is another short frame of the same partitioning.
     """
-    sentences = tokens.groupBy("doc", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws")).withColumn("words", F.transform("ws", lambda x: x["word"])).drop("ws")
-    at = sentences.select("doc", "sentence", "words", F.posexplode("words").alias("i", "literal"))
-    met = at.join(F.broadcast(rules), "literal").withColumn("start", F.col("i") - F.col("first"))
-    there = lambda k: F.get(F.col("words"), F.col("start") + k)
+    by = Window.partitionBy("doc", "sentence").orderBy("pos")
+    reach = MAX_ITEMS - 1
+    seen = tokens.select("doc", "sentence", "pos", F.col("word").alias("literal"), F.collect_list(F.struct("pos", "word")).over(by.rangeBetween(-(window + reach), reach)).alias("around"))
+    met = seen.join(F.broadcast(rules), "literal").withColumn("start", (F.col("pos") - F.col("first")).cast("int"))
+    at = lambda p: F.get(F.filter("around", lambda x: x["pos"] == p), F.lit(0))["word"]
     fits = F.forall(
-        F.transform("items", lambda item, k: F.struct(item.alias("item"), there(k).alias("word"))),
+        F.transform("items", lambda item, k: F.struct(item.alias("item"), at(F.col("start") + k).alias("word"))),
         lambda x: x["word"].isNotNull() & F.when(x["item"] == "{word}", F.lit(True)).when(x["item"] == "{gerund}", x["word"].endswith("ing") & (F.length(x["word"]) >= MIN_GERUND_CHARS)).otherwise(x["word"] == x["item"]),
     )
-    found = met.filter((F.col("start") >= 0) & fits).select("doc", "sentence", "start", (F.col("start") + F.size("items")).alias("end"), "rule", "class", "weight", "forbids", "requires", "words")
-    near = F.slice("words", F.greatest(F.col("start") - window, F.lit(0)) + 1, F.least(F.col("start"), F.lit(window)))
-    phrase = F.concat(F.lit(" "), F.array_join(near, " "), F.lit(" "))
+    phrase = F.concat(F.lit(" "), F.array_join(F.transform(F.sequence(F.col("start") - window, F.col("start") - 1), lambda p: F.coalesce(at(p), F.lit("\u0001"))), " "), F.lit(" "))
     negated = F.lit(False)
     for n in negators:
         negated = negated | phrase.contains(f" {n} ")
-    marked = found.withColumn("negated", negated).drop("words")
-    by_sentence = marked.groupBy("doc", "sentence").agg(F.collect_list(F.struct("start", "end", "rule", "class", "weight", "forbids", "requires", "negated")).alias("ms"))
-    judged = by_sentence.select("doc", "sentence", "ms", F.explode("ms").alias("m"))
-    inside = F.exists("ms", lambda o: (o["start"] <= F.col("m.start")) & (F.col("m.end") <= o["end"]) & ((o["start"] != F.col("m.start")) | (o["end"] != F.col("m.end"))))
-    status = F.when(inside, "suppressed").when(F.col("m.negated") & F.col("m.forbids"), "negated").when(F.col("m.requires") & ~F.col("m.negated"), "context_unmet").otherwise("counted")
-    return judged.select("doc", "sentence", "m.start", "m.end", "m.rule", "m.class", status.alias("status"), F.col("m.weight").alias("weight")).withColumn("effective", F.when(F.col("status") == "counted", F.col("weight")).otherwise(0)).drop("weight")
+    found = met.filter(fits).select("doc", "sentence", "start", (F.col("start") + F.size("items")).alias("end"), "rule", "class", "weight", "forbids", "requires", negated.alias("negated"))
+    near = Window.partitionBy("doc", "sentence").orderBy("start").rangeBetween(-MAX_ITEMS, 0)
+    judged = found.withColumn("near", F.collect_set(F.struct("start", "end")).over(near))
+    inside = F.exists("near", lambda o: (F.col("end") <= o["end"]) & ((o["start"] != F.col("start")) | (o["end"] != F.col("end"))))
+    status = F.when(inside, "suppressed").when(F.col("negated") & F.col("forbids"), "negated").when(F.col("requires") & ~F.col("negated"), "context_unmet").otherwise("counted")
+    return judged.select("doc", "sentence", "start", "end", "rule", "class", status.alias("status"), "weight").withColumn("effective", F.when(F.col("status") == "counted", F.col("weight")).otherwise(0)).drop("weight")
 
 
 def class_scores(found: DataFrame, classes: list[RuleClass], spark: SparkSession) -> DataFrame:

@@ -60,7 +60,7 @@ def test_options(spark):
 
 
 def test_relational_lexicon_equals_scan(spark):
-    texts = ["stop the build. then never mind", "never. mind stop", "stpo canecl then", "kill it and cancel then", "never never mind"]
+    texts = ["never `x` mind then", "stop the build. then never mind", "never. mind stop", "stpo canecl then", "kill it and cancel then", "never never mind"]
     terms = ["stop", "never mind", "never", "then", "cancel", "kill it and"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     lx = Lexicon([Entry(t, "x") for t in terms], [], None)
@@ -78,7 +78,7 @@ def test_relational_lexicon_equals_scan(spark):
 
 def test_relational_rules_equal_kernel(spark):
     c = delivery.classifier()
-    texts = ["stop the build", "do not stop", "stop using it and cancel then", "wait no then stop", "no need to cancel", "also and add rather"]
+    texts = ["stop the build", "do not stop", "stop using it and cancel then", "wait no then stop", "no need to cancel", "also and add rather", "stop `a` using x", "do not `a` `b` stop", "no `a` kill it"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     found = rules.matches(tokens.tokens(docs, "id", "text"), rules.rules_table(spark, c.rules.rules), [" ".join(n) for n in c.rules.negators], 3)
     got = {(r.doc, r.option): r.c for r in rules.class_scores(found, c.rules.classes, spark).collect()}
