@@ -103,10 +103,12 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: boo
             for t in texts:
                 ids = bpe.encode(t) + end.to_bytes(4, "little")
                 parts = [ids[s : s + 4 * size] for s in range(0, len(ids), 4 * size)]
-                out.append([{"piece": i, "start": i * size, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} | ({"ids": p} if keep else {}) for i, p in enumerate(parts)])
+                out.append([(i, i * size, len(p) // 4, zlib.crc32(p), *([p] if keep else [])) for i, p in enumerate(parts)])
             yield pd.Series(out)
 
-    return docs.select(F.col(key), cut(F.col(text)).alias("_p")).select(key, F.inline("_p"))
+    # else the planner would filter on the array's size first and evaluate it twice
+    once = cut.asNondeterministic()
+    return docs.select(F.col(key), once(F.col(text)).alias("_p")).select(key, F.inline("_p"))
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: bool = False, shards: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
