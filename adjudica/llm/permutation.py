@@ -23,13 +23,24 @@ SEGMENT = "dim int, block string, n int, ids binary, data binary, members binary
 
 
 def pivots_of(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """By vector length, up to *count* unit vectors: those of the least hashes of the vectors, equal ones once."""
-    hashed = rows.select(F.size("v").alias("dim"), F.xxhash64("v").alias("h"), "v")
-    firsts = hashed.groupBy("dim", "h").agg(F.min("v").alias("v"))
+    """By vector length, up to *count* unit vectors: those of the least hashes of the vectors, equal ones once.
+
+    Only rows with hashes in about the share that holds four times *count* are shuffled; where that leaves a length too few
+    (equal vectors, a rare length), all rows are.
+    """
+    span = 1 << 30
+    share = min(span, -(-4 * count * span // max(1, rows.count())))
+    hashed = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(span)).alias("h"), "v")
     rank = F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))
-    found: dict[int, list] = {}
-    for r in firsts.withColumn("r", rank).filter(F.col("r") <= count).select("dim", "r", "v").collect():
-        found.setdefault(r.dim, []).append((r.r, r.v))
+    for most in (share, span):
+        firsts = hashed.filter(F.col("h") < most).groupBy("dim", "h").agg(F.min("v").alias("v"))
+        chosen = firsts.withColumn("r", rank).filter(F.col("r") <= count).select("dim", "r", "v").collect()
+        found: dict[int, list] = {}
+        for r in chosen:
+            found.setdefault(r.dim, []).append((r.r, r.v))
+        lengths = {r.dim for r in rows.select(F.size("v").alias("dim")).distinct().collect()}
+        if most == span or all(len(found.get(n, ())) == count for n in lengths):
+            break
     return {dim: _unit(np.array([v for _, v in sorted(x)])) for dim, x in found.items()}
 
 
