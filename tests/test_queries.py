@@ -149,3 +149,14 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.text: r.label for r in spark.table("decided").collect()} == {"stop the build": "interrupt", "hello": None}
+
+
+def test_specification_files(spark, tmp_path):
+    from adjudica.sources.specs import load_classifier
+
+    entries = "".join(f'[[entries]]\nterm = "{t}"\ntag = "{tag}"\n' for tag, ts in delivery.TERMS.items() for t in ts)
+    (tmp_path / "l.toml").write_text(f'guards = {json.dumps(delivery.GUARDS)}\nrepair = {{ mode = "typos", penalty_per_edit = 150 }}\n{entries}')
+    cues = [{"id": i, "class": c, "pattern": p, "weight_millis": w, "forbids": ["negation"], "version": 1} for i, c, p, w in delivery.CUES]
+    (tmp_path / "r.json").write_text(json.dumps({"negators": delivery.NEGATORS, "negation_window": 3, "classes": [{"name": c, "scorer": "max"} for c in ("queue", "steer", "interrupt")], "rules": cues}))
+    made = load_classifier(spark, str(tmp_path / "l.toml"), str(tmp_path / "r.json"), "pua-steer/1", "delivery", delivery.classifier().config)
+    assert made.data_version == delivery.classifier().data_version
