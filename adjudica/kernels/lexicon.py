@@ -8,6 +8,8 @@ from itertools import combinations
 
 from .text import Config, Normalized, normalize
 
+#: Fixed value of fingerprints.
+FINGERPRINT_TAG = b"pua-lexicon-v1"
 MAX_TERM_TOKENS, MIN_SUBSTRING_CHARS, MIN_REPAIR_CHARS, MIN_OVERLAP_CHARS = 3, 5, 4, 3
 
 
@@ -170,7 +172,7 @@ class Lexicon:
         return self.index.get(term)
 
     def fingerprint(self) -> bytes:
-        parts = [b"pua-lexicon-v1", self.config.fingerprint().encode()]
+        parts = [FINGERPRINT_TAG, self.config.fingerprint().encode()]
         for e in self.entries:
             parts += [e.term.encode(), e.tag.encode(), b"sub" if e.substring else b"tok"]
         repair = "repair=off" if self.penalty is None else f"repair=typos;penalty={self.penalty}"

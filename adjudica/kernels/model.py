@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .decide import ARBITRATION_STAGE
+
 MAX_LABEL_BYTES, MAX_OPTIONS = 256, 65535
 
 
@@ -147,7 +149,8 @@ def check_ranked(order: list[list[int]]) -> list[list[int]]:
     return order
 
 
-STAGES = ("normalize", "lexicon", "rules", "graph", "hdc", "instinct", "decide", "escalation")
+#: The stages that journals know.
+STAGES = ("normalize", "lexicon", "rules", "graph", "hdc", ARBITRATION_STAGE, "decide", "escalation")
 
 
 @dataclass

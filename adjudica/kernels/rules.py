@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from .lexicon import Lexicon, Lookup, SpecError, canonical_words, framed
 from .text import Config, Normalized
 
+#: Fixed value of fingerprints.
+FINGERPRINT_TAG = b"pua-rules-v1"
 MAX_ITEMS, MAX_NEGATOR_TOKENS, MAX_WINDOW, MIN_GERUND_CHARS = 6, 3, 8, 5
 SLOTS = ("{word}", "{gerund}")
 CONTEXTS = ("negation", "question")
@@ -128,7 +130,7 @@ class RuleSet:
             self.by_literal.setdefault(self.items[r.id][first], []).append((i, first))
 
     def fingerprint(self) -> bytes:
-        parts = [b"pua-rules-v1", self.config.fingerprint().encode()]
+        parts = [FINGERPRINT_TAG, self.config.fingerprint().encode()]
         for c in self.classes:
             parts += [c.name.encode(), c.scorer.encode()]
         parts += [b"negators", *(" ".join(n).encode() for n in self.negators), bytes([self.window])]
