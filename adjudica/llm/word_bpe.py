@@ -48,10 +48,9 @@ class WordBpe:
             self.made.append(vocab[a + b])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.counts = Memo(self._count_chunk, limit=300_000)
-        self.word_counts = Memo(self._count_word, limit=400_000)
-        self.ids = Memo(self._ids_of_chunk, limit=300_000)
-        self.word_ids = Memo(self._ids_of_word, limit=300_000)
+        # words are chunks of themselves, so one memo serves both
+        self.counts = Memo(self._count_chunk, limit=600_000)
+        self.ids = Memo(self._ids_of_chunk, limit=450_000)
 
     def merge(self, word: bytes) -> tuple[list[int], int]:
         """Symbols left after all merges (-1 where one was merged away), and how many merges there were.
@@ -110,21 +109,20 @@ class WordBpe:
             return [chunk[:-1], chunk[-1]]
         return _PRETOKEN.findall(chunk)
 
-    def _count_word(self, word: str) -> int:
-        raw = word.encode("utf-8", "replace")
-        return len(raw) - self.merge(raw)[1]
-
     def _count_chunk(self, chunk: str) -> int:
-        return sum(map(self.word_counts.__getitem__, self._words(chunk)))
-
-    def _ids_of_word(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "replace")
-        symbols = self.merge_short(raw) if len(raw) <= 48 else [s for s in self.merge(raw)[0] if s >= 0]
-        return struct.pack(f"<{len(symbols)}I", *symbols)
+        words = self._words(chunk)
+        if words == [chunk]:
+            raw = chunk.encode("utf-8", "replace")
+            return len(raw) - self.merge(raw)[1]
+        return sum(map(self.counts.__getitem__, words))
 
     def _ids_of_chunk(self, chunk: str) -> bytes:
         words = self._words(chunk)
-        return self.word_ids[words[0]] if len(words) == 1 else b"".join(map(self.word_ids.__getitem__, words))
+        if words == [chunk]:
+            raw = chunk.encode("utf-8", "replace")
+            symbols = self.merge_short(raw) if len(raw) <= 48 else [s for s in self.merge(raw)[0] if s >= 0]
+            return struct.pack(f"<{len(symbols)}I", *symbols)
+        return b"".join(map(self.ids.__getitem__, words))
 
     def _sections(self, text: str):
         """(chunks, id of the special string that follows or None), in order."""
