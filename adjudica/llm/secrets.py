@@ -1,9 +1,10 @@
 """Operator 10: secret scans, in DataFrame functions only.
 
-Three fixed patterns find assignments, access keys and hex runs. Beside them, runs of key-like characters are
-scored by two character Markov models, of random strings and of ordinary identifiers, trained from labelled
-samples: the log-likelihood ratio of a run is the sum of a table's entries over its adjacent characters, in
-thousandths, so it is the same on every machine.
+Three fixed patterns find assignments, access keys and hex runs. Beside them, runs of key-like characters, as far as no
+fixed pattern covers them, are scored by two character Markov models, of random strings and of ordinary identifiers,
+trained from labelled samples: the log-likelihood ratio of a stretch is the sum of a table's entries over its adjacent
+characters, in thousandths, so it is the same on every machine. All stretches of at least 20 characters count, so that
+names and paths before or after a random string don't hide it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+SHORTEST = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: Ordinary words from which identifiers are put together.
 WORDS = (
     "the and for with this that from have not are user name file path value index list count size time date page text data type "
@@ -39,7 +41,7 @@ class Models:
     """table: by place of a character in ALPHABET and of its follower, the log-likelihood ratio in thousandths."""
 
     table: tuple[int, ...]
-    #: A run counts as random from this mean ratio per adjacent pair (thousandths) on.
+    #: A run or stretch counts as random from this mean ratio per adjacent pair (thousandths) on.
     least: int = 900
 
 
@@ -90,12 +92,12 @@ def _starts(lengths: Column) -> Column:
     step = 256
 
     def running(values: Column, zero: Column) -> Column:
-        state = F.struct(zero.alias("at"), F.expr("cast(array() as array<int>)").alias("seen"))
+        state = F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("seen"))
         return F.aggregate(values, state, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["seen"], s["at"]).alias("seen")), lambda s: s["seen"])
 
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / step).cast("int") - 1, F.lit(0))), lambda i: F.slice(lengths, i * step + 1, F.lit(step)))
-    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
-    return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), running(sums, F.lit(0)).alias("z")), lambda x: running(x["p"], x["z"])))
+    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x))
+    return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), running(sums, F.lit(0).cast("long")).alias("z")), lambda x: running(x["p"], x["z"])))
 
 
 def _spans(text: Column, pattern: str, rank: int) -> Column:
@@ -110,18 +112,60 @@ def _spans(text: Column, pattern: str, rank: int) -> Column:
     return F.when(text.rlike(pattern), made).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,found:string>>)"))
 
 
-def _ratio(run: Column, models: Models) -> Column:
+def _pairs(run: Column, models: Models) -> Column:
+    """The log-likelihood ratio of each adjacent pair."""
     size = len(ALPHABET)
     table = F.split(F.lit(",".join(map(str, models.table))), ",").cast("array<int>")
     places = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.call_function("instr", F.lit(ALPHABET), F.substring(run, i, F.lit(1))) - 1)
-    both = F.zip_with(F.slice(places, F.lit(1), F.length(run) - 1), F.slice(places, F.lit(2), F.length(run) - 1), lambda a, b: F.get(table, a * size + b))
-    return F.aggregate(both, F.lit(0), lambda s, x: s + x)
+    return F.transform(F.array(places), lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.get(table, a * size + b)))[0]
+
+
+def _ratio(run: Column, models: Models) -> Column:
+    return F.aggregate(_pairs(run, models), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with *value* evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _uncovered(run: Column, base: Column) -> Column:
+    """What the spans of *base*, sorted by start, leave over of a run: array<struct<start, found>>, parts of SHORTEST characters at least."""
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    none = F.struct(run["start"].alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("gaps"))
+    gap = lambda s, end: F.array_append(s["gaps"], F.struct(s["at"].alias("a"), end.alias("b")))
+    gaps = F.aggregate(over, none, lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), gap(s, b["start"]).alias("gaps")), lambda s: gap(s, run["end"]))
+    long = F.filter(gaps, lambda g: g["b"] - g["a"] >= SHORTEST)
+    return F.transform(long, lambda g: F.struct(g["a"].alias("start"), F.substring(run["found"], g["a"] - run["start"] + 1, g["b"] - g["a"]).alias("found")))
+
+
+def _random(part: Column, models: Models) -> Column:
+    """The random spans of a part of a run: all of it if its mean reaches the least, else what its stretches cover.
+
+    A stretch of n pairs that reaches the mean can be cut into ones of a to 2 a - 1 pairs (a = SHORTEST - 1), one of which reaches it
+    too. So it is enough to look at these lengths; of each start the shortest that does counts, and those that overlap are one span.
+    """
+    least, first = SHORTEST - 1, part["start"]
+    excess = F.transform(_pairs(part["found"], models), lambda x: (x - models.least).cast("long"))
+
+    def covered(sums: Column) -> Column:  # the sum of what is in excess before each character
+        last = F.size(sums) - 1
+        starts = F.filter(F.sequence(F.lit(0), last - least), lambda k: F.array_max(F.slice(sums, k + least + 1, F.lit(least))) >= F.get(sums, k))
+        ends = lambda k: F.filter(F.sequence(F.lit(least), F.least(F.lit(2 * least - 1), last - k)), lambda m: F.get(sums, k + m) >= F.get(sums, k))
+        stretches = F.transform(starts, lambda k: F.struct(k.alias("a"), (k + F.get(ends(k), 0) + 1).alias("b")))
+        none = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.expr(f"cast(array() as {_SPAN})").alias("done"))
+        done = lambda s: F.when(s["b"] > 0, F.array_append(s["done"], F.struct((first + s["a"]).alias("start"), F.lit(3).alias("rank"), (first + s["b"]).alias("end")))).otherwise(s["done"])
+        joined = lambda s, x: F.when(x["a"] <= s["b"], F.struct(F.when(s["b"] > 0, s["a"]).otherwise(x["a"]).alias("a"), F.greatest(s["b"], x["b"]).alias("b"), s["done"].alias("done"))).otherwise(F.struct(x["a"].alias("a"), x["b"].alias("b"), done(s).alias("done")))
+        whole = F.array(F.struct(first.alias("start"), F.lit(3).alias("rank"), (first + last + 1).alias("end")))
+        return F.when(F.get(sums, last) >= 0, whole).otherwise(F.aggregate(stretches, none, joined, done))
+
+    return _bound(_starts(F.array_append(excess, F.lit(0).cast("long"))), covered)
 
 
 def scan(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """*docs* with a column __adjudica_spans, array<struct<start, rank, end>>: all spans by start, then kind (see KINDS).
 
-    Base spans are always there; a random run adds one unless a base span overlaps it. A null or empty text has no
+    Base spans are always there; the random stretches of what they leave over of runs add theirs. A null or empty text has no
     spans, whole texts are scanned whatever their length, repeated rows each.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -129,10 +173,11 @@ def scan(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     values = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1))
     assigned = F.filter(F.when(t.rlike(ASSIGN), F.zip_with(_spans(t, ASSIGN, 0), values, lambda s, v: F.struct(s["start"], s["rank"], s["end"], (F.length(v) >= 6).alias("long")))), lambda s: s["long"])
     base = F.concat(F.coalesce(F.transform(assigned, bare), F.expr(f"cast(array() as {_SPAN})")), F.transform(_spans(t, ACCESS, 1), bare), F.transform(_spans(t, HEX, 2), bare))
-    runs = F.filter(_spans(t, RUN, 3), lambda r: (_ratio(r["found"], models) >= models.least * (F.length(r["found"]) - 1)))
-    first = docs.withColumn("__adjudica_base", base).withColumn("__adjudica_runs", F.transform(runs, bare))
-    added = F.filter("__adjudica_runs", lambda r: ~F.exists("__adjudica_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return first.withColumn("__adjudica_spans", F.array_sort(F.concat("__adjudica_base", added))).drop("__adjudica_base", "__adjudica_runs")
+    first = docs.withColumn("__adjudica_base", F.array_sort(base)).withColumn("__adjudica_runs", _spans(t, RUN, 3))
+    parts = F.flatten(F.transform("__adjudica_runs", lambda r: _uncovered(r, F.col("__adjudica_base"))))
+    added = F.flatten(F.transform("__adjudica_parts", lambda p: _random(p, models)))
+    both = first.withColumn("__adjudica_parts", parts).withColumn("__adjudica_spans", F.array_sort(F.concat("__adjudica_base", added)))
+    return both.drop("__adjudica_base", "__adjudica_runs", "__adjudica_parts")
 
 
 def _joined(spans: Column) -> Column:
