@@ -1,9 +1,10 @@
 """Operator 9: approximate nearest neighbours by a permutation index.
 
-A bounded sample of vectors are the pivots. Each vector stands for the ordered list of its nearest pivots;
+The pivots are vectors of a bounded sample that lie apart, so that a group of near copies takes few of them. Each vector stands for the ordered list of its nearest pivots;
 each pivot's inverted file lists the vectors that name it, with its place in their lists. A query reads
 the files of its own nearest pivots, which sums up to the footrule distance between the lists (absent
-pivots counting as one place past the end); the nearest by footrule are ranked anew by the measure itself.
+pivots counting as one place past the end). How the cosine falls with it is fitted per query on some rows of the
+segment; that times a row's norm tells which rows may have large inner products, and these are ranked anew by the measure itself.
 The index is kept in segments, one record each, so that searching needs one segment at a time.
 """
 
@@ -23,9 +24,9 @@ SEGMENT = "dim int, block string, n int, ids binary, data binary, members binary
 
 
 def pivots_of(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """By vector length, up to *count* unit vectors: those of the least hashes of the vectors, equal ones once.
+    """By vector length, up to *count* unit vectors that lie apart, out of the four times *count* of the least hashes, equal ones once.
 
-    Only rows with hashes in about the share that holds four times *count* are shuffled; where that leaves a length too few
+    Only rows with hashes in about the share that holds these are shuffled; where that leaves a length too few
     (equal vectors, a rare length), all rows are.
     """
     span = 1 << 30
@@ -34,14 +35,24 @@ def pivots_of(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
     rank = F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))
     for most in (share, span):
         firsts = hashed.filter(F.col("h") < most).groupBy("dim", "h").agg(F.min("v").alias("v"))
-        chosen = firsts.withColumn("r", rank).filter(F.col("r") <= count).select("dim", "r", "v").collect()
+        chosen = firsts.withColumn("r", rank).filter(F.col("r") <= 4 * count).select("dim", "r", "v").collect()
         found: dict[int, list] = {}
         for r in chosen:
             found.setdefault(r.dim, []).append((r.r, r.v))
         lengths = {r.dim for r in rows.select(F.size("v").alias("dim")).distinct().collect()}
-        if most == span or all(len(found.get(n, ())) == count for n in lengths):
+        if most == span or all(len(found.get(n, ())) >= count for n in lengths):
             break
-    return {dim: _unit(np.array([v for _, v in sorted(x)])) for dim, x in found.items()}
+    return {dim: _apart(_unit(np.array([v for _, v in sorted(x)])), count) for dim, x in found.items()}
+
+
+def _apart(sample: np.ndarray, count: int) -> np.ndarray:
+    """Up to *count* rows: the first, then always the one whose largest cosine with those taken is least; ties to the first row."""
+    largest, taken = np.full(len(sample), -2.0), [0]
+    while len(taken) < min(count, len(sample)):
+        largest = np.maximum(largest, sample @ sample[taken[-1]])
+        largest[taken[-1]] = np.inf
+        taken.append(int(largest.argmin()))
+    return sample[taken]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -80,6 +91,15 @@ def _indexed(pivots: dict[int, np.ndarray], length: int, keep: int):
     return index
 
 
+def _expected(shared: np.ndarray, x: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """What a cosine may reach: a straight line through the probes' cosines, and two standard deviations from it."""
+    x = x.astype(float)
+    spread = x.var()
+    slope = ((x - x.mean()) * (cosines - cosines.mean())).mean() / spread if spread > 0 else 0.0
+    at = cosines.mean() - slope * x.mean()
+    return at + slope * shared + 2 * (cosines - at - slope * x).std()
+
+
 def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float, least: int):
     def score(row: dict) -> Iterator[pa.RecordBatch]:
         dim = row["dim"]
@@ -89,6 +109,9 @@ def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float,
         starts, firsts, copies = (np.frombuffer(row[c], dtype=np.int64) for c in ("starts", "firsts", "copies"))
         asked, which = np.unique(asked, axis=0, return_inverse=True)
         lists = _nearest(asked, pivots[dim], length)
+        norms = np.linalg.norm(data / max(np.abs(data).max(initial=0), np.finfo(float).tiny), axis=1)
+        probes = np.unique(np.linspace(0, len(data) - 1, 512).astype(np.int64))
+        cosines = _unit(asked) @ _unit(data[probes]).T
         count = min(len(data), max(least, int(share * len(data))))
         found = []
         for i, q in enumerate(asked):
@@ -96,7 +119,11 @@ def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float,
             for a, p in enumerate(lists[i]):
                 s, e = starts[p], starts[p + 1]
                 shared[members[s:e]] += length - np.maximum(places[s:e], a)
-            near = np.argpartition(-shared, count - 1)[:count] if count < len(data) else np.arange(len(data))
+            if count < len(data):
+                promise = norms * _expected(shared, shared[probes], cosines[i])
+                near = np.argpartition(-promise, count - 1)[:count]
+            else:
+                near = np.arange(len(data))
             scores = np.einsum("ij,j->i", data[near], q)
             size = firsts[near + 1] - firsts[near]
             if len(near) > k + 1:  # whole ties stay
@@ -123,7 +150,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = 256,
     """query_id, rank (from 1), vec_id, score: the *k* largest inner products found, in double precision.
 
     *pivots* bounds the sample of pivots, *length* is that of a permutation, *size* that of a segment; of each
-    segment the nearest *share* by footrule, but at least *least*, are ranked anew. Every row is indexed. Queries are
+    segment the most promising *share* by footrule and norm, but at least *least*, are ranked anew. Every row is indexed. Queries are
     the rows whose key is divisible by *every*, one per key (of repeated ones the least vector); candidates all other
     rows except such as bear the query's own key. Ties go to the smaller key. Rows with a null key, or with
     a vector that is null, empty, zero or holds null or non-finite components, take no part; vectors of different

@@ -75,3 +75,21 @@ def test_recall(spark):
         best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
         hits, total = hits + len(best & found[int(ids[q])]), total + 20
     assert hits / total >= 0.9
+
+
+def test_recall_in_a_full_segment_with_near_copies_and_uneven_norms(spark):
+    draw, n = np.random.default_rng(7), 16384
+    v = draw.normal(size=(n, 32)) + draw.normal(size=(64, 32))[draw.integers(0, 64, n)] / 2
+    near = draw.random(n) < 1 / 3
+    v[near] = v[0] + 0.1 * draw.normal(size=(int(near.sum()), 32))
+    for w in (v, v * np.exp(0.7 * draw.normal(size=(n, 1)))):
+        df = spark.createDataFrame(list(enumerate(w.tolist())), "vec_id long, embedding array<double>")
+        found = {}
+        for r in nearest(df.coalesce(1), every=100).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = []
+        for q in found:
+            s = w @ w[q]
+            s[q] = -np.inf
+            recall.append(len(set(np.argsort(-s, kind="stable")[:20].tolist()) & found[q]) / 20)
+        assert len(recall) == 164 and np.mean(recall) >= 0.9, np.mean(recall)
