@@ -3,10 +3,13 @@
 Each unit of a text (the whole text, its paragraphs, and their lines) is normalised to words and held against
 licence templates by the Dice coefficient of their sets of word bigrams. A template can only reach the least
 coefficient t if its set's size is between t / (2 - t) and (2 - t) / t times the unit's; others are pruned.
+So are runs of adjoining sentences and lines, since a licence in a longer text is several paragraphs and a notice may stand in a
+line; they count where they match better than the units that they overlap.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -50,6 +53,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 _WORD = re.compile(r"[^\W_]+")
 _NOTICE = re.compile(r"^.{0,16}\bcopyright\b.{0,8}(\(c\)|©|[0-9]{4}).*$", re.I | re.M)
+_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 
 
@@ -106,8 +110,71 @@ class Scanner:
                 if len(part) < end - start:
                     look(line, line + len(part))
                 line += len(part) + 1
+        for start, end, name, score in self.runs(text, out):
+            out[start, end] = (score, name)
         return [(s, e, name, score) for (s, e), (score, name) in sorted(out.items())]
 
+    def runs(self, text: str, units: dict[tuple[int, int], tuple[float, str]]) -> list[tuple[int, int, str, float]]:
+        """The best runs of adjoining sentences, none overlapping another, that match better than all *units* they overlap."""
+        t, whole = self.least, bigrams(text)
+        held: dict[int, int] = {}
+        for g in whole & self.known:
+            for i in self.with_gram[g]:
+                held[i] = held.get(i, 0) + 1
+        # of a match, at least t / (2 - t) of the template's bigrams are in the text
+        held = {i: k for i, k in held.items() if k * (2 - t) >= len(self.sets[i][1]) * t}
+        if not held:
+            return []
+        plain = _NOTICE.sub(lambda m: " " * len(m[0]), text) if "opyright" in text or "OPYRIGHT" in text else text
+        places, words, of = [], [], []  # of each sentence its place; all words and the sentence of each
+        said: list[tuple[str, ...]] = []
+        for m in _SENTENCE.finditer(plain):
+            if found := _WORD.findall(m[0].lower()):
+                words += found
+                of += [len(places)] * len(found)
+                said.append(tuple(found))
+                places.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip())))
+        grams = list(map(" ".join, zip(words, words[1:])))
+        first: dict[int, int] = {}
+        for j, a in enumerate(of):
+            first.setdefault(a, j)
+        found = []
+        for i in held:
+            name, grams_of = self.sets[i]
+            m = len(grams_of)
+            for a in sorted({of[j] for j, g in enumerate(grams) if g in grams_of}):
+                seen, k, best = set(), 0, None
+                for j in range(first[a], len(words)):
+                    if j + 1 == len(words) or of[j + 1] != of[j]:  # a sentence ends
+                        score = 2 * k / (len(seen) + m)
+                        if score >= t and (best is None or score >= best[0]):
+                            best = (score, of[j])
+                        # with what a later start has as well, going on can't be better
+                        if j + 1 == len(words) or said[of[j + 1]] == said[a]:
+                            break
+                    if grams[j] not in seen:
+                        if k == m:  # all are there: more can't be better
+                            break
+                        seen.add(grams[j])
+                        k += grams[j] in grams_of
+                        if len(seen) * t > m * (2 - t):
+                            break
+                if best:
+                    found.append((-best[0], name, a, best[1]))
+        taken = [0.0] * len(places)
+        for (s, e), (score, _) in units.items():
+            low = bisect.bisect_left(places, s, key=lambda x: x[1] - 1)
+            for b in range(low, len(places)):
+                if places[b][0] >= e:
+                    break
+                taken[b] = max(taken[b], score)
+        out = []
+        for score, name, a, b in sorted(found):
+            if max(taken[a : b + 1]) < -score:
+                taken[a : b + 1] = [1.0] * (b + 1 - a)
+                out.append((places[a][0], places[b][1], name, -score))
+        return out
+
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8, keep: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of *docs*: key, license (of the best match, null if there is none), dice, n_matches, spans, and

@@ -1,6 +1,7 @@
 """License scans against Dice coefficients of all units and templates."""
 
 import re
+import textwrap
 
 from adjudica.llm import licenses
 
@@ -39,3 +40,20 @@ def test_scan(spark):
         assert r.n_matches == len(expected) and (r.license is None) == (not expected)
     assert licenses.scan(docs.limit(0)).count() == 0
     assert {r.doc_id: r.license for r in rows if r.doc_id in (3, 4, 5, 7, 9)} == {3: "MIT", 4: "CC-BY-NC-4.0", 5: "MIT", 7: "GPL-3.0", 9: "Apache-2.0"}
+
+
+def test_licences_of_several_paragraphs_and_notices_within_lines(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "granted" in t)
+    a, b = mit.index("The above copyright notice and"), mit.index("THE SOFTWARE IS")
+    parts = ["MIT License", "Copyright (c) 2020 A. Person", mit[12:a].strip(), mit[a:b].strip(), mit[b:]]
+    wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 78)) for p in parts)
+    prose = " ".join(f"It was day {i} of week {i * 7}, and nobody{i} had thought of weather{i} for a time." for i in range(60))
+    before, after = prose + "\n\n", "\n\n" + "\n".join(f"def main{i}(x):\n    return x.y{i}(1)" for i in range(60))
+    line = "All of it is here. Released under the MIT License. More of it is there, as you know it."
+    twice = f"{line}\n{prose}\n{line}"
+    texts = [before + wrapped + after, line, twice, before + after]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i].license for i in range(4)] == ["MIT", "MIT", "MIT", None]
+    m = rows[0].matches[0]
+    assert rows[0].n_matches == 1 and m.dice > 0.95 and texts[0][m.start : m.end].startswith(("MIT License", "Permission is")) and texts[0][m.start : m.end].endswith("SOFTWARE.")
+    assert [line[m.start : m.end] for m in rows[1].matches] == ["Released under the MIT License."] and rows[2].n_matches == 2
