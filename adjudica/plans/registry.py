@@ -13,7 +13,7 @@ from ..kernels import hdc
 from ..kernels.rules import Rule, RuleClass
 from ..kernels.text import Config
 from ..operators import decide, graphs, hypervectors, lexicon, rules, tokens
-from ..sources import journal
+from ..sources import confusables, journal
 from . import delivery, oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,7 +197,7 @@ def lexicon_repairs(spark, sf_dir):
 @query
 def lexicon_lookup(spark, sf_dir):
     """The whole scan, greedy and with repairs, over messages."""
-    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.lexicon_lookup(F.col("text"), delivery.classifier().lexicon).alias("f"))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.lexicon_lookup(F.col("text"), delivery.classifier().lexicon, confusables.skeletons(spark)).alias("f"))
     # the lexicon collapses runs of marks, as its texts must
     return found.select("conv_id", "turn", F.array_join(F.transform("f.hits", lambda h: F.concat_ws(":", h["term"], h["kind"], h["span"]["start"])), ",").alias("hits"), F.size("f.flags").alias("flags"))
 
@@ -242,7 +242,7 @@ def rule_decisions(spark, sf_dir):
 @query
 def classifier_decide(spark, sf_dir):
     """The flagship: each message's decision by the compiled classifier."""
-    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.classified(F.col("text"), delivery.classifier(), F.lit("standard")).alias("d"))
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.classified(F.col("text"), delivery.classifier(skeletons=confusables.skeletons(spark)), F.lit("standard")).alias("d"))
     return made.select("conv_id", "turn", "d.answer", "d.option", "d.label", "d.confidence", F.col("d.why.kind").alias("why"), d.ranked_text(F.col("d.ranked")).alias("ranked"), "d.data_version", F.size("d.trail").alias("steps"))
 
 
@@ -252,7 +252,7 @@ def classifier_decide(spark, sf_dir):
 @query
 def journal_round_trip(spark, sf_dir):
     """Decide, write as journal lines, parse, replay: every record must come out the same."""
-    c = delivery.classifier()
+    c = delivery.classifier(skeletons=confusables.skeletons(spark))
     made = table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("text"), F.lit("deep").alias("profile")).withColumn("d", t.classified(F.col("text"), c, F.col("profile")))
     entries = journal.parsed(journal.lines(made, F.col("text"), F.col("profile"), F.col("d.json")))
     return journal.check(entries, c).groupBy("error", "check.same").agg(F.count("*").alias("n"))

@@ -160,3 +160,12 @@ def test_specification_files(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"negators": delivery.NEGATORS, "negation_window": 3, "classes": [{"name": c, "scorer": "max"} for c in ("queue", "steer", "interrupt")], "rules": cues}))
     made = load_classifier(spark, str(tmp_path / "l.toml"), str(tmp_path / "r.json"), "pua-steer/1", "delivery", delivery.classifier().config)
     assert made.data_version == delivery.classifier().data_version
+
+
+def test_registered_queries_know_all_look_alikes(spark, tmp_path):
+    texts = ["also add tests, sto\u03c1", "stop the build"]
+    spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = {r.conv_id: r for r in registry.queries()["classifier_decide"](spark, str(tmp_path)).collect()}
+    assert made[0].why == "confusable" and made[1].label == "interrupt"
+    assert {r.conv_id: r.flags for r in registry.queries()["lexicon_lookup"](spark, str(tmp_path)).collect()} == {0: 1, 1: 0}
+    assert {(r.error, r.same) for r in registry.queries()["journal_round_trip"](spark, str(tmp_path)).collect()} == {(None, True)}
