@@ -21,14 +21,15 @@ def fit(labelled: DataFrame, size: int = 65536, rows: int = 96, longest: int = 4
     """A dictionary of up to *size* bytes for each language.
 
     The sample is bounded: of each language *rows* rows, such as are no longer than *longest* characters first, then by
-    a hash of the text; of a longer text *longest* characters go in. Rows without a language or text are passed over.
+    a hash of the text, equal texts once; of a longer text *longest* characters go in. Rows without a language or text are passed over.
     """
     t = F.col(text)
     usable = labelled.filter(F.col(lang).isNotNull() & t.isNotNull() & (F.length(t) > 0))
     # only what the sample can hold of a text is shuffled
     short = usable.select(F.col(lang).alias("lang"), ((F.length(t) > longest) | (F.length(t) < 200)).alias("odd"), F.xxhash64(t).alias("h"), F.substring(t, 1, longest).alias("t"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h", "t"))
-    sample = short.withColumn("r", rank).filter(F.col("r") <= rows).select("lang", "r", "t")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h"))
+    keys = short.select("lang", "odd", "h").distinct().withColumn("r", rank).filter(F.col("r") <= rows)
+    sample = short.join(F.broadcast(keys), ["lang", "odd", "h"]).groupBy("lang", "r").agg(F.min("t").alias("t"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.collect():
         texts.setdefault(r.lang, []).append((r.r, r.t))

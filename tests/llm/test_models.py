@@ -65,3 +65,12 @@ def test_quality_corner_cases(spark):
     empty = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.scored(docs, empty).collect()} == {0.5}
     assert quality.scored(docs.limit(0), model).count() == 0
+
+
+def test_copies_take_one_place_of_the_language_sample(spark):
+    from adjudica.llm import langid
+
+    texts = [f"text number {i} " * 20 for i in range(12)]
+    copies = [(i, t, "en") for i, t in enumerate(t for t in texts for _ in range(30))]
+    found = langid.fit(spark.createDataFrame(copies, "doc_id long, text string, lang string"), rows=12)
+    assert sorted(found["en"].decode().split("\n")) == sorted(texts)
