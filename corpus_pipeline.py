@@ -25,8 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a margin that isn't narrow."""
+    """Documents whose language is told with a margin that isn't narrow. Where nothing is labelled, nothing is rejected."""
     dictionaries = langid.fit(docs.filter(remainder(3) != 1))
+    if not dictionaries:
+        return docs
     return langid.identified(docs, dictionaries, names=("__lang", "__score", "__reliable")).filter("__reliable").select(docs.columns)
 
 

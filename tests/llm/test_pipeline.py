@@ -62,3 +62,8 @@ def test_corner_cases(spark):
 def test_run_equals_stages(spark):
     rows = corpus_pipeline.run(spark, D).collect()
     assert rows and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+
+
+def test_language_stage_without_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(i, "the cat and the hat. " * 20, None) for i in range(9)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.keep_language(spark, docs, D).count() == 9
