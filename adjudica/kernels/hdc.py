@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 
 import numpy as np
@@ -89,6 +90,19 @@ def nearest(q: np.ndarray, book: np.ndarray) -> tuple[int, int, int]:
     return int(order[0]), top, min(1000, top - second)
 
 
+def nearest_of_each(asked: np.ndarray, book: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nearest() of each row of *asked*: (indices, similarities, margins), by blocks of rows."""
+    first, top, margin = (np.zeros(len(asked), np.int64) for _ in range(3))
+    for s in range(0, len(asked), step):
+        sims = similarity(asked[s : s + step, None, :], book[None, :, :])
+        first[s : s + step] = best = sims.argmax(axis=1)  # the first of equals
+        top[s : s + step] = highest = np.take_along_axis(sims, best[:, None], 1)[:, 0]
+        np.put_along_axis(sims, best[:, None], -(10**6), 1)
+        second = sims.max(axis=1) if sims.shape[1] > 1 else np.full(len(sims), -1000)
+        margin[s : s + step] = np.minimum(1000, highest - second)
+    return first, top, margin
+
+
 def cleanup(q: np.ndarray, book: np.ndarray, floor: int) -> tuple[int, int, int] | None:
     found = nearest(q, book)
     return found if found[1] >= floor else None
@@ -112,6 +126,37 @@ def decode(sums: np.ndarray, book: np.ndarray, k: int, floor: int) -> list[tuple
     return out
 
 
+class CodebookError(ValueError):
+    """kind: empty, empty_id or duplicate_id."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
+
+
+class Codebook:
+    """Entries in the byte order of their ids."""
+
+    def __init__(self, entries: list[tuple[str, np.ndarray]]):
+        if not entries:
+            raise CodebookError("empty", "codebook is empty")
+        for i, (name, _) in enumerate(entries):
+            if not name:
+                raise CodebookError("empty_id", f"codebook entry {i} has an empty id")
+        held = sorted(entries, key=lambda e: e[0].encode())
+        for (a, _), (b, _) in zip(held, held[1:]):
+            if a == b:
+                raise CodebookError("duplicate_id", f"codebook id {a!r} occurs twice")
+        self.ids, self.vectors = [i for i, _ in held], np.array([v for _, v in held], dtype=np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def index_of(self, name: str) -> int | None:
+        at = bisect.bisect_left(self.ids, name.encode(), key=str.encode)
+        return at if at < len(self) and self.ids[at] == name else None
+
+
 def resonate(q: np.ndarray, a_book: np.ndarray, b_book: np.ndarray, cap: int = 16) -> tuple[int, tuple | None, tuple | None]:
     """(iterations, nearest in a, nearest in b) of a fixed point, or Nones if there is none within *cap* (1 to 16)."""
     if not 1 <= cap <= 16:
@@ -127,22 +172,22 @@ def resonate(q: np.ndarray, a_book: np.ndarray, b_book: np.ndarray, cap: int = 1
     return cap, None, None
 
 
-def capacity(entries: int, dim: int, sizes: list[int], trials: int = 10) -> list[tuple[int, float, float]]:
-    """For bundles of each size: per cent of members found again by decode, and by one look at the signs."""
-    book, state, out = encode([seed("capacity", f"e{i}") for i in range(entries)], dim), 88172645463325252, []
-    for k in sizes:
-        hits = signed = 0
-        for _ in range(trials):
-            chosen: list[int] = []
-            while len(chosen) < k:
-                state ^= state << 13 & _M
-                state ^= state >> 7
-                state ^= state << 17 & _M
-                if state % entries not in chosen:
-                    chosen.append(state % entries)
-            sums = accumulate(book[chosen])
-            hits += len({i for i, _ in decode(sums, book, k, -1000)} & set(chosen))
-            best = np.lexsort((np.arange(entries), -similarity(book, packed(sums))))[:k]
-            signed += len(set(best.tolist()) & set(chosen))
-        out.append((k, 100 * hits / (k * trials), 100 * signed / (k * trials)))
-    return out
+def capacity(entries: int, dim: int, k: int, trials: int = 10) -> tuple[int, int]:
+    """For bundles of *k* of a codebook's entries: thousandths of the members found again by decode, and by one look at the signs.
+
+    Members are drawn by a xorshift stream that only depends on *entries* and *k*.
+    """
+    book, state = encode([seed("capacity", f"item{i:05}") for i in range(entries)], dim), GOLDEN ^ entries << 8 ^ k
+    hits = signed = 0
+    for _ in range(trials):
+        chosen: dict[int, None] = {}
+        while len(chosen) < k:
+            state ^= state << 13 & _M
+            state ^= state >> 7
+            state ^= state << 17 & _M
+            chosen[state % entries] = None
+        sums = accumulate(book[[*chosen]])
+        hits += len({i for i, _ in decode(sums, book, k, -1000)} & chosen.keys())
+        best = np.lexsort((np.arange(entries), -similarity(book, packed(sums))))[:k]
+        signed += len(set(best.tolist()) & chosen.keys())
+    return 1000 * hits // (k * trials), 1000 * signed // (k * trials)

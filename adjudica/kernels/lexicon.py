@@ -10,6 +10,7 @@ from .text import Config, Normalized, normalize
 
 #: Fixed value of fingerprints.
 FINGERPRINT_TAG = b"pua-lexicon-v1"
+MEMO = 50_000  # words of up to the longest term's length and two
 MAX_TERM_TOKENS, MIN_SUBSTRING_CHARS, MIN_REPAIR_CHARS, MIN_OVERLAP_CHARS = 3, 5, 4, 3
 
 
@@ -165,9 +166,14 @@ class Lexicon:
             for d in deletes(self.entries[i].term, edits_allowed(len(self.entries[i].term))):
                 self.by_delete.setdefault(d, []).append(i)
 
+        self._repaired: dict[str, tuple[int, int] | None] = {}
+
     def __len__(self) -> int:
         return len(self.entries)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_repaired": {}}
+
     def find(self, term: str) -> int | None:
         return self.index.get(term)
 
@@ -179,7 +185,16 @@ class Lexicon:
         return framed(*parts, b"guards", *map(str.encode, self.guards), repair.encode())
 
     def repair(self, word: str) -> tuple[int, int] | None:
-        """(entry, edits) of the cheapest term that is not the word itself."""
+        """(entry, edits) of the cheapest term that is not the word itself; of words met before, from a memo of bounded size."""
+        if len(word) < MIN_REPAIR_CHARS or len(word) - 2 > self.longest:
+            return None
+        if word not in self._repaired:
+            if len(self._repaired) >= MEMO:
+                self._repaired.clear()
+            self._repaired[word] = self._repair(word)
+        return self._repaired[word]
+
+    def _repair(self, word: str) -> tuple[int, int] | None:
         if self.penalty is None or word in self.guards or len(word) < MIN_REPAIR_CHARS or len(word) - 2 > self.longest:
             return None
         near = {i for d in deletes(word, 2) for i in self.by_delete.get(d, ())}

@@ -142,8 +142,10 @@ class RuleSet:
     def _fits(self, items: list[str], at: int, tokens, words) -> bool:
         if at < 0 or at + len(items) > len(tokens):
             return False
-        for t, w, item in zip(tokens[at:], words[at:], items):
-            if not t.free or t.sentence != tokens[at].sentence:
+        sentence = tokens[at].sentence
+        for k, item in enumerate(items, at):
+            t, w = tokens[k], words[k]
+            if not t.free or t.sentence != sentence:
                 return False
             if item == "{gerund}":
                 if w is None or len(w) < MIN_GERUND_CHARS or not w.endswith("ing"):
@@ -192,6 +194,8 @@ class RuleSet:
 def question_sentences(text: Normalized) -> list[bool]:
     """By sentence: whether a question mark outside protected spans follows its last token, before the next one."""
     out, tokens = [False] * max(1, text.sentences), text.tokens
+    if "?" not in text.canonical:
+        return out
     for t, after in zip(tokens, [*tokens[1:], None]):
         if after is None or after.sentence != t.sentence:
             end = len(text.canonical) if after is None else after.start

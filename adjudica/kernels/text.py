@@ -9,11 +9,12 @@ run of marks it was collapsed from.
 from __future__ import annotations
 
 import bisect
-import itertools
+import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import regex
 
 MAX_INPUT_BYTES = 16 * 1024 * 1024
@@ -21,9 +22,15 @@ MAX_INPUT_BYTES = 16 * 1024 * 1024
 ALGORITHM_TAG = "pua-text-v1;unicode-normalization=0.1.25;unicode-segmentation=1.13.3;unicode-security=0.1.2"
 KINDS = ("fenced_code", "inline_code", "url", "path", "quoted", "number")
 
-_SPACE = regex.compile(r"\p{White_Space}")
+#: The characters of White_Space, for the quicker of the two pattern libraries.
+_WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = re.compile(f"[{_WHITE}]")
 _WORDLIKE = regex.compile(r"[\p{Alphabetic}\p{N}]")
 _BOUND = regex.compile(r"(?V1w)\b")
+#: Where a text holds nothing but ASCII and the letters up to U+024F (all of script Latin), words are found by one pattern: letters that a
+#: mark of middle position may join, digits that another may, and low lines, one after another.
+_BEYOND = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏ“”–—…€«»¿¡]")
+_SIMPLE_WORD = re.compile("(?:[A-Za-zÀ-ÖØ-öø-ɏ](?:['.:]?[A-Za-zÀ-ÖØ-öø-ɏ])*|[0-9](?:['.,;]?[0-9])*|_+)+")
 _ASCII_MARK = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -70,8 +77,8 @@ class Normalized:
     config: Config
     canonical: str = ""
     protected: list[tuple[str, int, int, tuple[int, int]]] = field(default_factory=list)  # kind, canonical start and end, original bytes
-    tokens: list[Token] = field(default_factory=list)
     sentences: int = 1
+    skeletons: dict[str, str] = field(default_factory=dict)
     #: Per canonical character: first byte, end byte, and whether interior offsets are exact.
     lows: list[int] = field(default_factory=list)
     highs: list[int] = field(default_factory=list)
@@ -89,11 +96,14 @@ class Normalized:
 
     exact_end: bool = True
 
+    @cached_property
+    def tokens(self) -> list[Token]:
+        """Found when they are first asked for."""
+        return _tokens(self)
+
     def to_original(self, start: int, end: int) -> tuple[int, int]:
         """As span, for canonical byte offsets; those within a character move outward."""
-        offsets = [0]
-        for c in self.canonical:
-            offsets.append(offsets[-1] + len(c.encode("utf-8", "surrogatepass")))
+        offsets = byte_offsets(self.canonical)
         start = min(max(start, 0), offsets[-1])
         end = max(start, min(end, offsets[-1]))
         if start == end:
@@ -121,9 +131,17 @@ def _starts_chunk(c: str) -> bool:
     return unicodedata.combining(first) == 0 and first not in _composing() and unicodedata.is_normalized("NFC", first)
 
 
+def byte_offsets(text: str) -> list[int]:
+    """The first byte of each character in UTF-8, and the number of all."""
+    if text.isascii():
+        return list(range(len(text) + 1))
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return [0, *(1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)).cumsum().tolist()]
+
+
 def _composed(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     """NFC, with the byte range of the original for each of its characters, and whether it was left as it was."""
-    at = list(range(len(text) + 1)) if text.isascii() else list(itertools.accumulate((1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in text), initial=0))
+    at = byte_offsets(text)
     if unicodedata.is_normalized("NFC", text):
         return text, at[:-1], at[1:], [True] * len(text)
     out, lows, highs, same = [], [], [], []
@@ -148,7 +166,7 @@ def _composed(text: str) -> tuple[str, list[int], list[int], list[bool]]:
 _URL = regex.compile(r"(?i:https?|ftp|file)://|(?i:www)\.")
 _PATH = regex.compile(r"~/|\.\.?/")
 _NUMBER = regex.compile(r"[vV]?[0-9]+(?:\.[0-9]+)+")
-_NOTABLE = regex.compile(r"[/\\]|(?i:www)\.|[0-9]\.[0-9]")  # in every URL, path and number
+_NOTABLE = re.compile(r"[/\\]|[wW]{3}\.|[0-9]\.[0-9]")  # in every URL, path and number
 _TRAILING, _LEADING = ".,;:!?)]}'\">", "([<{"
 
 
@@ -164,10 +182,11 @@ def token_kind(token: str) -> str | None:
 def protected_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in characters, by place. What was found first wins over what overlaps it: fenced code, inline code,
     straight quotes, curly quotes, then URLs, paths and numbers."""
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # sorted; none overlaps another
 
     def clash(s: int, e: int) -> bool:
-        return any(a < e and s < b for a, b, _ in taken)
+        k = bisect.bisect_left(taken, (e,))
+        return k > 0 and taken[k - 1][1] > s
 
     for opening, closing, kind in (("```", "```", "fenced_code"), ("`", "`", "inline_code"), ('"', '"', "quoted"), ("“", "”", "quoted")):
         at = 0
@@ -178,21 +197,24 @@ def protected_spans(text: str) -> list[tuple[int, int, str]]:
             e = text.find(closing, at)
             if e < 0:
                 if kind == "fenced_code":  # an open fence runs to the end
-                    taken.append((s, len(text), kind))
+                    bisect.insort(taken, (s, len(text), kind))
                 break
             e += len(closing)
             if not clash(s, e):
-                taken.append((s, e, kind))
+                bisect.insort(taken, (s, e, kind))
                 at = e
-    if not _NOTABLE.search(text):
-        return sorted(taken)
-    for m in regex.finditer(r"\P{White_Space}+", text):
-        raw = m[0]
-        end = m.start() + len(raw.rstrip(_TRAILING))
-        start = m.end() - len(raw.lstrip(_LEADING))
+    at = 0  # only what white space delimits around a notable place can be a URL, path or number
+    while m := _NOTABLE.search(text, at):
+        first, at = m.start(), _SPACE.search(text, m.end() - 1)
+        at = at.start() if at else len(text)
+        while first and not _SPACE.match(text[first - 1]):
+            first -= 1
+        raw = text[first:at]
+        end = first + len(raw.rstrip(_TRAILING))
+        start = at - len(raw.lstrip(_LEADING))
         if start < end and (kind := token_kind(text[start:end])) and not clash(start, end):
-            taken.append((start, end, kind))
-    return sorted(taken)
+            bisect.insort(taken, (start, end, kind))
+    return taken
 
 
 # --- look-alikes ------------------------------------------------------------------------------------------------------
@@ -245,13 +267,15 @@ def look_alike(word: str, table: dict[str, str]) -> tuple[str | None, str | None
     return ("Homoglyph", plain) if plain is not None else (None, None)
 
 
-_RUN = regex.compile(r"(?P<space>\p{White_Space}+)|(?P<word>\P{White_Space}+)")
-_WIDE = regex.compile(r"\p{White_Space}{2,}")
-_DOUBLED = regex.compile(r"([!-/:-@\[-`{-~])\1")
+_RUN = re.compile(f"(?P<space>[{_WHITE}]+)|(?P<word>[^{_WHITE}]+)")
+_WIDE = re.compile(f"[{_WHITE}]{{2,}}")
+_OTHER_SPACE = re.compile(f"(?! )[{_WHITE}]")
+_DOUBLED = re.compile(r"([!-/:-@\[-`{-~])\1")
 
 
-def _one_to_one(c: str, low: str) -> bool:
-    return c.lower() == low
+def _one_to_one(text: str) -> bool:
+    """Whether lower() makes one character of each, whatever stands around it."""
+    return text.isascii() or "Σ" not in text and all(len(c.lower()) == 1 for c in set(text))
 
 
 # --- the whole --------------------------------------------------------------------------------------------------------
@@ -264,9 +288,12 @@ def lower(c: str, fold: str) -> str:
     return "σ" if c == "Σ" else c.lower()
 
 
+_SENTENCE_END = re.compile("[.!?] ")
+
+
 def sentence_starts(canonical: str) -> list[int]:
     """A sentence starts at 0 and after each of . ! ? that a space follows, in protected spans too."""
-    return [0] + [m.end() for m in regex.finditer(r"[.!?] ", canonical)]
+    return [0] + [m.end() for m in _SENTENCE_END.finditer(canonical)]
 
 
 def normalize(text: str, config: Config = Config(), skeletons: dict[str, str] = BASIC_SKELETONS) -> Normalized:
@@ -274,7 +301,7 @@ def normalize(text: str, config: Config = Config(), skeletons: dict[str, str] =
     if size > MAX_INPUT_BYTES:
         raise TooLong(size)
     nfc, lows, highs, same = _composed(text)
-    n = Normalized(text, config)
+    n = Normalized(text, config, skeletons=skeletons)
     out: list[str] = []  # pieces
     length, verbatim = 0, True  # characters so far; whether the last one is as it was
 
@@ -314,10 +341,11 @@ def normalize(text: str, config: Config = Config(), skeletons: dict[str, str] =
             while s < e and _SPACE.match(nfc[e - 1]):
                 e -= 1
             core = nfc[s:e]
-            if core and "Σ" not in core and (config.fold == "unicode_lower" or core.isascii()) and (config.punct == "keep" or not _DOUBLED.search(core)) and len(low := core.lower()) == len(core) and (core.isascii() or all(map(_one_to_one, core, low))):
+            if core and (config.fold == "unicode_lower" or core.isascii()) and (config.punct == "keep" or not _DOUBLED.search(core)) and _one_to_one(core):
+                low = core.lower()
                 words(start, s)
                 close_gap()
-                copy(_SPACE.sub(" ", low), s)
+                copy(_OTHER_SPACE.sub(" ", low), s)
                 verbatim = low[-1] == core[-1] and same[e - 1]
                 words(e, stop)
             else:
@@ -336,8 +364,7 @@ def normalize(text: str, config: Config = Config(), skeletons: dict[str, str] =
             close_gap()
             word = m[0]
             low = word.lower() if config.fold == "unicode_lower" or word.isascii() else "".join(lower(c, config.fold) for c in word)
-            plain = len(low) == len(word) and "Σ" not in word and (config.punct == "keep" or not _DOUBLED.search(word))
-            if plain and (word.isascii() or all(map(_one_to_one, word, low))):
+            if (config.punct == "keep" or not _DOUBLED.search(word)) and (config.fold == "unicode_lower" or word.isascii()) and _one_to_one(word):
                 copy(low, s)
                 verbatim = low[-1] == word[-1] and same[e - 1]
                 continue
@@ -362,28 +389,36 @@ def normalize(text: str, config: Config = Config(), skeletons: dict[str, str] =
     free(at, len(nfc))
     n.canonical = "".join(out)
     n.exact_end = verbatim
-    _tokenize(n, skeletons)
+    n.sentences = len(_SENTENCE_END.findall(n.canonical)) + 1
     return n
 
 
-def _tokenize(n: Normalized, skeletons: dict[str, str]) -> None:
-    starts = sentence_starts(n.canonical)
-    n.sentences = len(starts)
-    ends = [p[2] for p in n.protected]
-    bounds = [m.start() for m in _BOUND.finditer(n.canonical)]
+def word_places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the words by UAX 29 that hold a letter or digit."""
+    if not _BEYOND.search(text):
+        return [m.span() for m in _SIMPLE_WORD.finditer(text) if m[0][0] != "_" or m[0].strip("_")]
+    bounds = [m.start() for m in _BOUND.finditer(text)]
     if bounds[:1] != [0]:
         bounds.insert(0, 0)
-    if bounds[-1] != len(n.canonical):
-        bounds.append(len(n.canonical))
+    if bounds[-1] != len(text):
+        bounds.append(len(text))
+    # the library lets an apostrophe begin a word before a vowel, which the standard does not
+    return [(s + (text[s] in "'\u2019"), e) for s, e in zip(bounds, bounds[1:]) if text[s:e].isalnum() or _WORDLIKE.search(text, s, e)]
+
+
+def _tokens(n: Normalized) -> list[Token]:
+    starts, out = sentence_starts(n.canonical), []
+    ends = [p[2] for p in n.protected]
     sentence, upcoming, lows, highs = 0, 1, n.lows, n.highs
-    for s, e in zip(bounds, bounds[1:]):
+    if not ends and len(starts) == 1 and n.canonical.isascii():
+        return [Token(m[0], s, e, (lows[s], highs[e - 1]), None, 0) for m in _SIMPLE_WORD.finditer(n.canonical) for s, e in [m.span()] if m[0].strip("_")]
+    for s, e in word_places(n.canonical):
         word = n.canonical[s:e]
-        if not word.isalnum() and not _WORDLIKE.search(word):
-            continue
         while upcoming < len(starts) and starts[upcoming] <= s:
             sentence, upcoming = upcoming, upcoming + 1
         zone = None
         if ends:
             k = bisect.bisect_right(ends, s)
             zone = n.protected[k][0] if k < len(ends) and n.protected[k][1] < e else None
-        n.tokens.append(Token(word, s, e, (lows[s], highs[e - 1]), zone, sentence, *((None, None) if word.isascii() else look_alike(word, skeletons))))
+        out.append(Token(word, s, e, (lows[s], highs[e - 1]), zone, sentence, *((None, None) if word.isascii() else look_alike(word, n.skeletons))))
+    return out

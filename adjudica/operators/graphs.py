@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import graph as kernel
-from ..sources.staging import staged
+from ..sources.staging import discard, staged
+
+#: Classes up to this many are broadcast when nodes learn theirs; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -20,23 +24,28 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return there.unionAll(back)
 
 
-def refine(nodes: DataFrame, adjacent: DataFrame, rounds: int | None = 3, most: int = 64) -> DataFrame:
-    """(v, colour) after *rounds* rounds, or with None until a round adds no class (at most *most* rounds).
+def refine(nodes: DataFrame, adjacent: DataFrame, rounds: int | None = 3) -> DataFrame:
+    """(v, colour) after *rounds* rounds, or with None until a round adds no class, which takes as many rounds as there are nodes at most.
 
-    For one large graph: a round is one join and one aggregation. A node's neighbours are first counted by (edge mark, colour),
-    which combines map-side and leaves a hub as many rows as there are different marks around it; the sorted counts are hashed
-    with SHA-256. Each round's colours are written to the shared folder, which cuts the lineage.
+    For one large graph: a round is one join and two aggregations that combine map-side. A node's neighbours are counted by (edge
+    mark, colour); each such mark with its count is hashed with SHA-256, and the hashes are summed in pieces of 32 bits. So a hub is
+    never gathered, however many different marks are around it (a piece's sum holds 2**31 of them). Each round's colours are
+    written to the shared folder, which cuts the lineage, and those before are deleted.
     """
-    colours, _ = staged(nodes.select("v", F.sha2(F.concat(F.lit("init|"), F.col("label").cast("string")), 256).alias("colour")), "colours")
-    classes = None
-    for _ in range(most if rounds is None else rounds):
+    colours, path = staged(nodes.select("v", F.sha2(F.concat(F.lit("init|"), F.col("label").cast("string")), 256).alias("colour")), "colours")
+    classes, limit, run = None, nodes.count() if rounds is None else rounds, 0
+    while run < limit:
         if rounds is None and classes is None:
             classes = colours.select("colour").distinct().count()
         around = adjacent.join(colours.select(F.col("v").alias("u"), "colour"), "u").groupBy("v", "has", "label", "way", "colour").agg(F.count("*").alias("n"))
-        mark = F.concat_ws(":", "has", "label", "way", "colour", "n")
-        seen = around.groupBy("v").agg(F.array_join(F.array_sort(F.collect_list(mark)), ",").alias("around"))
-        new = colours.join(seen, "v", "left").select("v", F.sha2(F.concat_ws("|", "colour", F.coalesce("around", F.lit(""))), 256).alias("colour"))
-        colours, _ = staged(new, "colours")
+        hashed = around.select("v", F.sha2(F.concat_ws(":", "has", "label", "way", "colour", "n"), 256).alias("h"))
+        pieces = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8)]
+        seen = hashed.groupBy("v").agg(F.count("*").alias("n"), *pieces)
+        sums = F.concat_ws(",", "n", *(f"s{i}" for i in range(8)))
+        new = colours.join(seen, "v", "left").select("v", F.sha2(F.concat_ws("|", "colour", sums), 256).alias("colour"))
+        before, (colours, path) = path, staged(new, "colours")
+        discard(nodes.sparkSession, before)
+        run += 1
         if rounds is None:
             now = colours.select("colour").distinct().count()
             if now == classes:
@@ -46,9 +55,25 @@ def refine(nodes: DataFrame, adjacent: DataFrame, rounds: int | None = 3, most:
 
 
 def partition(colours: DataFrame) -> DataFrame:
-    """(v, class): the smallest node of each colour's class, which no longer depends on the hash."""
-    least = colours.groupBy("colour").agg(F.min("v").alias("class"))
-    return colours.join(least, "colour").select("v", "class")
+    """(v, class): the smallest node of each colour's class, which no longer depends on the hash.
+
+    The classes are broadcast if they are few, which is when a colour may be most of the nodes; else they are joined by a shuffle.
+    """
+    least, _ = staged(colours.groupBy("colour").agg(F.min("v").alias("class")), "classes")
+    few = least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return colours.join(F.broadcast(least) if few else least, "colour").select("v", "class")
+
+
+def fingerprint(colours: DataFrame) -> DataFrame:
+    """(classes, nodes, fingerprint) of one large graph: equal for graphs that differ in the naming of nodes only.
+
+    Hashes of (colour, how many nodes have it) are summed in pieces of 32 bits, so no list of colours is gathered. For fingerprints of
+    the byte layout that small graphs have, see refine_each.
+    """
+    hashed = colours.groupBy("colour").agg(F.count("*").alias("n")).select("n", F.sha2(F.concat_ws(":", "colour", "n"), 256).alias("h"))
+    pieces = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8)]
+    total = hashed.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), *pieces)
+    return total.select("classes", "nodes", F.sha2(F.concat_ws(",", "classes", "nodes", *(f"s{i}" for i in range(8))), 256).alias("fingerprint"))
 
 
 def refine_each(nodes: DataFrame, edges: DataFrame, graph: str = "g", rounds: int | None = 3, mode: str = "wl", hash: str = "sha2_256") -> DataFrame:
@@ -73,13 +98,12 @@ def refine_each(nodes: DataFrame, edges: DataFrame, graph: str = "g", rounds: in
     return nodes.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(run, f"{graph} {kind}, fingerprint string, classes int, rounds int")
 
 
-def label_of(*parts: str) -> Column:
-    """A 64-bit label (as a signed long of the same bits) from string columns."""
+def label_of(*parts: str | Column) -> Column:
+    """A 64-bit label (as a signed long of the same bits) from string columns; null if one of them is."""
 
-    @F.pandas_udf("long")
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            values = [kernel.label_of(*(str(x).encode() for x in row)) for row in zip(*columns)]
-            yield pd.Series([v - 2**64 if v >= 2**63 else v for v in values], dtype="int64")
+    @F.arrow_udf("long")
+    def run(rows: pa.Array) -> pa.Array:
+        values = [None if None in row else kernel.label_of(*map(str.encode, row)) for row in rows.to_pylist()]
+        return pa.array([v if v is None or v < 2**63 else v - 2**64 for v in values], pa.int64())
 
-    return run(*parts)
+    return run(F.array(*(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)))

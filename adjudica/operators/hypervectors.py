@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decisions import similarity
@@ -17,34 +18,55 @@ def _signed(words: np.ndarray) -> list[list[int]]:
     return words.view(np.int64).tolist()
 
 
+def _lists(words: np.ndarray, present: np.ndarray) -> pa.Array:
+    """Rows of words where *present*, null elsewhere."""
+    width = words.shape[1] if words.ndim == 2 else 0
+    at = np.r_[0, np.cumsum(present * width)].astype(np.int32)
+    offsets = pa.array(at, mask=np.r_[~present, False])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(words).view(np.int64).ravel()))
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors that are not null as rows, which rows those are)."""
+    present = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    n = int(present.sum())
+    return flat.view(np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64), present
+
+
 def _unsigned(rows) -> np.ndarray:
     return np.array([list(r) for r in rows], dtype=np.int64).view(np.uint64)
 
 
 def seed(symbol: Column, namespace: str, version: int = 1) -> Column:
-    """The 64-bit seed of a symbol, as a signed long of the same bits."""
+    """The 64-bit seed of a symbol, as a signed long of the same bits; null for null."""
 
-    @F.pandas_udf("long")
-    def run(symbols: pd.Series) -> pd.Series:
-        return pd.Series(np.array([hdc.seed(namespace, s, version) for s in symbols], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def run(symbols: pa.Array) -> pa.Array:
+        made = [None if s is None else hdc.seed(namespace, s, version) for s in symbols.to_pylist()]
+        return pa.array([x if x is None or x < 2**63 else x - 2**64 for x in made], pa.int64())
 
     return run(symbol)
 
 
 def encode(symbol: Column, namespace: str, dim: int = 1024, version: int = 1) -> Column:
-    """Packed hypervectors of symbols."""
+    """Packed hypervectors of symbols; null for null."""
 
-    @F.pandas_udf("array<long>")
-    def run(symbols: pd.Series) -> pd.Series:
-        return pd.Series(_signed(hdc.encode([hdc.seed(namespace, s, version) for s in symbols], dim))) if len(symbols) else pd.Series([], dtype=object)
+    @F.arrow_udf("array<long>")
+    def run(symbols: pa.Array) -> pa.Array:
+        present = symbols.is_valid().to_numpy(zero_copy_only=False)
+        return _lists(hdc.encode([hdc.seed(namespace, s, version) for s in symbols.to_pylist() if s is not None], dim), present)
 
     return run(symbol)
 
 
 def permute(vector: Column, shift: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def run(vectors: pd.Series) -> pd.Series:
-        return pd.Series(_signed(hdc.permute(_unsigned(vectors), shift))) if len(vectors) else pd.Series([], dtype=object)
+    """Component i moves to i + *shift*, around the end; null stays null."""
+
+    @F.arrow_udf("array<long>")
+    def run(vectors: pa.Array) -> pa.Array:
+        words, present = _vectors(vectors)
+        return _lists(hdc.permute(words, shift), present) if len(words) else pa.array([None] * len(present), pa.list_(pa.int64()))
 
     return run(vector)
 
@@ -86,23 +108,59 @@ def bundle(df: DataFrame, keys: list[str], vector: str = "vector", dim: int = 10
     return sums(df, keys, vector, None, dim).withColumn("vector", signs(F.col("sums"))).drop("sums")
 
 
-BLOCK = 4096  # codebook entries that one row holds: 512 KB at 1024 dimensions
+def codebook(entries: DataFrame, id: str = "id", vector: str = "vector") -> DataFrame:
+    """(idx, id, vector): a codebook's entries, numbered in the byte order of their ids.
+
+    An empty codebook is an error at once; an empty or null id, or one that occurs twice, when the entries are read.
+    """
+    if entries.isEmpty():
+        raise hdc.CodebookError("empty", "codebook is empty")
+    once = entries.groupBy(F.col(id).alias("id")).agg(F.count("*").alias("_n"), F.min(vector).alias("vector"))
+    fault = F.when(F.coalesce(F.length("id"), F.lit(0)) == 0, "empty codebook id").when(F.col("_n") > 1, F.concat(F.lit("duplicate codebook id "), "id"))
+    checked = once.withColumn("_n", F.when(fault.isNull(), F.lit(0)).otherwise(F.raise_error(fault).cast("int"))).filter("_n = 0")
+    # codebooks are dimensions; a large one is numbered in one task, but holds no more than ids and vectors
+    return checked.select((F.row_number().over(Window.orderBy("id")) - 1).alias("idx"), "id", "vector")
+
+
+BLOCK = 4096  # codebook entries that go along as a constant: 512 KB at 1024 dimensions; a larger codebook is dealt to rows of so many
+BROADCAST_BYTES = 64 << 20
 
 
 def nearest(queries: DataFrame, book: DataFrame, key: str, dim: int = 1024, floor: int = -1000) -> DataFrame:
     """(key, id, similarity, margin): for each query the entry of a codebook (id, vector) that is most like it, if that reaches *floor*.
 
-    The codebook is dealt to blocks of about BLOCK entries, each one row; a query meets each block and keeps its two best of it. A
-    codebook of one block (the usual case) needs no shuffle of the queries. Of equal entries the first id wins; a single
-    entry's runner-up counts as -1000. Keys are taken to be unique.
+    A codebook of at most BLOCK entries (counted first) goes along as a constant, and queries are not shuffled. A larger one is dealt to
+    blocks, each one row; a query meets each block and keeps its two best of it. The blocks are broadcast if their bytes are at
+    most BROADCAST_BYTES; else queries are dealt to as many parts as there are blocks, so that no key holds all queries. Of equal
+    entries the first id wins; a single entry's runner-up counts as -1000. Keys are taken to be unique; null vectors have no row.
     """
-    blocks = max(1, -(-book.count() // BLOCK))
+    count = book.count()
+    present = queries.filter(F.col("vector").isNotNull())
+    if count <= BLOCK:
+        held = sorted(((r.id, r.vector) for r in book.select("id", "vector").collect()), key=lambda e: e[0].encode())
+        ids, words = [i for i, _ in held], _unsigned([v for _, v in held]) if held else np.zeros((0, dim // 64), np.uint64)
+
+        @F.arrow_udf("struct<id:string,similarity:int,margin:int>")
+        def best_of(vectors: pa.Array) -> pa.Array:
+            asked, _ = _vectors(vectors)
+            first, top, margin = hdc.nearest_of_each(asked, words)
+            return pa.StructArray.from_arrays([pa.array([ids[i] for i in first], pa.string()), pa.array(top, pa.int32()), pa.array(margin, pa.int32())], names=["id", "similarity", "margin"])
+
+        if not ids:
+            return present.select(key, F.lit("").alias("id"), F.lit(0).alias("similarity"), F.lit(0).alias("margin")).limit(0)
+        return present.select(key, best_of("vector").alias("_b")).filter(F.col("_b.similarity") >= floor).select(key, "_b.id", "_b.similarity", "_b.margin")
+    blocks = -(-count // BLOCK)
     entries = book.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_g")).groupBy("_g").agg(F.collect_list(F.struct("id", "vector")).alias("_book"))
-    sent = queries.select(key, "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_g"))
+    sent = present.select(key, "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_g"))
+    if count * (dim // 8 + 64) <= BROADCAST_BYTES:
+        met = sent.join(F.broadcast(entries), "_g")
+    else:
+        parts = F.lit(blocks)
+        spread = entries.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        met = sent.withColumn("_p", F.pmod(F.xxhash64(key), parts)).join(spread, ["_g", "_p"])
     sims = F.transform("_book", lambda e: F.struct((-similarity(F.col("vector"), e["vector"], dim)).alias("s"), e["id"].alias("id")))
-    best = sent.join(entries, "_g").select(key, F.slice(F.array_sort(sims), 1, 2).alias("_two"))
-    if blocks > 1:
-        best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_two"))), 1, 2).alias("_two"))
+    best = met.select(key, F.slice(F.array_sort(sims), 1, 2).alias("_two"))
+    best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_two"))), 1, 2).alias("_two"))
     best = best.withColumn("similarity", -F.col("_two")[0]["s"])
     margin = F.least(F.lit(1000), F.col("similarity") - F.coalesce(-F.get(F.col("_two"), F.lit(1))["s"], F.lit(-1000)))
     return best.filter(F.col("similarity") >= floor).select(key, F.col("_two")[0]["id"].alias("id"), F.col("similarity").cast("int").alias("similarity"), margin.cast("int").alias("margin"))

@@ -1,101 +1,66 @@
-"""Dictionary joins: exact phrases, substrings, typo repair by shared deletions, word overlap."""
+"""Dictionary operators over tables of texts: hits, flags, typo repair, word overlap.
+
+Words come from the kernel, which scans a text in one pass where it lies; what leaves it are hits, so there is no shuffle between
+texts and hits. A lexicon is a compiled specification that goes along with the function.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels.lexicon import MIN_OVERLAP_CHARS, MIN_REPAIR_CHARS, deletes, edits_allowed, repair_cost
+from ..functions.text import lexicon_lookup, repaired
+from ..kernels.lexicon import MIN_REPAIR_CHARS, Lexicon
+from ..kernels.text import BASIC_SKELETONS
 
+#: Rows of a side that may be broadcast: checked before each use.
+BROADCAST_ROWS = 1_000_000
 
-def terms_table(spark: SparkSession, terms: list[str]) -> DataFrame:
-    """A specification's terms, which the driver holds anyway: small enough to broadcast."""
-    return spark.createDataFrame([(t, t.count(" ") + 1) for t in terms], "term string, width int")
 
+def hits(docs: DataFrame, key: str, text: str, lexicon: Lexicon, skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """(doc, term, tag, start, end, span, kind, edits, penalty): the hits of each text's scan from left to right; null and refused texts have none."""
+    found = docs.select(F.col(key).alias("doc"), lexicon_lookup(F.col(text), lexicon, skeletons)["hits"].alias("h"))
+    return found.select("doc", F.inline("h"))
 
-def phrase_hits(tokens: DataFrame, terms: DataFrame, widest: int = 3) -> DataFrame:
-    """(doc, sentence, pos, term, width): for each token the longest term that its sentence goes on with from there.
 
-    One shuffle by sentence: the words after a token come by lead(), and only at adjoining positions (a protected token, which has no
-    row, parts its neighbours); the terms are broadcast.
-    """
-    by = Window.partitionBy("doc", "sentence").orderBy("pos")
-    after = [(F.lead("word", k).over(by), F.lead("pos", k).over(by)) for k in range(1, widest)]
-    wide = tokens.select("doc", "sentence", F.col("pos").cast("int").alias("pos"), "word", *(w.alias(f"w{k}") for k, (w, _) in enumerate(after, 1)), *(p.alias(f"p{k}") for k, (_, p) in enumerate(after, 1)))
-    grams = [F.struct(F.lit(1).alias("width"), F.col("word").alias("term"))]
-    for k in range(1, widest):
-        words = F.concat_ws(" ", "word", *(f"w{i}" for i in range(1, k + 1)))
-        grams.append(F.struct(F.lit(k + 1).alias("width"), F.when(F.col(f"p{k}") == F.col("pos") + k, words).alias("term")))
-    each = wide.select("doc", "sentence", "pos", F.inline(F.array(*grams)))
-    met = each.join(F.broadcast(terms.select("term")), "term")
-    best = F.max(F.struct("width", "term")).alias("b")
-    return met.groupBy("doc", "sentence", "pos").agg(best).select("doc", "sentence", "pos", "b.term", "b.width")
-
-
-def without_overlaps(hits: DataFrame) -> DataFrame:
-    """Hits from left to right such that none starts within one that was kept.
-
-    Hits that overlap, directly or over others, form an island; whether a hit is kept only depends on its island, so each is folded by itself.
-    """
-    by = Window.partitionBy("doc", "sentence").orderBy("pos")
-    reach = F.max(F.col("pos") + F.col("width")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    starts = hits.withColumn("_new", F.when(F.col("pos") >= F.coalesce(reach, F.lit(-1)), 1).otherwise(0))
-    islands = starts.withColumn("_island", F.sum("_new").over(by)).groupBy("doc", "sentence", "_island").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "width"))).alias("hs"))
-    state = "struct<free:int,kept:array<struct<pos:int,term:string,width:int>>>"
-    walked = F.aggregate(
-        "hs",
-        F.expr(f"cast(struct(0, array()) as {state})"),
-        lambda s, h: F.when(h["pos"] >= s["free"], F.struct((h["pos"] + h["width"]).alias("free"), F.array_append(s["kept"], h).alias("kept"))).otherwise(s).cast(state),
-    )
-    return islands.select("doc", "sentence", F.inline(walked["kept"]))
-
-
-def substring_hits(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term): distinct words that contain a term and are longer; the longest term, then the first in byte order.
-
-    Terms are a specification's few, so each is looked for in each distinct word; words are made distinct first.
-    """
-    met = words.select("word").distinct().join(F.broadcast(terms.select("term")), F.col("word").contains(F.col("term")) & (F.octet_length("word") > F.octet_length("term")))
-    first = F.row_number().over(Window.partitionBy("word").orderBy(F.desc(F.octet_length("term")), "term"))
-    return met.withColumn("_r", first).filter("_r = 1").select("word", "term")
+def flags(docs: DataFrame, key: str, text: str, lexicon: Lexicon, skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """(doc, term, token, span, kind): look-alikes of terms."""
+    found = docs.select(F.col(key).alias("doc"), lexicon_lookup(F.col(text), lexicon, skeletons)["flags"].alias("f"))
+    return found.select("doc", F.inline("f"))
 
 
-def repairs(words: DataFrame, terms: list[str], guards: list[str] = (), spark: SparkSession | None = None) -> DataFrame:
+def repairs(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(word, term, edits): each distinct word that is no term or guard, with the single-word term of the least repair cost.
 
-    Words and terms within two edits share what is left after at most two deletions, so a join on deletions finds all candidates;
-    only those get the exact cost. Words too short, or longer than the longest term by more than two, can't be repaired and go first.
+    Words too short, or longer than the longest term by more than two, can't be repaired and go before the shuffle that makes the
+    rest distinct; each of those is repaired once, by the terms with which it shares a deletion.
     """
-    spark = spark or words.sparkSession
-    single = sorted((t for t in terms if " " not in t), key=str.encode)
-    longest = max(map(len, single), default=0)
-    rows = [(d, t) for t in single for d in deletes(t, edits_allowed(len(t)))]
-    shared = spark.createDataFrame(rows, "gap string, term string")
-    usable = words.select("word").distinct().filter((F.length("word") >= MIN_REPAIR_CHARS) & (F.length("word") <= longest + 2) & ~F.col("word").isin(*guards, *terms))
-
-    @F.udf("array<string>", useArrow=True)
-    def gaps(word: str) -> list[str]:
-        return sorted(deletes(word, 2))
+    usable = words.select("word").filter((F.length("word") >= MIN_REPAIR_CHARS) & (F.length("word") <= lexicon.longest + 2)).distinct()
+    return usable.withColumn("_r", repaired(F.col("word"), lexicon)).filter("_r is not null").select("word", "_r.term", "_r.edits")
 
-    @F.udf("struct<edits:int,misses:int,others:int>", useArrow=True)
-    def cost(word: str, term: str):
-        c = repair_cost(word, term, edits_allowed(len(term)))
-        return None if c is None or not c[0] else {"edits": c[0], "misses": c[1], "others": c[2]}
 
-    near = usable.withColumn("gap", F.explode(gaps("word"))).join(F.broadcast(shared), "gap").select("word", "term").distinct()
-    costs = near.withColumn("c", cost("word", "term")).filter("c is not null")
-    return costs.groupBy("word").agg(F.min(F.struct("c", "term")).alias("m")).select("word", "m.term", "m.c.edits")
+def overlap(query: Column, candidate: Column) -> Column:
+    """Thousandths of a candidate's words (an array of distinct ones) that a query has; 0 for an empty candidate."""
+    n = F.size(candidate)
+    return F.when(n > 0, F.call_function("div", F.size(F.array_intersect(query, candidate)) * 1000, n)).otherwise(0).cast("int")
 
 
-def overlaps(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(doc, candidate, c): thousandths of a candidate's distinct words of three characters or more that a document has.
+def overlaps(queries: DataFrame, candidates: DataFrame, least: int = 1) -> DataFrame:
+    """(doc, candidate, c): all pairs of at least *least* thousandths, of queries (doc, words) and candidates (candidate, words), arrays of distinct words.
 
-    Both sides are (doc or candidate, word). Pairs without a common word score zero and have no row. Words are made distinct
-    before the join and hits are summed map-side.
+    A pair that reaches *least* shares k = ceil(least * n / 1000) of the candidate's n words, so at least one of any n - k + 1 of them.
+    Candidates are posted under the n - k + 1 of their words that the fewest queries have (words that no query has
+    count as rarest), so a common word joins little; pairs that meet are then compared exactly. Counting queries by word combines map-side.
     """
-    long = F.length("word") >= MIN_OVERLAP_CHARS
-    have = queries.filter(long).select("doc", "word").distinct()
-    wanted = candidates.filter(long).select("candidate", "word").distinct()
-    sizes = wanted.groupBy("candidate").agg(F.count("*").alias("n"))
-    hits = have.join(wanted, "word").groupBy("doc", "candidate").agg(F.count("*").alias("hits"))
-    return hits.join(sizes, "candidate").select("doc", "candidate", F.expr("cast(1000 * hits div n as int)").alias("c"))
+    if not 1 <= least <= 1000:
+        raise ValueError("least is from 1 to 1000")
+    have = queries.select("doc", F.explode("words").alias("word"))
+    wanted = candidates.filter(F.size("words") > 0).select("candidate", "words", F.posexplode("words").alias("_i", "word"))
+    used = wanted.select("word").distinct()
+    often = have.join(used, "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    ranked = wanted.join(often, "word", "left").groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word"))).alias("w"))
+    need = F.ceil(F.size("w") * least / F.lit(1000)).cast("int")
+    posted = ranked.select("candidate", F.explode(F.slice("w", F.lit(1), F.size("w") - need + 1)).alias("x")).filter("x.often > 0").select("candidate", "x.word")
+    pairs = have.join(posted, "word").select("doc", "candidate").distinct()
+    both = pairs.join(candidates.select("candidate", F.col("words").alias("_c")), "candidate").join(queries.select("doc", F.col("words").alias("_q")), "doc")
+    return both.select("doc", "candidate", overlap(F.col("_q"), F.col("_c")).alias("c")).filter(F.col("c") >= least)

@@ -1,49 +1,42 @@
-"""Cue rules as joins over a token table (doc, sentence, pos, word)."""
+"""Cue rules over tables of texts: matches, class scores, decisions.
+
+The kernel matches a text's rules in one pass, with questions, negation, look-alikes and repaired words; only its matches become
+rows, so there is no shuffle between texts and matches, and no sentence is gathered anew.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels.rules import MAX_ITEMS, MIN_GERUND_CHARS, SLOTS, Rule, RuleClass
-
-
-def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """A specification's rules, which the driver holds anyway."""
-    rows = [(r.id, r.rule_class, r.pattern.split(" "), next(k for k, w in enumerate(r.pattern.split(" ")) if w not in SLOTS), next(w for w in r.pattern.split(" ") if w not in SLOTS), r.weight, "negation" in r.forbids, "negation" in r.requires) for r in rules]
-    return spark.createDataFrame(rows, "rule string, class string, items array<string>, first int, literal string, weight int, forbids boolean, requires boolean")
-
-
-def matches(tokens: DataFrame, rules: DataFrame, negators: list[str] = (), window: int = 3) -> DataFrame:
-    """(doc, sentence, start, end, rule, class, status, effective): all matches of all rules.
-
-    One shuffle by sentence: each token sees the few tokens around it in a range frame over positions (so a protected token, which has
-    no row, parts its neighbours), a broadcast join on the first literal finds candidate rules, and the tokens around verify them. A
-    containing match starts at most a pattern's length before, so suppression is another short frame of the same partitioning.
-    """
-    by = Window.partitionBy("doc", "sentence").orderBy("pos")
-    reach = MAX_ITEMS - 1
-    seen = tokens.select("doc", "sentence", "pos", F.col("word").alias("literal"), F.collect_list(F.struct("pos", "word")).over(by.rangeBetween(-(window + reach), reach)).alias("around"))
-    met = seen.join(F.broadcast(rules), "literal").withColumn("start", (F.col("pos") - F.col("first")).cast("int"))
-    at = lambda p: F.get(F.filter("around", lambda x: x["pos"] == p), F.lit(0))["word"]
-    fits = F.forall(
-        F.transform("items", lambda item, k: F.struct(item.alias("item"), at(F.col("start") + k).alias("word"))),
-        lambda x: x["word"].isNotNull() & F.when(x["item"] == "{word}", F.lit(True)).when(x["item"] == "{gerund}", x["word"].endswith("ing") & (F.length(x["word"]) >= MIN_GERUND_CHARS)).otherwise(x["word"] == x["item"]),
-    )
-    phrase = F.concat(F.lit(" "), F.array_join(F.transform(F.sequence(F.col("start") - window, F.col("start") - 1), lambda p: F.coalesce(at(p), F.lit("\u0001"))), " "), F.lit(" "))
-    negated = F.lit(False)
-    for n in negators:
-        negated = negated | phrase.contains(f" {n} ")
-    found = met.filter(fits).select("doc", "sentence", "start", (F.col("start") + F.size("items")).alias("end"), "rule", "class", "weight", "forbids", "requires", negated.alias("negated"))
-    near = Window.partitionBy("doc", "sentence").orderBy("start").rangeBetween(-MAX_ITEMS, 0)
-    judged = found.withColumn("near", F.collect_set(F.struct("start", "end")).over(near))
-    inside = F.exists("near", lambda o: (F.col("end") <= o["end"]) & ((o["start"] != F.col("start")) | (o["end"] != F.col("end"))))
-    status = F.when(inside, "suppressed").when(F.col("negated") & F.col("forbids"), "negated").when(F.col("requires") & ~F.col("negated"), "context_unmet").otherwise("counted")
-    return judged.select("doc", "sentence", "start", "end", "rule", "class", status.alias("status"), "weight").withColumn("effective", F.when(F.col("status") == "counted", F.col("weight")).otherwise(0)).drop("weight")
-
-
-def class_scores(found: DataFrame, classes: list[RuleClass], spark: SparkSession) -> DataFrame:
-    """(doc, class, option, c): each class's score by its scorer, where it has a match."""
-    table = spark.createDataFrame([(c.name, i, c.scorer) for i, c in enumerate(classes)], "class string, option int, scorer string")
+from ..functions.text import rule_scores
+from ..kernels.lexicon import Lexicon
+from ..kernels.rules import RuleSet
+from ..kernels.text import BASIC_SKELETONS
+from . import decide
+
+
+def scored(docs: DataFrame, key: str, text: str, rules: RuleSet, lexicon: Lexicon | None = None, skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """(doc, scores, matches) of each text that is not refused; *scores* holds one confidence per class."""
+    made = docs.select(F.col(key).alias("doc"), rule_scores(F.col(text), rules, lexicon, skeletons).alias("s"))
+    return made.filter("s.scores is not null").select("doc", "s.scores", "s.matches")
+
+
+def matches(docs: DataFrame, key: str, text: str, rules: RuleSet, lexicon: Lexicon | None = None, skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """(doc, pos, rule, class, start, end, span, status, question, penalty, effective): all matches, *pos* being the place in the order of matches."""
+    found = scored(docs, key, text, rules, lexicon, skeletons).select("doc", F.posexplode("matches").alias("pos", "m"))
+    return found.select("doc", "pos", "m.*")
+
+
+def class_scores(found: DataFrame, rules: RuleSet) -> DataFrame:
+    """(doc, class, option, c) from matches: each class's score by its scorer, where it has a match; combined map-side."""
+    table = found.sparkSession.createDataFrame([(c.name, i, c.scorer) for i, c in enumerate(rules.classes)], "class string, option int, scorer string")
     both = found.groupBy("doc", "class").agg(F.max("effective").alias("top"), F.sum("effective").alias("sum"))
-    return both.join(F.broadcast(table), "class").select("doc", "class", "option", F.when(F.col("scorer") == "max", F.col("top")).otherwise(F.least(F.lit(1000), F.col("sum"))).cast("int").alias("c"))
+    scores = F.when(F.col("scorer") == "max", F.col("top")).otherwise(F.least(F.lit(1000), F.col("sum")))
+    # a rule set has few classes
+    return both.join(F.broadcast(table), "class").select("doc", "class", "option", scores.cast("int").alias("c"))
+
+
+def decisions(docs: DataFrame, key: str, text: str, rules: RuleSet, lexicon: Lexicon | None = None, profile: str = "standard", skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """(doc, scores, answer): the gate over each text's class scores, without a shuffle."""
+    return decide.decide(scored(docs, key, text, rules, lexicon, skeletons).drop("matches"), profile)

@@ -1,4 +1,4 @@
-"""Token tables: one row per token, (doc, sentence, pos, word), from which the relational operators start."""
+"""Token tables: one row per token, from the kernel's words; everything else starts from arrays within a row, so no shuffle."""
 
 from __future__ import annotations
 
@@ -6,24 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
-from ..kernels.text import Config
+from ..kernels.text import BASIC_SKELETONS, Config
 
 
-def tokens(docs: DataFrame, key: str, text: str, config: Config = Config()) -> DataFrame:
-    """The free tokens of canonical texts that are no look-alikes (doc, sentence, pos, word), and where they come from."""
-    made = docs.select(F.col(key).alias("doc"), normalized(F.col(text), config).alias("n"))
+def all_tokens(docs: DataFrame, key: str, text: str, config: Config = Config(), skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """(doc, pos, word, start, end, span, zone, sentence, confusable, skeleton): every token of canonical texts, in protected spans too."""
+    made = docs.select(F.col(key).alias("doc"), normalized(F.col(text), config, skeletons).alias("n"))
     each = made.select("doc", F.explode("n.tokens").alias("t"))
-    return each.filter("t.zone is null and t.confusable is null").select("doc", "t.sentence", "t.pos", F.col("t.text").alias("word"), "t.span")
+    return each.select("doc", "t.pos", F.col("t.text").alias("word"), "t.start", "t.end", "t.span", "t.zone", "t.sentence", "t.confusable", "t.skeleton")
 
 
-def plain_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Tokens by expressions alone: lower-cased runs of letters, digits and inner apostrophes; sentences end at . ! ? before
-    a space. For texts without protected spans, look-alikes and script-dependent word bounds it is what tokens gives."""
-    parts = F.posexplode(F.split(F.lower(F.col(text)), "[.!?]\\s")).alias("sentence", "part")
-    by_sentence = docs.select(F.col(key).alias("doc"), parts)
-    words = F.filter(F.split("part", "[^\\p{L}\\p{N}']+"), lambda w: w != "")
-    each = by_sentence.select("doc", "sentence", F.posexplode(words).alias("pos", "word"))
-    return each.select("doc", "sentence", "pos", "word")
+def tokens(docs: DataFrame, key: str, text: str, config: Config = Config(), skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """The free tokens that are no look-alikes (doc, sentence, pos, word), and where they come from."""
+    return all_tokens(docs, key, text, config, skeletons).filter("zone is null and confusable is null").select("doc", "sentence", "pos", "word", "span")
 
 
 def sentence_count(canonical: Column) -> Column:

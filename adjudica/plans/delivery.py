@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..kernels.classifier import Classifier
+from ..kernels.decide import UNICODE_VERSION
 from ..kernels.lexicon import Entry, Lexicon
 from ..kernels.rules import Rule, RuleClass, RuleSet
 from ..kernels.text import Config
@@ -25,9 +26,16 @@ CUES = [
 ]
 
 
-def classifier(on_confusable: str = "abstain", skeletons: dict[str, str] | None = None) -> Classifier:
+def classifier(on_confusable: str = "abstain", skeletons: dict[str, str] | None = None, unicode: tuple[int, int, int] = UNICODE_VERSION) -> Classifier:
+    """*unicode*: RECORDED_UNICODE to replay recorded journals."""
     config = Config("unicode_lower", "collapse")
     entries = [Entry(term, tag) for tag, terms in TERMS.items() for term in terms]
     rules = [Rule(i, c, p, w, forbids=("negation",)) for i, c, p, w in CUES]
     classes = [RuleClass(c, "max") for c in ("queue", "steer", "interrupt")]
-    return Classifier("pua-steer/1", "delivery", Lexicon(entries, GUARDS, PENALTY_PER_EDIT, config), RuleSet(classes, rules, NEGATORS, NEGATION_WINDOW, config), config, on_confusable, skeletons)
+    return Classifier("pua-steer/1", "delivery", Lexicon(entries, GUARDS, PENALTY_PER_EDIT, config), RuleSet(classes, rules, NEGATORS, NEGATION_WINDOW, config), config, on_confusable, skeletons, unicode)
+
+
+def rules_file() -> dict:
+    """The rules in the form of a specification file."""
+    cues = [{"id": i, "class": c, "pattern": p, "weight_millis": w, "forbids": ["negation"], "version": 1} for i, c, p, w in CUES]
+    return {"negators": NEGATORS, "negation_window": NEGATION_WINDOW, "classes": [{"name": c, "scorer": "max"} for c in ("queue", "steer", "interrupt")], "rules": cues}

@@ -36,51 +36,6 @@ def events_gate(profile: str, of: str = "max") -> str:
     return f"with {EVIDENCE.format(of=of)}, {gate('scores', 'user_id', profile)}"
 
 
-WORDS = r"""
-parts as (select doc_id as doc, unnest(regexp_split_to_array(lower(text), '[.!?]\s')) as part, generate_subscripts(regexp_split_to_array(lower(text), '[.!?]\s'), 1) - 1 as sentence from {table}),
-sentences as (select doc, sentence, list_filter(regexp_split_to_array(part, '[^\p{{L}}\p{{N}}'']+'), lambda w: w <> '') as words from parts),
-words as (select doc, sentence, unnest(words) as word, generate_subscripts(words, 1) - 1 as pos from sentences)"""
-
-
-def words(table: str = "documents") -> str:
-    return WORDS.format(table=table)
-
-
-def phrases(terms: list[str]) -> str:
-    values = ", ".join(f"('{t}', {t.count(' ') + 1})" for t in terms)
-    return f"""
-terms(term, width) as (values {values}),
-grams as (
-    select doc, sentence, pos, word as g1, lead(word) over w as g2, lead(word, 2) over w as g3 from words window w as (partition by doc, sentence order by pos)),
-met as (
-    select doc, sentence, pos, term, width from grams join terms on term = g1 or term = g1 || ' ' || g2 or term = g1 || ' ' || g2 || ' ' || g3),
-hits as (select doc, sentence, pos, arg_max(term, width) as term, max(width) as width from met group by all)"""
-
-
-RULES = """
-raw as (
-    select doc, sentence, pos as s, pos + 1 as e, 'a.the' as rule, 'article' as class, 300 as weight, false as forbids, false as requires from grams where g1 = 'the'
-    union all select doc, sentence, pos, pos + 2, 'a.of_the', 'article', 400, false, false from grams where g1 = 'of' and g2 = 'the'
-    union all select doc, sentence, pos, pos + 3, 'a.the_word_of', 'article', 450, false, false from grams where g1 = 'the' and g3 = 'of'
-    union all select doc, sentence, pos, pos + 2, 'b.gerund', 'action', 700, false, false from grams where g1 = 'the' and g2 like '%ing' and length(g2) >= 5
-    union all select doc, sentence, pos, pos + 2, 'b.ing', 'action', 650, true, false from grams where g1 like '%ing' and length(g1) >= 5 and g2 = 'of'
-    union all select doc, sentence, pos, pos + 1, 'b.and', 'action', 500, true, false from grams where g1 = 'and'
-    union all select doc, sentence, pos, pos + 1, 'b.is', 'action', 350, false, true from grams where g1 = 'is'),
-back as (
-    select doc, sentence, pos, lag(word, 3) over w as p3, lag(word, 2) over w as p2, lag(word) over w as p1 from words window w as (partition by doc, sentence order by pos)),
-negated as (
-    select doc, sentence, pos, coalesce(p1 = 'no' or p2 = 'no' or p3 = 'no', false) or coalesce(p2 = 'in' and p1 = 'the', false) or coalesce(p3 = 'in' and p2 = 'the', false)
-        or coalesce(p1 = 'no', false) or coalesce(p2 = 'no', false) or coalesce(p3 = 'no', false) as negated from back),
-ranges as (select distinct doc, sentence, s, e from raw),
-inside as (select distinct a.doc, a.sentence, a.s, a.e from ranges a join ranges b on a.doc = b.doc and a.sentence = b.sentence and b.s <= a.s and a.e <= b.e and (a.s <> b.s or a.e <> b.e)),
-judged as (
-    select r.doc, r.sentence, r.s, r.e, rule, class, weight,
-        case when i.s is not null then 'suppressed' when n.negated and forbids then 'negated' when requires and not n.negated then 'context_unmet' else 'counted' end as status
-    from raw r join negated n on r.doc = n.doc and r.sentence = n.sentence and r.s = n.pos left join inside i on r.doc = i.doc and r.sentence = i.sentence and r.s = i.s and r.e = i.e),
-matches as (select *, case when status = 'counted' then weight else 0 end as effective from judged)"""
-CLASS_SCORES = "class_scores as (select doc, class, cast(case class when 'article' then 0 else 1 end as integer) as option, cast(case class when 'article' then least(1000, sum(effective)) else max(effective) end as integer) as c from matches group by doc, class)"
-
-
 def arbitration(levels: list[int], weights: list[list[int]], incumbent: bool) -> str:
     rows = ", ".join(f"({d}, {o}, {level * w // 1000})" for d, (level, row) in enumerate(zip(levels, weights)) for o, w in enumerate(row))
     held = "user_id % 5" if incumbent else "null"
@@ -132,7 +87,7 @@ c2 as (select c1.v, md5(colour || '|' || coalesce(around, '')) as colour from c1
 select v, min(v) over (partition by colour) as class from c2"""
 
 
-def sql(terms: list[str], levels: list[int], weights: list[list[int]]) -> dict[str, str]:
+def sql(levels: list[int], weights: list[list[int]]) -> dict[str, str]:
     names = {"seed": f"with {SEED.format(name='p_name')} select p_partkey, {SIGNED.format(x='seed')} as seed from seeded"}
     vectors = f"with {SEED.format(name='p_name')}, {STREAM}"
     named = f"{SEED.format(name='p_name')}, {STREAM}"
@@ -168,28 +123,6 @@ select o_custkey, case when top >= 750 and top - second >= 150 then candidate en
         "canonical_turns": r"select conv_id, turn, trim(regexp_replace(lower(nfc_normalize(text)), '[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) as canonical from conversations",
         "sentence_counts": r"select conv_id, turn, cast(len(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[.!?] ')) + 1 as integer) as sentences from conversations",
         "protected_urls": "select page_id, case when regexp_matches(lower(url), '^(https?://|ftp://|file://|www\\.)') or contains(url, '://') then 'url' end as kind, cast(1 as integer) as n from pages",
-        "lexicon_phrases": f"with {words()}, {phrases(terms)} select doc, term, count(*) as n from hits group by all",
-        "lexicon_substrings": f"""
-with {words()}, terms(term) as (values ('tionan'), ('ering'), ('there'), ('ungen'), ('mente')),
-met as (select distinct word, term from words join terms on contains(word, term) and strlen(word) > strlen(term))
-select word, term from met qualify row_number() over (partition by word order by strlen(term) desc, term) = 1""",
-        "overlap_candidates": rf"""
-with {words()},
-iparts as (select item_id as candidate, unnest(regexp_split_to_array(lower(text), '[.!?]\s')) as part from benchmark),
-iwords as (select distinct candidate, word from (select candidate, unnest(regexp_split_to_array(part, '[^\p{{L}}\p{{N}}'']+')) as word from iparts) where length(word) >= 3),
-have as (select distinct doc, word from words where length(word) >= 3),
-sizes as (select candidate, count(*) as n from iwords group by 1),
-hits as (select doc, candidate, count(*) as hits from have join iwords using (word) group by all),
-s as (select doc, candidate, cast(1000 * hits // n as integer) as c from hits join sizes using (candidate)),
-o as (select *, row_number() over (partition by doc order by c desc, candidate) as r from s),
-two as (select doc, max(case when r = 1 then candidate end) as candidate, max(case when r = 1 then c end) as top, coalesce(max(case when r = 2 then c end), 0) as second from o group by 1)
-select doc, case when top >= 650 and top - second >= 100 then candidate end as chosen, top, cast(top - second as integer) as margin from two""",
-        "rule_matches": f"with {words()}, {phrases(terms)}, {RULES} select doc, rule, status, count(*) as n, cast(sum(effective) as bigint) as effective from matches group by all",
-        "rule_class_scores": f"with {words()}, {phrases(terms)}, {RULES}, {CLASS_SCORES} select doc, class, option, c from class_scores",
-        "rule_decisions": f"""
-with {words()}, {phrases(terms)}, {RULES}, {CLASS_SCORES},
-scores as (select d.doc, o.option, coalesce(max(c), 0) as c from (select distinct doc from class_scores) d cross join range(2) o(option) left join class_scores s on s.doc = d.doc and s.option = o.option group by all),
-{gate("scores", "doc", "deep")}""",
         "decision_diff": f"""
 with a as ({standard}), b as ({deep})
 select * from (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,11 +13,15 @@ from pyspark.sql import functions as F
 from ..functions import decisions as d
 from ..functions import text as t
 from ..kernels import hdc
-from ..kernels.rules import Rule, RuleClass
-from ..kernels.text import Config
+from ..kernels.classifier import rules_spec
+from ..kernels.decide import RECORDED_UNICODE, profile_table
+from ..kernels.lexicon import Entry, Lexicon
+from ..kernels.rules import Rule, RuleClass, RuleSet
+from ..kernels.text import MAX_INPUT_BYTES, Config
 from ..operators import decide, graphs, hypervectors, lexicon, rules, tokens
 from ..sources import confusables, journal
-from . import delivery, oracles
+from ..sources.staging import dealt, staged
+from . import delivery, oracles, text_oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EVENT_TYPES = 5
@@ -139,17 +146,70 @@ def arbitrate_incumbent(spark, sf_dir):
 
 # --- text -------------------------------------------------------------------------------------------------------------
 
+#: What is put before conversations' texts, so that messages have cues, typos, questions, negations, spans and look-alikes.
+CUES = [
+    "Stop the build.", "stpo now, please!!", "do not stop.", "stop using it and cancel then", "should I stop?", "never mind, also add tests.", 'run "stop" then', "use `cancel` instead?", "st\u03bfp the build", "see https://a.b/c?x=stop, rather.",
+    "change to v1.2.3 after that!", "no need to kill ./src/stop.py, aborrt it", "canecl teh job. halt? no", "e\u0301tat: stop", "wait no... actually switch to rust", "collateral afterwads  (then)", "when you're done, and add", "\u201cstop\u201d forget it", "```\nstop\n``` next", "don't c\u0430ncel, halt", "ratehr instaed; nevr mind?", "Is it next? Then halt!",
+]
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): conversations' turns, each after a cue."""
+    turns = table(spark, sf_dir, "conversations")
+    cue = F.element_at(F.array(*map(F.lit, CUES)), (F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(len(CUES))) + 1).cast("int"))
+    return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(cue, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _digest(rows, order: str = "pos"):
+    """SHA-256 of a document's rows, given as text, in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, rows.alias("row")))), lambda x: x["row"]), "\n"), 256)
+
 
 @query
 def canonical_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.canonical(F.col("text")).alias("canonical"))
 
 
+def _summarised(docs: DataFrame, key: str, collapse: bool) -> DataFrame:
+    n = dealt(docs).select(key, t.summary(F.col("text"), Config(punct="collapse" if collapse else "keep")).alias("n"))
+    kinds = F.array_join(F.transform("n.protected", lambda p: F.concat_ws(":", p["kind"], p["span"]["start"], p["span"]["end"])), ",")
+    return n.select(key, F.sha2("n.canonical", 256).alias("canonical_sha256"), "n.n_tokens", "n.sentences", kinds.alias("protected"))
+
+
 @query
 def canonical_documents(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").select("doc_id", t.normalized(F.col("text"), Config(punct="collapse")).alias("n"))
-    kinds = F.array_join(F.transform("n.protected", lambda p: F.concat_ws(":", p["kind"], p["span"]["start"], p["span"]["end"])), ",")
-    return n.select("doc_id", F.sha2("n.canonical", 256).alias("canonical_sha256"), F.size("n.tokens").alias("n_tokens"), "n.sentences", kinds.alias("protected"))
+    """Canonical texts with runs of marks as one, and what they hold."""
+    return _summarised(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", True)
+
+
+@query
+def canonical_messages(spark, sf_dir):
+    """As canonical_documents, of texts with all kinds of protected spans, runs of marks kept."""
+    return _summarised(messages(spark, sf_dir), "id", False)
+
+
+@query
+def canonical_decomposed(spark, sf_dir):
+    """Texts whose accented letters are written as two characters: their canonical form has one, and its spans lead to both."""
+    split = F.lower("text")
+    for whole, parts in DECOMPOSED:
+        split = F.replace(split, F.lit(whole), F.lit(parts))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", split.alias("text"))
+    made = turns.select("conv_id", "turn", "text", t.normalized(F.col("text")).alias("n"))
+    letters = F.array_join(F.transform("n.tokens", lambda x: d.span_slice(F.col("text"), x["span"]["start"], x["span"]["end"])), " ")
+    return made.select("conv_id", "turn", "n.canonical", F.sha2(letters, 256).alias("originals_sha256"))
+
+
+#: Letters of the test texts, as one character and as two.
+DECOMPOSED = [(c, unicodedata.normalize("NFD", c)) for c in "\u00e9\u00e8\u00ea\u00e7\u00e4\u00fc\u00f6\u00f3\u00f1\u00ed"]
+
+
+@query
+def to_original_turns(spark, sf_dir):
+    """The original bytes of the canonical bytes from 10 to 40 of each turn; ends within a character move outward."""
+    turns = table(spark, sf_dir, "conversations").filter(F.length("text") > 60)
+    span = t.to_original(F.col("text"), F.lit(10), F.lit(40))
+    return turns.select("conv_id", "turn", span.alias("s")).select("conv_id", "turn", F.col("s.start").alias("first"), F.col("s.end").alias("last"))
 
 
 @query
@@ -163,50 +223,103 @@ def protected_urls(spark, sf_dir):
     return n.select("page_id", F.transform("n.protected", lambda p: p["kind"])[0].alias("kind"), F.size("n.protected").alias("n"))
 
 
+def _token_digests(docs: DataFrame, skeletons: dict[str, str], key: str) -> DataFrame:
+    each = tokens.all_tokens(dealt(docs), key, "text", Config(punct="collapse"), skeletons)
+    row = F.concat_ws(" ", "pos", "word", "span.start", "span.end", F.when(F.col("zone").isNull(), F.col("sentence")), F.coalesce("zone", F.lit("-")), F.coalesce("confusable", F.lit("-")), F.coalesce("skeleton", F.lit("-")))
+    return each.groupBy("doc").agg(F.count("*").alias("n"), F.count("zone").alias("zoned"), F.count("confusable").alias("confusable"), _digest(row).alias("tokens_sha256"))
+
+
+@query
+def tokens_documents(spark, sf_dir):
+    """Every token of every document: word, bytes of the original, sentence, zone."""
+    return _token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), confusables.skeletons(spark), "doc_id")
+
+
+@query
+def tokens_messages(spark, sf_dir):
+    """The same of messages, with look-alikes and their skeletons."""
+    return _token_digests(messages(spark, sf_dir), confusables.skeletons(spark), "id")
+
+
+@query
+def refused_inputs(spark, sf_dir):
+    """Texts around 16 MiB: those beyond are refused whole, and decided as such."""
+    sized = table(spark, sf_dir, "region").select("r_regionkey", F.repeat(F.lit("x"), (F.lit(MAX_INPUT_BYTES - 2) + F.col("r_regionkey")).cast("int")).alias("text")).withColumn("refused", t.refused(F.col("text")))
+    answer = t.classified(F.when(F.col("refused"), F.col("text")).otherwise(""), delivery.classifier(), F.lit("fast"))
+    return sized.select("r_regionkey", F.octet_length("text").alias("bytes"), "refused", answer.alias("d")).select("r_regionkey", "bytes", "refused", F.col("d.answer").alias("answer"), F.col("d.why.kind").alias("why"))
+
+
 # --- lexicon ----------------------------------------------------------------------------------------------------------
 
 PHRASES = ["the", "of the", "in the", "then", "no", "and the", "on the a"]
+PARTS = ["tionan", "ering", "there", "ungen", "mente"]
+
 
+def corpus_lexicon() -> Lexicon:
+    """Terms that occur in the test documents: phrases, parts of words, and words that others are typos of."""
+    entries = [Entry(x, "phrase") for x in PHRASES] + [Entry(x, "part", True) for x in PARTS]
+    return Lexicon(entries + [Entry(x, "word") for x in ("hearing", "stan", "einheit", "theory", "reading")], ["thean", "ereading"], 200)
 
-def _words(spark, sf_dir):
-    return tokens.plain_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+def _corpus_hits(spark, sf_dir):
+    return lexicon.hits(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", corpus_lexicon(), confusables.skeletons(spark))
 
 
 @query
 def lexicon_phrases(spark, sf_dir):
-    hits = lexicon.phrase_hits(_words(spark, sf_dir), lexicon.terms_table(spark, PHRASES))
-    return hits.groupBy("doc", "term").agg(F.count("*").alias("n"))
+    """How often the scan finds each term, and in which way."""
+    return _corpus_hits(spark, sf_dir).groupBy("doc", "term", "kind").agg(F.count("*").alias("n"), F.sum("penalty").alias("penalty"))
 
 
 @query
 def lexicon_greedy(spark, sf_dir):
-    hits = lexicon.without_overlaps(lexicon.phrase_hits(_words(spark, sf_dir), lexicon.terms_table(spark, PHRASES)))
-    return hits.groupBy("doc", "term").agg(F.count("*").alias("n"))
+    """Every hit of every document by place: left to right, none within another."""
+    row = F.concat_ws(" ", "start", "end", "span.start", "span.end", "term", "tag", "kind", "edits", "penalty")
+    return _corpus_hits(spark, sf_dir).groupBy("doc").agg(F.count("*").alias("n"), _digest(row, "start").alias("hits_sha256"))
 
 
 @query
 def lexicon_substrings(spark, sf_dir):
-    return lexicon.substring_hits(_words(spark, sf_dir), lexicon.terms_table(spark, ["tionan", "ering", "there", "ungen", "mente"]))
+    """Words in which a part is found."""
+    hits = lexicon.hits(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", Lexicon([Entry(x, "part", True) for x in PARTS]))
+    return hits.filter("kind = 'substring'").groupBy("doc", "term").agg(F.count("*").alias("n"))
 
 
 @query
 def lexicon_repairs(spark, sf_dir):
-    return lexicon.repairs(_words(spark, sf_dir), ["there", "hearing", "stan", "einheit", "theory"], ["then"])
+    """Distinct words of documents and the terms they are typos of."""
+    words = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode(t.free_words(F.col("text"), skeletons=confusables.skeletons(spark), plain=True)).alias("word"))
+    return lexicon.repairs(words, corpus_lexicon())
 
 
 @query
 def lexicon_lookup(spark, sf_dir):
-    """The whole scan, greedy and with repairs, over messages."""
-    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.lexicon_lookup(F.col("text"), delivery.classifier().lexicon, confusables.skeletons(spark)).alias("f"))
-    # the lexicon collapses runs of marks, as its texts must
-    return found.select("conv_id", "turn", F.array_join(F.transform("f.hits", lambda h: F.concat_ws(":", h["term"], h["kind"], h["span"]["start"])), ",").alias("hits"), F.size("f.flags").alias("flags"))
+    """The whole scan over messages, with repairs, look-alikes and guards."""
+    found = messages(spark, sf_dir).select("id", t.lexicon_lookup(F.col("text"), delivery.classifier().lexicon, confusables.skeletons(spark)).alias("f"))
+    hits = F.array_join(F.transform("f.hits", lambda h: F.concat_ws(":", h["term"], h["tag"], h["kind"], h["edits"], h["penalty"], h["span"]["start"], h["span"]["end"])), ",")
+    return found.select("id", hits.alias("hits"), F.array_join(F.transform("f.flags", lambda x: F.concat_ws(":", x["term"], x["kind"], x["span"]["start"], x["span"]["end"])), ",").alias("flags"))
+
+
+def _overlap_sides(spark, sf_dir):
+    shown = confusables.skeletons(spark)
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), t.free_words(F.col("text"), skeletons=shown, least=3, plain=True).alias("words")).filter("words is not null")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate"), t.free_words(F.col("text"), skeletons=shown, least=3).alias("words"))
+    return docs, items
 
 
 @query
 def overlap_candidates(spark, sf_dir):
-    """The benchmark item whose words a document has, if one stands out."""
-    items = tokens.plain_tokens(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("doc", "candidate")
-    return decide.choose(lexicon.overlaps(_words(spark, sf_dir), items), ["doc"], "deep")
+    """The benchmark items of whose words a document has at least 55 per cent."""
+    docs, items = _overlap_sides(spark, sf_dir)
+    docs, _ = staged(docs, "words")
+    return lexicon.overlaps(docs, items, 550)
+
+
+@query
+def overlap_texts(spark, sf_dir):
+    """How much of the next turn's words a turn has, text by text."""
+    turns = messages(spark, sf_dir).withColumn("next", F.lead("text").over(Window.partitionBy((F.col("id") / 100).cast("long")).orderBy("id"))).filter("next is not null")
+    return turns.select("id", t.text_overlap(F.col("text"), F.col("next")).alias("c"))
 
 
 # --- rules ------------------------------------------------------------------------------------------------------------
@@ -217,33 +330,106 @@ RULES = [
     Rule("b.and", "action", "and", 500, forbids=("negation",)), Rule("b.is", "action", "is", 350, requires=("negation",)),
 ]
 RULE_NEGATORS = ["no", "in the"]
+ASKING = [
+    Rule("q.stop", "stop", "stop", 800), Rule("q.asked", "ask", "i stop", 700, requires=("question",)), Rule("q.told", "ask", "halt", 600, forbids=("question",)), Rule("q.never", "stop", "not stop", 500, requires=("negation",)), Rule("q.cancel", "stop", "cancel", 750, forbids=("negation", "question")),
+    Rule("q.use", "ask", "use {word} instead", 400), Rule("q.add", "ask", "and add", 900), Rule("q.build", "stop", "stop the {word}", 650),
+]
+
+
+def corpus_rules() -> RuleSet:
+    return RuleSet(CLASSES, RULES, RULE_NEGATORS, 3)
+
+
+def asking_rules() -> RuleSet:
+    """Rules that require or forbid questions and negation, with summed classes."""
+    return RuleSet([RuleClass("stop", "sum"), RuleClass("ask", "max")], ASKING, ["do", "don't", "no need to"], 2, Config(punct="collapse"))
 
 
-def _matches(spark, sf_dir):
-    return rules.matches(_words(spark, sf_dir), rules.rules_table(spark, RULES), RULE_NEGATORS, 3)
+def _corpus_matches(spark, sf_dir):
+    return rules.matches(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", corpus_rules(), None, confusables.skeletons(spark))
 
 
 @query
 def rule_matches(spark, sf_dir):
-    return _matches(spark, sf_dir).groupBy("doc", "rule", "status").agg(F.count("*").alias("n"), F.sum("effective").cast("long").alias("effective"))
+    return _corpus_matches(spark, sf_dir).groupBy("doc", "rule", "status").agg(F.count("*").alias("n"), F.sum("effective").cast("long").alias("effective"))
 
 
 @query
 def rule_class_scores(spark, sf_dir):
-    return rules.class_scores(_matches(spark, sf_dir), CLASSES, spark)
+    return rules.class_scores(_corpus_matches(spark, sf_dir), corpus_rules())
 
 
 @query
 def rule_decisions(spark, sf_dir):
-    scores = decide.dense(rules.class_scores(_matches(spark, sf_dir), CLASSES, spark), ["doc"], len(CLASSES))
-    return decide.flat(decide.decide(scores, "deep"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decide.flat(rules.decisions(docs, "doc_id", "text", corpus_rules(), None, "deep", confusables.skeletons(spark)))
+
+
+@query
+def rule_questions(spark, sf_dir):
+    """All matches over messages in their order, with questions, negation, repaired words and penalties."""
+    found = rules.matches(messages(spark, sf_dir), "id", "text", asking_rules(), delivery.classifier().lexicon, confusables.skeletons(spark))
+    return found.select("doc", "pos", "rule", "class", "start", "end", F.col("span.start").alias("first"), F.col("span.end").alias("last"), "status", "question", "penalty", "effective")
+
+
+@query
+def rule_question_scores(spark, sf_dir):
+    """The class scores that the kernel gives the same messages."""
+    found = rules.scored(messages(spark, sf_dir), "id", "text", asking_rules(), delivery.classifier().lexicon, confusables.skeletons(spark))
+    return found.select("doc", F.array_join("scores", ",").alias("scores"))
+
+
+# --- classifier -------------------------------------------------------------------------------------------------------
+
+
+def _classified(spark, sf_dir, profile: str, on_confusable: str = "abstain"):
+    c = delivery.classifier(on_confusable, confusables.skeletons(spark), RECORDED_UNICODE)
+    return messages(spark, sf_dir).select("id", t.classified(F.col("text"), c, F.lit(profile)).alias("d"))
+
+
+def _decisions(made: DataFrame) -> DataFrame:
+    return made.select("id", "d.answer", "d.option", "d.label", "d.confidence", F.col("d.why.kind").alias("why"), F.col("d.why.value").alias("why_value"), d.reason_text(F.col("d.why")).alias("reason"), d.ranked_text(F.col("d.ranked")).alias("ranked"), "d.profile", "d.data_version", F.size("d.trail").alias("steps"))
 
 
 @query
 def classifier_decide(spark, sf_dir):
     """The flagship: each message's decision by the compiled classifier."""
-    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.classified(F.col("text"), delivery.classifier(skeletons=confusables.skeletons(spark)), F.lit("standard")).alias("d"))
-    return made.select("conv_id", "turn", "d.answer", "d.option", "d.label", "d.confidence", F.col("d.why.kind").alias("why"), d.ranked_text(F.col("d.ranked")).alias("ranked"), "d.data_version", F.size("d.trail").alias("steps"))
+    return _decisions(_classified(spark, sf_dir, "standard"))
+
+
+@query
+def classifier_ignore(spark, sf_dir):
+    """The same where look-alikes of terms are passed over."""
+    return _decisions(_classified(spark, sf_dir, "deep", "ignore"))
+
+
+@query
+def classifier_trails(spark, sf_dir):
+    """Each decision's trail, as text."""
+    return _classified(spark, sf_dir, "standard").select("id", journal.trail_text(F.col("d.json")).alias("trail"))
+
+
+@query
+def classifier_records(spark, sf_dir):
+    """Each step of each trail, as a row."""
+    made = _classified(spark, sf_dir, "standard").select("id", F.inline("d.trail"))
+    return made.select("id", "step", "stage", "rule_id", "scorer", F.col("span.start").alias("first"), F.col("span.end").alias("last"), "millis", "text")
+
+
+@query
+def data_versions(spark, sf_dir):
+    """Fingerprints of the worked specification and the version of data that they make, for recorded journals."""
+    c = delivery.classifier(unicode=RECORDED_UNICODE)
+    parts = [("config", c.config.fingerprint().encode()), ("lexicon", c.lexicon.fingerprint()), ("rules", c.rules.fingerprint()), ("profiles", profile_table())]
+    rows = [(name, hashlib.sha256(data).hexdigest()) for name, data in parts] + [("data_version", c.data_version)]
+    return spark.createDataFrame(rows, "part string, digest string")
+
+
+@query
+def specification(spark, sf_dir):
+    """The worked specification's rules, as read back from the file format."""
+    held = rules_spec(json.dumps(delivery.rules_file()), "json")
+    return spark.createDataFrame([(i, r.id, r.rule_class, r.pattern, r.weight, ",".join(r.forbids), r.version) for i, r in enumerate(held["rules"])], "n int, rule string, class string, pattern string, weight int, forbids string, version int")
 
 
 # --- journal ----------------------------------------------------------------------------------------------------------
@@ -251,13 +437,34 @@ def classifier_decide(spark, sf_dir):
 
 @query
 def journal_round_trip(spark, sf_dir):
-    """Decide, write as journal lines, parse, replay: every record must come out the same."""
+    """Decide, write as journal lines, damage some in each of three ways, parse, replay: each damage is told, and all other records come out the same."""
     c = delivery.classifier(skeletons=confusables.skeletons(spark))
-    made = table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("text"), F.lit("deep").alias("profile")).withColumn("d", t.classified(F.col("text"), c, F.col("profile")))
-    entries = journal.parsed(journal.lines(made, F.col("text"), F.col("profile"), F.col("d.json")))
+    made = messages(spark, sf_dir).withColumn("d", t.classified(F.col("text"), c, F.lit("deep")))
+    lines = journal.lines(made, F.col("text"), F.lit("deep"), F.col("d.json"), ["id"])
+    kind, value = F.pmod("id", F.lit(7)), F.col("value")
+    damaged = F.when(kind == 1, F.substring("value", 1, 40)).when(kind == 2, F.replace(value, F.lit('"schema":1'), F.lit('"schema":2'))).when(kind == 3, F.replace(value, F.lit('"message":"'), F.lit('"message":" '))).otherwise(value)
+    entries = journal.parsed(lines.withColumn("value", damaged))
     return journal.check(entries, c).groupBy("error", "check.same").agg(F.count("*").alias("n"))
 
 
+@query
+def journal_lines(spark, sf_dir):
+    """Journal lines, but for the hash of the input, which SQL can't compute."""
+    made = _classified(spark, sf_dir, "standard").join(messages(spark, sf_dir), "id")
+    lines = journal.lines(made, F.col("text"), F.lit("standard"), F.col("d.json"), ["id"])
+    return lines.select("id", F.sha2(F.regexp_replace("value", '"input_hash":"[0-9a-f]{64}"', '"input_hash":""'), 256).alias("line_sha256"))
+
+
+@query
+def replay_other_version(spark, sf_dir):
+    """Records replayed under a specification that passes look-alikes over: what changes in each."""
+    c = delivery.classifier(skeletons=confusables.skeletons(spark))
+    made = messages(spark, sf_dir).withColumn("d", t.classified(F.col("text"), c, F.lit("standard")))
+    entries = journal.parsed(journal.lines(made, F.col("text"), F.lit("standard"), F.col("d.json"), ["id"]), ["id"])
+    other = delivery.classifier("ignore", confusables.skeletons(spark))
+    return journal.check(entries, other).select("id", "check.same", "check.data_version", "check.profile", "check.answer", "check.trail")
+
+
 @query
 def decision_diff(spark, sf_dir):
     return journal.difference(_gate(spark, sf_dir, "standard"), _gate(spark, sf_dir, "deep"), "user_id", ["answer", "chosen", "why"])
@@ -378,4 +585,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql(PHRASES, LEVELS, WEIGHTS)
+    return oracles.sql(LEVELS, WEIGHTS) | text_oracles.sql()

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from ..kernels.classifier import Classifier, ReplayError, canonical_json, diff, journal_line, read_line, render_trail
 
 
-def lines(df: DataFrame, message: str, profile: str, decision_json: str) -> DataFrame:
-    """(value): a journal line per row, from the input's fields and the decision's canonical JSON."""
+def lines(df: DataFrame, message: Column, profile: Column, decision_json: Column, keep: list[str] = ()) -> DataFrame:
+    """(*keep*, value): a journal line per row, from the input's fields and the decision's canonical JSON. Rows without a decision have none."""
     import json
 
     @F.pandas_udf("string")
     def run(messages: pd.Series, profiles: pd.Series, decisions: pd.Series) -> pd.Series:
-        return pd.Series([journal_line({"message": m, "profile": p}, json.loads(d)) for m, p, d in zip(messages, profiles, decisions)], dtype=object)
+        return pd.Series([None if d is None else journal_line({"message": m, "profile": p}, json.loads(d)) for m, p, d in zip(messages, profiles, decisions)], dtype=object)
 
-    return df.select(run(message, profile, decision_json).alias("value"))
+    return df.select(*keep, run(message, profile, decision_json).alias("value")).filter("value is not null")
 
 
 def write(journal: DataFrame, path: str) -> None:
@@ -30,8 +30,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark.read.text(path))
 
 
-def parsed(journal: DataFrame) -> DataFrame:
-    """(value, error, input_hash, message, profile, decision): *error* is null, deserialize, schema_mismatch or input_hash_mismatch."""
+def parsed(journal: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(*keep*, value, error, input_hash, message, profile, decision): *error* is null, deserialize, schema_mismatch or input_hash_mismatch."""
 
     @F.pandas_udf("struct<error:string,input_hash:string,message:string,profile:string,decision:string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -45,7 +45,7 @@ def parsed(journal: DataFrame) -> DataFrame:
                     rows.append((e.kind, None, None, None, None))
             yield pd.DataFrame(rows, columns=["error", "input_hash", "message", "profile", "decision"])
 
-    return journal.select("value", run("value").alias("r")).select("value", "r.*")
+    return journal.select(*keep, "value", run("value").alias("r")).select(*keep, "value", "r.*")
 
 
 def check(entries: DataFrame, classifier: Classifier) -> DataFrame:

@@ -15,7 +15,7 @@ from adjudica.kernels import graph as g
 from adjudica.kernels.classifier import ReplayError, canonical_json, diff, input_hash, journal_line, lexicon_spec, read_line, render_trail, rules_spec
 from adjudica.kernels.lexicon import Entry, Lexicon, SpecError, adjacent_keys, deletes, overlap, repair_cost
 from adjudica.kernels.rules import Rule, RuleClass, RuleSet
-from adjudica.kernels.text import MAX_INPUT_BYTES, Config, TooLong, normalize, protected_spans
+from adjudica.kernels.text import _BOUND, MAX_INPUT_BYTES, Config, TooLong, normalize, protected_spans, word_places
 from adjudica.plans import delivery
 
 
@@ -84,6 +84,22 @@ def test_normal_form_properties(text):
     assert len(n.lows) == len(n.highs) == len(n.canonical) and n.lows == sorted(n.lows)
 
 
+@given(st.text(st.sampled_from("aZé9_'.:,; -ß“”\n1ǅ"), max_size=14))
+@settings(max_examples=1500, deadline=None)
+def test_the_pattern_of_simple_words_is_the_general_rule(text):
+    bounds = sorted({0, len(text), *(m.start() for m in _BOUND.finditer(text))})
+    general = [(s + (text[s] == "'"), e) for s, e in zip(bounds, bounds[1:]) if any(map(str.isalnum, text[s:e]))]
+    assert word_places(text) == general
+
+
+def test_spans_take_linear_time():
+    import time
+
+    began = time.process_time()
+    n = normalize('"a" http://b.c ' * 20_000)
+    assert len(n.protected) == 40_000 and time.process_time() - began < 6
+
+
 # --- lexicon ----------------------------------------------------------------------------------------------------------
 
 
@@ -199,7 +215,8 @@ GOLDEN = [
 
 
 def test_golden_decisions():
-    c = delivery.classifier()
+    c = delivery.classifier(unicode=d.RECORDED_UNICODE)
+    assert c.data_version != delivery.classifier().data_version
     assert c.data_version == "3253fa30ea7d20d8d0313503d27f77a521c3236b94c085cc3585317ca408bfbd"
     assert delivery.classifier("ignore").data_version != c.data_version
     for message, profile, option, rest in GOLDEN:
@@ -210,7 +227,7 @@ def test_golden_decisions():
 def test_golden_line():
     value = {"message": "stop the build", "profile": "standard"}
     assert input_hash(value) == "b40e4993e961272c823caa1b074a1073a58466904937943ce45ce0e9e4b576e1"
-    made = delivery.classifier().decide(**{"text": value["message"], "profile": value["profile"]})
+    made = delivery.classifier(unicode=d.RECORDED_UNICODE).decide(**{"text": value["message"], "profile": value["profile"]})
     assert made["trail"] == [
         {"step": 1, "stage": "normalize", "millis": 0, "text": "nfc; 0 protected; 3 tokens; 0 confusable"}, {"step": 2, "stage": "lexicon", "span": {"start": 0, "end": 4}, "millis": 0, "text": "exact 'stop'"},
         {"step": 3, "stage": "rules", "rule_id": "interrupt.stop.v1", "scorer": "max", "span": {"start": 0, "end": 4}, "millis": 900, "text": "counted interrupt"}, {"step": 4, "stage": "decide", "millis": 0, "text": "interrupt confidence 900"},
@@ -221,7 +238,7 @@ def test_golden_line():
         with pytest.raises(ReplayError) as found:
             read_line(broken)
         assert found.value.kind == kind
-    other = delivery.classifier().decide("stop the build", "deep")
+    other = delivery.classifier(unicode=d.RECORDED_UNICODE).decide("stop the build", "deep")
     assert diff(made, made) == {"data_version": None, "profile": None, "answer": None, "trail_changed": False} and diff(made, other)["profile"] == ("standard", "deep")
     assert render_trail(made["trail"]).splitlines()[2] == " 3 rules      interrupt.stop.v1 @0..4 +900 [max] counted interrupt"
 
@@ -267,8 +284,31 @@ def test_decode_and_resonate():
 
 
 def test_capacity():
-    (k, found, signed), = hdc.capacity(128, 1024, [5], 3)
-    assert (k, found, signed) == (5, 100.0, 100.0)
+    # published figures of bundle capacity, in thousandths
+    assert hdc.capacity(64, 1024, 50) == (1000, 972) and hdc.capacity(256, 1024, 15) == (1000, 993) and hdc.capacity(256, 2048, 50) == (1000, 988)
+
+
+def test_codebook():
+    v = hdc.encode([1, 2])
+    for entries, kind in [([], "empty"), ([("a", v[0]), ("", v[1])], "empty_id"), ([("a", v[0]), ("a", v[1])], "duplicate_id")]:
+        with pytest.raises(hdc.CodebookError) as found:
+            hdc.Codebook(entries)
+        assert found.value.kind == kind
+    book = hdc.Codebook([("b", v[0]), ("a", v[1])])
+    assert book.ids == ["a", "b"] and book.index_of("b") == 1 and book.index_of("c") is None and (book.vectors[1] == v[0]).all()
+    first, top, margin = hdc.nearest_of_each(hdc.encode([1, 2, 3]), np.array([v[1], v[0], v[0]]))
+    assert [(first[i], top[i], margin[i]) for i in range(3)] == [hdc.nearest(q, np.array([v[1], v[0], v[0]])) for q in hdc.encode([1, 2, 3])]
+
+
+def test_arbitration_errors():
+    for names, levels, weights, kind in [([], [], [], "no_drives"), (["d"] * 17, [1] * 17, [[1]] * 17, "too_many_drives"), ([" a"], [1], [[1]], "bad_drive_name"), (["a", "a"], [1, 1], [[1], [1]], "duplicate_drive"), (["a"], [1001], [[1]], "out_of_range")]:
+        with pytest.raises(d.ArbitrationError) as found:
+            d.check_drives(names, levels, weights)
+        assert found.value.kind == kind
+    for evidence, levels, weights, held, kind in [([1, 2], [1], [[1]], 5, "question_mismatch"), ([1, 2], [1, 2], [[1, 2]], 5, "drive_count_mismatch"), ([1, 2], [1], [[1, 2]], 2, "option_out_of_range")]:
+        with pytest.raises(d.ArbitrationError) as found:
+            d.arbitrate(evidence, levels, weights, held)
+        assert found.value.kind == kind
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------

@@ -11,12 +11,13 @@ from adjudica.functions import text as ft
 from adjudica.kernels import decide as kd
 from adjudica.kernels import graph as kg
 from adjudica.kernels import hdc
-from adjudica.kernels.lexicon import Lexicon, Entry, overlap
+from adjudica.kernels.lexicon import Entry, Lexicon, overlap
+from adjudica.kernels.rules import Rule, RuleClass, RuleSet, repairs_of
 from adjudica.kernels.text import normalize
 from adjudica.operators import decide, graphs, hypervectors, lexicon, rules, tokens
 from adjudica.plans import delivery, registry
 from adjudica.sources import confusables, journal
-from adjudica.streaming.decide import decide_stream
+from adjudica.streaming.decide import counts_by_window, decide_stream
 
 D = "/root/testdata/sf0.001"
 ORACLES = registry.oracle_sql()
@@ -59,31 +60,67 @@ def test_options(spark):
     assert one.select(fd.span_slice(F.col("t"), F.col("s"), F.col("e"))).first()[0] == "é"
 
 
-def test_relational_lexicon_equals_scan(spark):
-    texts = ["never `x` mind then", "stop the build. then never mind", "never. mind stop", "stpo canecl then", "kill it and cancel then", "never never mind"]
+def test_lexicon_tables(spark):
+    texts = ["never `x` mind then", "stop the build. then never mind", "never. mind stop", "stpo canecl then", "kill it and cancel then", "never never mind", None, "", "st\u03bfp then"]
     terms = ["stop", "never mind", "never", "then", "cancel", "kill it and"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    lx = Lexicon([Entry(t, "x") for t in terms], [], None)
-    made = lexicon.without_overlaps(lexicon.phrase_hits(tokens.tokens(docs, "id", "text"), lexicon.terms_table(spark, terms)))
-    got = sorted((r.doc, r.pos, r.term) for r in made.collect())
-    assert got == sorted((i, h.start, lx.entries[h.entry].term) for i, t in enumerate(texts) for h in lx.lookup(normalize(t)).hits)
-    plain = tokens.plain_tokens(docs, "id", "text").groupBy("doc").agg(F.count("*").alias("n")).collect()
-    assert {r.doc: r.n for r in plain} == {i: len(normalize(t).tokens) for i, t in enumerate(texts)}
-    repaired = {r.word: r.term for r in lexicon.repairs(spark.createDataFrame([("stpo",), ("canecl",), ("step",), ("zzzzz",), ("stop",)], "word string"), terms, ["step"]).collect()}
-    typos = Lexicon([Entry(t, "x") for t in terms], ["step"], 100)
-    assert repaired == {w: typos.entries[r[0]].term for w in ("stpo", "canecl", "step", "zzzzz") if (r := typos.repair(w))}
-    pair = spark.createDataFrame([("The red fox", "red fox den"), ("a", "of it")], "a string, b string")
-    assert [r[0] for r in pair.select(ft.text_overlap(F.col("a"), F.col("b"))).collect()] == [overlap(normalize(a), normalize(b)) for a, b in (("The red fox", "red fox den"), ("a", "of it"))]
-
-
-def test_relational_rules_equal_kernel(spark):
+    lx = Lexicon([Entry(t, "x") for t in terms], ["step"], 100)
+    got = sorted((r.doc, r.start, r.end, r.term, r.kind, r.edits, r.penalty) for r in lexicon.hits(docs, "id", "text", lx).collect())
+    assert got == sorted((i, h.start, h.end, lx.entries[h.entry].term, h.kind, h.edits, h.penalty) for i, t in enumerate(texts) for h in lx.lookup(normalize(t or "")).hits)
+    assert [(r.doc, r.term, r.kind) for r in lexicon.flags(docs, "id", "text", lx).collect()] == [(8, "stop", "MixedScript")]
+    words = spark.createDataFrame([("stpo",), ("canecl",), ("step",), ("zzzzz",), ("stop",), ("stpo",), (None,), ("",)], "word string")
+    assert {r.word: r.term for r in lexicon.repairs(words, lx).collect()} == {w: lx.entries[r[0]].term for w in ("stpo", "canecl", "step", "zzzzz") if (r := lx.repair(w))}
+    pair = spark.createDataFrame([("The red fox", "red fox den"), ("a", "of it"), (None, "of it"), ("x", None)], "a string, b string")
+    assert [r[0] for r in pair.select(ft.text_overlap(F.col("a"), F.col("b"))).collect()] == [overlap(normalize(a), normalize(b)) for a, b in (("The red fox", "red fox den"), ("a", "of it"), ("", "of it"), ("x", ""))]
+    free = tokens.tokens(docs, "id", "text").filter("doc = 0").orderBy("pos").collect()
+    assert [(r.pos, r.word) for r in free] == [(0, "never"), (2, "mind"), (3, "then")]
+
+
+def test_overlaps_lose_no_pair(spark):
+    import random
+
+    draw = random.Random(3)
+    letters = [f"w{i}" for i in range(40)]
+    docs, items = ([(k, sorted({draw.choice(letters[: 5 + k % 36]) for _ in range(draw.randint(0, 12))})) for k in range(n)] for n in (60, 40))
+    q, c = spark.createDataFrame(docs, "doc int, words array<string>"), spark.createDataFrame(items, "candidate int, words array<string>")
+    for least in (1, 400, 550, 1000):
+        expected = {(a, b): 1000 * len(set(x) & set(y)) // len(y) for a, x in docs for b, y in items if y and 1000 * len(set(x) & set(y)) // len(y) >= least}
+        assert {(r.doc, r.candidate): r.c for r in lexicon.overlaps(q, c, least).collect()} == expected
+    assert lexicon.overlaps(q.limit(0), c).count() == lexicon.overlaps(q, c.limit(0)).count() == 0
+
+
+def test_rule_tables_equal_kernel(spark):
     c = delivery.classifier()
-    texts = ["stop the build", "do not stop", "stop using it and cancel then", "wait no then stop", "no need to cancel", "also and add rather", "stop `a` using x", "do not `a` `b` stop", "no `a` kill it"]
+    texts = ["stop the build", "do not stop", "stop using it and cancel then", "wait no then stop", "stop it?", "stpo? yes", "no `a` kill it", None, "", "also and add rather"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    found = rules.matches(tokens.tokens(docs, "id", "text"), rules.rules_table(spark, c.rules.rules), [" ".join(n) for n in c.rules.negators], 3)
-    got = {(r.doc, r.option): r.c for r in rules.class_scores(found, c.rules.classes, spark).collect()}
-    for r in docs.select("id", ft.rule_scores(F.col("text"), c.rules).alias("s")).collect():
-        assert [got.get((r.id, k), 0) for k in range(3)] == r.s.scores
+    found = rules.matches(docs, "id", "text", c.rules, c.lexicon)
+    got = {(r.doc, r.option): r.c for r in rules.class_scores(found, c.rules).collect()}
+    scored = {r.doc: r.scores for r in rules.scored(docs, "id", "text", c.rules, c.lexicon).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert i not in scored
+            continue
+        n = normalize(t, c.config)
+        assert scored[i] == c.rules.score(n, repairs_of(c.lexicon, c.lexicon.lookup(n))).scores == [got.get((i, k), 0) for k in range(3)]
+    heavy = RuleSet([RuleClass("a"), RuleClass("b")], [Rule("r", "a", "stop", 800)])
+    assert rules.scored(docs.filter("id = 4"), "id", "text", heavy).first().scores == [400, 0]
+    assert rules.decisions(docs.filter("id = 0"), "id", "text", heavy).first().answer.option == 0
+
+
+def test_no_shuffle_between_texts_and_matches(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for made in (lexicon.hits(docs, "doc_id", "text", registry.corpus_lexicon()), rules.matches(docs, "doc_id", "text", registry.corpus_rules()), tokens.tokens(docs, "doc_id", "text")):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_inputs(spark):
+    one = spark.createDataFrame([(None, 1), ("a b", None), ("a b", 2)], "t string, s int")
+    assert [r[0] for r in one.select(ft.to_original(F.col("t"), F.col("s"), F.col("s"))).collect()][:2] == [None, None]
+    v = one.select(hypervectors.seed(F.col("t"), "n").alias("s"), hypervectors.encode(F.col("t"), "n").alias("v")).withColumn("p", hypervectors.permute(F.col("v"), 3)).collect()
+    assert (v[0].s, v[0].v, v[0].p) == (None, None, None) and len(v[1].p) == 16 and v[1].v == v[2].v
+    assert [r[0] is None for r in one.select(graphs.label_of(F.col("t"))).collect()] == [True, False, False]
+    assert journal.lines(one.withColumn("d", F.lit(None).cast("string")), F.col("t"), F.col("t"), F.col("d")).count() == 0
+    assert one.select(ft.normalized(F.col("t"))["canonical"]).collect()[0][0] is None
 
 
 def test_hypervectors_equal_kernel(spark):
@@ -104,6 +141,30 @@ def test_hypervectors_equal_kernel(spark):
     assert df.select(fd.component(F.col("vector"), 5, 1024)).first()[0] == hdc.signs(book[0])[5]
 
 
+def test_codebooks(spark):
+    book = spark.createDataFrame([("b", "x"), ("a", "y")], "id string, s string").withColumn("vector", hypervectors.encode(F.col("s"), "t"))
+    assert [(r.idx, r.id) for r in hypervectors.codebook(book).orderBy("idx").collect()] == [(0, "a"), (1, "b")]
+    with pytest.raises(hdc.CodebookError):
+        hypervectors.codebook(book.limit(0))
+    with pytest.raises(Exception, match="duplicate codebook id a"):
+        hypervectors.codebook(book.unionAll(book.filter("id = 'a'"))).collect()
+    with pytest.raises(Exception, match="empty codebook id"):
+        hypervectors.codebook(book.withColumn("id", F.lit(""))).collect()
+    assert hypervectors.nearest(book.select("id", "vector"), book.limit(0).select("id", "vector"), "id").count() == 0
+
+
+def test_a_long_path_is_refined_to_the_end(spark):
+    n = 150  # classes only stop splitting after half as many rounds
+    nodes = spark.range(n).select(F.col("id").alias("v"), F.lit(0).alias("label"))
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(None).cast("long").alias("label"), F.lit(False).alias("directed"))
+    colours = graphs.refine(nodes.coalesce(1), graphs.adjacency(edges).coalesce(1), None)
+    assert colours.select("colour").distinct().count() == n // 2
+    print_of = graphs.fingerprint(colours).first()
+    assert (print_of.classes, print_of.nodes) == (n // 2, n)
+    moved = graphs.refine(nodes.withColumn("v", n - F.col("v")), graphs.adjacency(edges.withColumn("a", n - F.col("a")).withColumn("b", n - F.col("b"))), 3)
+    assert graphs.fingerprint(moved).first() == graphs.fingerprint(graphs.refine(nodes, graphs.adjacency(edges), 3)).first()
+
+
 def test_graph_partition_equals_kernel(spark):
     edges = [(0, 1, None, False), (1, 2, None, False), (2, 3, 7, True), (3, 4, None, False), (5, 5, None, False), (4, 0, None, True)]
     graph = kg.Graph()
@@ -141,6 +202,18 @@ def test_look_alikes_from_the_jvm(spark):
     assert delivery.classifier(skeletons=table).decide("ѕtop the build")["answer"]["why"]["kind"] == "confusable"
 
 
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = [("stop the build", "2026-01-01 00:01:00"), ("stop it", "2026-01-01 00:02:00"), ("hello", "2026-01-01 00:07:00"), ("stop", "2026-01-01 01:00:00")]
+    spark.createDataFrame(rows, "text string, at string").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("text string, at timestamp").json(str(tmp_path / "in"))
+    counted = counts_by_window(decide_stream(stream, delivery.classifier()), "at")
+    q = counted.writeStream.format("memory").outputMode("append").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    # the last window is still open: the watermark is ten minutes behind
+    assert sorted((str(r.window.start), r.label, r.n) for r in spark.table("windows").collect()) == [("2026-01-01 00:00:00", "interrupt", 2), ("2026-01-01 00:05:00", None, 1)]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("stop the build",), ("hello",)], "text string").coalesce(1).write.mode("overwrite").json(str(tmp_path / "in"))
@@ -158,6 +231,7 @@ def test_specification_files(spark, tmp_path):
     (tmp_path / "l.toml").write_text(f'guards = {json.dumps(delivery.GUARDS)}\nrepair = {{ mode = "typos", penalty_per_edit = 150 }}\n{entries}')
     cues = [{"id": i, "class": c, "pattern": p, "weight_millis": w, "forbids": ["negation"], "version": 1} for i, c, p, w in delivery.CUES]
     (tmp_path / "r.json").write_text(json.dumps({"negators": delivery.NEGATORS, "negation_window": 3, "classes": [{"name": c, "scorer": "max"} for c in ("queue", "steer", "interrupt")], "rules": cues}))
+    assert (delivery.rules_file()["rules"], delivery.rules_file()["negators"]) == (cues, delivery.NEGATORS)
     made = load_classifier(spark, str(tmp_path / "l.toml"), str(tmp_path / "r.json"), "pua-steer/1", "delivery", delivery.classifier().config)
     assert made.data_version == delivery.classifier().data_version
 
@@ -165,7 +239,7 @@ def test_specification_files(spark, tmp_path):
 def test_registered_queries_know_all_look_alikes(spark, tmp_path):
     texts = ["also add tests, sto\u03c1", "stop the build"]
     spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    made = {r.conv_id: r for r in registry.queries()["classifier_decide"](spark, str(tmp_path)).collect()}
-    assert made[0].why == "confusable" and made[1].label == "interrupt"
-    assert {r.conv_id: r.flags for r in registry.queries()["lexicon_lookup"](spark, str(tmp_path)).collect()} == {0: 1, 1: 0}
-    assert {(r.error, r.same) for r in registry.queries()["journal_round_trip"](spark, str(tmp_path)).collect()} == {(None, True)}
+    made = {r.id: r for r in registry.queries()["classifier_decide"](spark, str(tmp_path)).collect()}
+    assert made[0].why == "confusable" and made[100].why != "confusable"
+    assert {r.id: r.flags.count(":") for r in registry.queries()["lexicon_lookup"](spark, str(tmp_path)).collect()} == {0: 3, 100: 0}
+    assert {(r.error, r.same) for r in registry.queries()["journal_round_trip"](spark, str(tmp_path)).collect()} == {(None, True), ("schema_mismatch", None)}
