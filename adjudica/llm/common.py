@@ -1,64 +1,59 @@
-"""Helpers shared by the operators: table reading, shared staging, bounded caches."""
+"""Helpers shared by the operators: table reading, staging in the shared folder, memos of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from sys import getsizeof
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import dealt, discard, scratch, shared_dir, staged
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Memo", "dealt", "discard", "few", "records", "scratch", "shared_dir", "staged", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="adjudica-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write *df* once as Parquet in the shared folder and return the reread table with its path.
 
-    This cuts lineage: a lost executor costs a reread, not a recomputation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/adjudica-{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def few(df: DataFrame, rows: int, each: int = 50_000, least: int = 24) -> DataFrame:
+    """*df* of about *rows* rows in no more parts than make *each* rows a part (*least* parts at least): for small tables that many
+    shuffle partitions would write as as many tiny files. A large table keeps its parts."""
+    return df.coalesce(max(least, -(-rows // each)))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table that :func:`staged` wrote and that no later plan reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def records(rows: list[tuple], **kinds: pa.DataType) -> pa.Array:
+    """Rows as an array of structs, with a field for each of *kinds*."""
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=[*kinds])
 
 
 class Memo(dict):
-    """A dict that computes what is missing and keeps at most two generations of *limit* entries.
+    """A dict that computes what is missing and keeps at most two generations of *limit* bytes.
 
     Values only depend on keys, so forgetting changes time, never results. Once the young generation is
     full it becomes the old one; what is asked for again moves back. Keys longer than *longest* are
     computed each time and not kept.
     """
 
-    def __init__(self, compute, limit: int = 200_000, longest: int = 64):
+    #: Bytes that an entry takes in the table besides key and value.
+    ENTRY = 100
+
+    def __init__(self, compute, limit: int = 24 << 20, longest: int = 64, weigh=getsizeof):
         super().__init__()
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.limit, self.longest, self.weigh = compute, limit, longest, weigh
         self.old: dict = {}
+        self.held = 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
+            if self.held >= self.limit:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = value
+            self.held += getsizeof(key) + self.weigh(value) + self.ENTRY
         return value

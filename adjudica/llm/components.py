@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, few, staged
 
 
-def _starred(links: DataFrame, both: bool) -> tuple[DataFrame, str]:
+def _starred(links: DataFrame, both: bool, rows: int) -> tuple[DataFrame, str]:
     """One step. *links*: (a, b), a > b. Large (*both*): greater neighbours of each node go to its least
     neighbour; small: a node and its lesser neighbours do.
 
@@ -17,7 +17,7 @@ def _starred(links: DataFrame, both: bool) -> tuple[DataFrame, str]:
     """
     if both:
         links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least, path = staged(links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least, path = staged(few(links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), rows), "least")
     met = links.join(least, "a")
     if both:
         made = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -41,11 +41,11 @@ def components(links: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_000_007))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
-        large, minima = _starred(now, True)
-        large, between = staged(large, "large")
-        small, others = _starred(large, False)
-        now, later = staged(small, "links")
+        before, rows = mark, mark[0]
+        large, minima = _starred(now, True, rows)
+        large, between = staged(few(large, rows), "large")
+        small, others = _starred(large, False, rows)
+        now, later = staged(few(small, rows), "links")
         for old in (path, minima, between, others):
             discard(spark, old)
         path = later

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import records
+
 UNDETERMINED = "und"
+PARTS = 64
 
 
 def fit(labelled: DataFrame, size: int = 65536, rows: int = 96, longest: int = 4096, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
@@ -27,8 +30,11 @@ def fit(labelled: DataFrame, size: int = 65536, rows: int = 96, longest: int = 4
     usable = labelled.filter(F.col(lang).isNotNull() & t.isNotNull() & (F.length(t) > 0))
     # only what the sample can hold of a text is shuffled
     short = usable.select(F.col(lang).alias("lang"), ((F.length(t) > longest) | (F.length(t) < 200)).alias("odd"), F.xxhash64(t).alias("h"), F.substring(t, 1, longest).alias("t"))
+    # a language's first rows are among the first of each of its parts, so no task gets what all partitions offer of a language
+    part = F.row_number().over(Window.partitionBy("lang", "part").orderBy("odd", "h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h"))
-    keys = short.select("lang", "odd", "h").distinct().withColumn("r", rank).filter(F.col("r") <= rows)
+    firsts = short.select("lang", "odd", "h", F.pmod("h", F.lit(PARTS)).alias("part")).distinct().withColumn("r", part).filter(F.col("r") <= rows)
+    keys = firsts.select("lang", "odd", "h").withColumn("r", rank).filter(F.col("r") <= rows)
     sample = short.join(F.broadcast(keys), ["lang", "odd", "h"]).groupBy("lang", "r").agg(F.min("t").alias("t"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.collect():
@@ -83,11 +89,11 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], least: float = 0
     are bounded by the number of languages. Columns of the same names are replaced.
     """
 
-    @F.pandas_udf("lang_pred string, score double")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Identifier(dictionaries)
         for texts in batches:
-            yield pd.DataFrame([known.identify(t) for t in texts], columns=["lang_pred", "score"])
+            yield records([known.identify(t.as_py()) for t in texts], lang_pred=pa.string(), score=pa.float64())
 
     both = docs.withColumn("__adjudica_found", found(F.col(text)))
     return both.withColumns({names[0]: F.col("__adjudica_found.lang_pred"), names[1]: F.col("__adjudica_found.score"), names[2]: F.col("__adjudica_found.score") >= least}).drop("__adjudica_found")

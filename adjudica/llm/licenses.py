@@ -13,10 +13,12 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import records
+
 _AS_IS = (
     "IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -183,19 +185,21 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     Of equal coefficients the first match in the text counts. Null and empty texts match nothing. Every unit of a whole text is
     scanned, repeated rows each; other columns are not read; a null key stays null; an empty table gives no rows.
     """
-    fields = "license string, dice double, n_matches int, spans string" + ", matches array<struct<start:int,end:int,license:string,dice:double>>" * keep
+    fields = "struct<license:string,dice:double,n_matches:int,spans:string" + ",matches:array<struct<start:int,end:int,license:string,dice:double>>" * keep + ">"
+    kinds = {"license": pa.string(), "dice": pa.float64(), "n_matches": pa.int32(), "spans": pa.string()}
+    if keep:
+        kinds["matches"] = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("dice", pa.float64())]))
 
-    @F.pandas_udf(fields)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(fields)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(templates, least)
-        names = ["license", "dice", "n_matches", "spans", *["matches"] * keep]
         for texts in batches:
             rows = []
             for t in texts:
-                hits = scanner.scan(t)
+                hits = scanner.scan(t.as_py())
                 top = max(hits, key=lambda h: h[3], default=(0, 0, None, 0.0))
                 row = (top[2], top[3], len(hits), ",".join(f"{n}:{s}:{e}" for s, e, n, _ in hits))
                 rows.append((*row, [dict(zip(("start", "end", "license", "dice"), h)) for h in hits]) if keep else row)
-            yield pd.DataFrame(rows, columns=names)
+            yield records(rows, **kinds)
 
     return docs.select(F.col(key), found(F.col(text)).alias("_f")).select(key, "_f.*")

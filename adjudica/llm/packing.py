@@ -13,11 +13,11 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import few, records, staged
 
 
 class OpenBins:
@@ -93,18 +93,21 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: boo
     ids and *end*, cut into pieces of *size* if there are more."""
     fields = "piece:int,start:bigint,length:bigint,ids_crc32:bigint" + ",ids:binary" * keep
 
-    @F.pandas_udf(f"array<struct<{fields}>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if keep else {})
+
+    @F.arrow_udf(f"array<struct<{fields}>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from .word_bpe import load
 
         bpe = load(path)
         for texts in batches:
-            out = []
+            out, offsets = [], [0]
             for t in texts:
-                ids = bpe.encode(t) + end.to_bytes(4, "little")
+                ids = bpe.encode(t.as_py()) + end.to_bytes(4, "little")
                 parts = [ids[s : s + 4 * size] for s in range(0, len(ids), 4 * size)]
-                out.append([(i, i * size, len(p) // 4, zlib.crc32(p), *([p] if keep else [])) for i, p in enumerate(parts)])
-            yield pd.Series(out)
+                out += [(i, i * size, len(p) // 4, zlib.crc32(p), *([p] if keep else [])) for i, p in enumerate(parts)]
+                offsets.append(len(out))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), records(out, **kinds))
 
     # else the planner would filter on the array's size first and evaluate it twice
     once = cut.asNondeterministic()
@@ -121,7 +124,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: bool
     made, _ = staged(pieces(docs, path, size, end, keep, text, key).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     shards = shards or max(256, made.count() // 50_000)
     made = made.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
-    counts, _ = staged(made.groupBy("length", "_shard").agg(F.count("*").alias("n")), "lengths")
+    counts, _ = staged(few(made.groupBy("length", "_shard").agg(F.count("*").alias("n")), size * shards), "lengths")
     ahead = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_base"))
     lengths = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -14,13 +14,14 @@ import heapq
 import itertools
 import re
 import struct
+import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, records
 
 SPACE = "▁"
 
@@ -94,6 +95,7 @@ class PieceModel:
         self._fit = Memo(self._fits)
         self._segments = Memo(self._encode_segment)
         self._chunks = Memo(self._encode_chunk)
+        self._shown = Memo(self._show_chunk, weigh=lambda x: 72 + sum(map(sys.getsizeof, x[1:])))
 
     def remerge(self, text: str) -> list[str]:
         """What merging alone gives: the best-scored pair first, of equals the leftmost."""
@@ -173,6 +175,22 @@ class PieceModel:
         ids.append(self.end)
         return ids
 
+    def _show_chunk(self, chunk: str) -> tuple[int, str, bytes]:
+        """How many ids a chunk has, the ids as text, and the bytes that they decode to."""
+        ids = self._chunks.compute(chunk)
+        return len(ids), "".join(f"{i} " for i in ids), b"".join(self.bytes_of[i] for i in ids)
+
+    def round_trip(self, text: str | None) -> tuple[int, str, str]:
+        """(number of ids, ids joined by spaces, decoded text) without lists of ids: chunks encode and decode by themselves, as all bytes
+        of a character are within one."""
+        parts = [self._shown[c] for c in self._chunk.findall(SPACE + text.replace(" ", SPACE))] if text else []
+        counts, said, raw = zip(*parts) if parts else ((), (), ())
+        try:
+            return sum(counts) + 1, "".join(said) + str(self.end), b"".join(raw)[bool(parts) :].decode("utf-8")
+        except UnicodeDecodeError:  # can't be with whole characters; the general way, then
+            ids = self.encode(text)
+            return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
     def decode(self, ids: list[int]) -> str:
         """Marks become spaces, but for the dummy prefix; in a run of byte pieces, what isn't UTF-8 becomes U+FFFD byte by byte."""
         kinds, names = self.kinds, self.bytes_of
@@ -219,18 +237,17 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
     time linear in their length. Other columns are not read; repeated rows are encoded each; a null key
     stays null; an empty table gives an empty result.
     """
-    result = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+    result = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:array<int>,decoded:string" * keep + ">"
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if keep else {})
 
-    @F.pandas_udf(result)
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = load(path)
+    @F.arrow_udf(result)
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, digest = load(path), lambda x: hashlib.sha256(x.encode()).hexdigest()
         for texts in batches:
             rows = []
             for t in texts:
-                ids = model.encode(t)
-                back = model.decode(ids)
-                row = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                rows.append((*row, ids, back) if keep else row)
-            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in result.split(", ")])
+                n, said, back = model.round_trip(t.as_py())
+                rows.append((n, digest(said), digest(back), *([model.encode(t.as_py()), back] if keep else [])))
+            yield records(rows, **kinds)
 
     return docs.select(F.col(key), encoded(F.col(text)).alias("_e")).select(key, "_e.*")

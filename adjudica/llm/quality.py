@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,9 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, text: str = "t
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(sample)
 
-    @F.pandas_udf("array<double>")
-    def seen(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+    @F.arrow_udf("array<double>")
+    def seen(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     met = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_key").select("_key", "_y", seen("_t").alias("_x"))
     rows = met.groupBy("_key", "_y").agg(F.min("_x").alias("_x")).orderBy("_key").collect()
@@ -164,9 +164,9 @@ def scored(docs: DataFrame, model: Additive, least: float = 0.7, text: str = "te
     Columns of the same names are replaced; repeated rows are scored each.
     """
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(model.score(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))))
+            yield pa.array(model.score(np.array([features(t.as_py()) for t in texts]).reshape(len(texts), len(FEATURES))), pa.float64())
 
     return docs.withColumn(names[0], score(F.col(text))).withColumn(names[1], (F.col(names[0]) >= least).cast("int"))

@@ -8,8 +8,9 @@ radius plus 2 bits, summed over the blocks, of both. So each fingerprint is repl
 anchors with an excess over the radius of at most 2 (61 on average), where each pair meets, and compared there.
 
 An anchor with too many fingerprints for one task is passed on, to be dealt with by a finer code
-that adds the Hamming code [15, 11] on bits 46-60. Comparing finds a spanning forest of each anchor's
-links, never all of its pairs.
+that adds the Hamming code [15, 11] on bits 46-60. What crowds an anchor of that too is dealt out by masks: 3 bits lie in 3 of the 16
+groups of 4 bits at most, so linked fingerprints are equal under one of the 560 masks that leave 3 groups out, and no more than
+4096 different fingerprints can be equal under a mask. Comparing finds a spanning forest of each anchor's links, never all of its pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import few, scratch, staged
 from .components import components
 
 #: Seed of the shingle hash; (first bit, length, generator polynomial, radius) of each code.
@@ -55,10 +55,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp): fingerprints as signed longs."""
 
-    @F.pandas_udf("long")
-    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
+            yield pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.select(F.col(key).alias("doc_id"), marked(F.col(text)).alias("fp"))
 
@@ -113,6 +113,24 @@ def anchors(fps: np.ndarray, code: tuple = COARSE, slack: int = 2) -> tuple[np.n
     return at, anchor
 
 
+@lru_cache
+def _masks() -> tuple[tuple[int, ...], ...]:
+    """The groups of 4 bits that each mask keeps."""
+    return tuple(tuple(g for g in range(16) if g not in left_out) for left_out in combinations(range(16), 3))
+
+
+def masked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into *fps*, mask and what it keeps as one number) for all masks."""
+    fps, keys = fps.view(np.uint64), []
+    groups = [fps >> np.uint64(4 * g) & np.uint64(15) for g in range(16)]
+    for number, kept in enumerate(_masks()):
+        key = np.full(len(fps), number << 52, dtype=np.uint64)
+        for place, g in enumerate(kept):
+            key |= groups[g] << np.uint64(4 * place)
+        keys.append(key.view(np.int64))
+    return np.tile(np.arange(len(fps)), len(keys)), np.concatenate(keys)
+
+
 def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links (as places in *fps*) that connect whatever differs in at most *most* bits, directly or over others.
 
@@ -162,7 +180,7 @@ def _links_of(anchor: np.ndarray, fps: np.ndarray, ids: np.ndarray, most: int) -
     return ends[1], ends[0]
 
 
-def _compared(code: tuple, limit: int | None, most: int):
+def _compared(code: tuple | None, limit: int | None, most: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("passed_on", pa.bool_())])
 
     def batch(a: np.ndarray, b: np.ndarray, passed_on: bool) -> pa.RecordBatch:
@@ -171,9 +189,10 @@ def _compared(code: tuple, limit: int | None, most: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             fps, ids = rows.column("fp").to_numpy(), rows.column("first").to_numpy()
-            for s in range(0, len(fps), 2048):
-                at, anchor = anchors(fps[s : s + 2048], code)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[s : s + 2048][at]), pa.array(ids[s : s + 2048][at])], ["anchor", "fp", "first"])
+            step = 2048 if code else 256
+            for s in range(0, len(fps), step):
+                at, anchor = anchors(fps[s : s + step], code) if code else masked(fps[s : s + step])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[s : s + step][at]), pa.array(ids[s : s + step][at])], ["anchor", "fp", "first"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, dtype=np.int64)] * 3
@@ -200,27 +219,32 @@ def _compared(code: tuple, limit: int | None, most: int):
     return post, compare
 
 
-def _met(firsts: DataFrame, code: tuple, limit: int | None, most: int, label: str) -> DataFrame:
+def _met(firsts: DataFrame, code: tuple | None, limit: int | None, most: int, rows: int) -> DataFrame:
     post, compare = _compared(code, limit, most)
     posted = firsts.mapInArrow(post, "anchor long, fp long, first long")
-    return staged(posted.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, passed_on boolean"), label)[0]
+    compared = posted.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, passed_on boolean")
+    return staged(few(compared, 61 * rows, 200_000), "met")[0]
 
 
 def links(firsts: DataFrame, most: int = 3, limit: int = 50_000) -> DataFrame:
     """(a, b): links between the ids *first* of distinct fingerprints *fp* that connect all that differ in at most *most* (0 to 3) bits.
 
-    An anchor's rows are held together up to *limit* of them (24 bytes each); anchors with more are done over by the finer code.
-    The coarse code has 2**24 anchors; beyond MANY fingerprints the finer one (2**35 anchors) is used from the start, so that
-    anchors stay small. Either finds the same links.
+    An anchor's rows are held together up to *limit* of them (24 bytes each); fingerprints of anchors with more are done over by the
+    finer code, and those that crowd its anchors too by masks, under which no group can grow. The coarse code has 2**24
+    anchors; beyond MANY fingerprints the finer one (2**35 anchors) is used from the start, so that anchors stay small. Any way
+    finds the same links.
     """
-    if firsts.count() > MANY:
-        return _met(firsts, FINE, None, most, "met").select("a", "b")
-    coarse = _met(firsts, COARSE, limit, most, "met")
-    dense = coarse.filter("passed_on").select(F.col("a").alias("fp"), F.col("b").alias("first")).distinct()
-    found = coarse.filter("not passed_on").select("a", "b")
-    if dense.isEmpty():
-        return found
-    return found.unionAll(_met(dense, FINE, None, most, "dense").select("a", "b"))
+    rest, rows, found = firsts, firsts.count(), None
+    for code in (COARSE, FINE, None)[rows > MANY :]:
+        met = _met(rest, code, limit if code else None, most, rows)
+        these = met.filter("not passed_on").select("a", "b")
+        found = these if found is None else found.unionAll(these)
+        rest = met.filter("passed_on").select(F.col("a").alias("fp"), F.col("b").alias("first")).distinct()
+        if code is None or rest.isEmpty():
+            return found
+        rest, _ = staged(rest, "dense")
+        rows = rest.count()
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -231,13 +255,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, text: str =
     and a null component_id and links nothing. Other columns are not read. Exact copies share a
     fingerprint and are compared once, whatever their number.
     """
+    spark = docs.sparkSession
     marks, _ = staged(fingerprints(docs, width, text, key), "marks")
-    named = marks.filter(F.col("doc_id").isNotNull())
-    firsts, _ = staged(named.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    found = links(firsts, most)
-    several = named.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
-    same = named.join(several, "doc_id", "left_semi").join(firsts, "fp").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    reached, _ = staged(components(found.unionAll(same)), "reached")
-    by_fp, _ = staged(firsts.join(reached, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id")), "classes")
+    rows = marks.count()
+    with scratch(spark) as made:
+        named = marks.filter(F.col("doc_id").isNotNull())
+        firsts, _ = staged(few(named.groupBy("fp").agg(F.min("doc_id").alias("first")), rows), "firsts")
+        found = links(firsts, most)
+        several = named.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
+        same = named.join(several, "doc_id", "left_semi").join(firsts, "fp").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        reached = components(found.unionAll(same))
+        classes = firsts.join(reached, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+        by_fp, kept = staged(few(classes, rows), "classes")
+        made.remove(kept)  # the result reads this and the marks
     classed = marks.join(by_fp, "fp", "left")
     return classed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +15,13 @@ def token_count(text: Column, path: str) -> Column:
     A word's count is its initial symbols minus its merges.
     """
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from .word_bpe import load
 
         bpe = load(path)
         for texts in batches:
-            yield pd.Series([bpe.count(t) for t in texts], dtype="int64")
+            yield pa.array([bpe.count(t.as_py()) for t in texts], pa.int64())
 
     return count(text)
 

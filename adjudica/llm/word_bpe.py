@@ -37,6 +37,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(spec)
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.inner = [vocab[x] for x in _byte_letters()]
         self.final = [vocab[x + end] for x in _byte_letters()]
@@ -49,8 +50,18 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         # words are chunks of themselves, so one memo serves both
-        self.counts = Memo(self._count_chunk, limit=600_000)
-        self.ids = Memo(self._ids_of_chunk, limit=450_000)
+        self.counts = Memo(self._count_chunk)
+        self.ids = Memo(self._ids_of_chunk)
+
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Refuse a vocabulary whose own pipeline isn't the one that this class follows."""
+        steps = lambda part, name: [x["type"] for x in (spec.get(part) or {}).get(name, [])]
+        odd = [x["content"] for x in spec["added_tokens"] if "<|" not in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized")]
+        if spec["model"]["type"] != "BPE" or not spec["model"].get("end_of_word_suffix") or odd:
+            raise ValueError(f"the vocabulary is of another kind; special strings that differ: {odd[:3]}")
+        if steps("normalizer", "normalizers") != ["NFC", "Replace", "Lowercase"] or steps("pre_tokenizer", "pretokenizers") != ["Split", "ByteLevel"]:
+            raise ValueError("the vocabulary's normaliser or pre-tokeniser is another one")
 
     def merge(self, word: bytes) -> tuple[list[int], int]:
         """Symbols left after all merges (-1 where one was merged away), and how many merges there were.
