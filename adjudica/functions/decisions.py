@@ -21,7 +21,7 @@ def millis(c: Column) -> Column:
 
 
 def halved(c: Column) -> Column:
-    return F.floor(c / 2).cast("int")
+    return F.call_function("div", c.cast("long"), F.lit(2).cast("long")).cast("int")
 
 
 def quotient(a: Column, b: Column) -> Column:
@@ -51,6 +51,14 @@ def spans_overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def span_contains(a: Column, b: Column) -> Column:
+    return (a["start"] <= b["start"]) & (b["end"] <= a["end"])
+
+
+def span_text(a: Column) -> Column:
+    return F.concat_ws("..", a["start"], a["end"])
+
+
 def span_cover(a: Column, b: Column) -> Column:
     return F.struct(F.least(a["start"], b["start"]).alias("start"), F.greatest(a["end"], b["end"]).alias("end"))
 

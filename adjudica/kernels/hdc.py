@@ -108,12 +108,21 @@ def cleanup(q: np.ndarray, book: np.ndarray, floor: int) -> tuple[int, int, int]
     return found if found[1] >= floor else None
 
 
-def decode(sums: np.ndarray, book: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
-    """Up to *k* entries, the best first: each is taken out of the sums before the next is looked for."""
-    sums, entries, out = np.asarray(sums, dtype=np.int64).copy(), signs(book), []
+def components(book: np.ndarray) -> np.ndarray:
+    """Components of a codebook as floating-point numbers, for exact products by matrix multiplication."""
+    return signs(book).astype(np.float64)
+
+
+def decode(sums: np.ndarray, book: np.ndarray, k: int, floor: int, entries: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Up to *k* entries, the best first: each is taken out of the sums before the next is looked for.
+
+    *entries*: components(book), where many sums are decoded by one book. Sums hold 32 bits and vectors 4096 components, so products are whole numbers
+    below 2**53, which floating-point numbers hold exactly.
+    """
+    sums, entries, out = np.asarray(sums, dtype=np.int64).copy(), components(book) if entries is None else entries, []
     free, dim = np.ones(len(book), dtype=bool), book.shape[1] * 64
     while len(out) < min(k, len(book)):
-        dots = entries @ sums
+        dots = (entries @ sums.astype(np.float64)).astype(np.int64)
         scores = np.where(free, toward_zero(dots * 1000, max(1, int(np.abs(sums).sum()))), np.iinfo(np.int64).min)
         i = int(np.argmax(scores))
         if scores[i] < floor:
@@ -122,7 +131,7 @@ def decode(sums: np.ndarray, book: np.ndarray, k: int, floor: int) -> list[tuple
         free[i] = False
         dot = int(dots[i])
         share = (2 * abs(dot) + dim) // (2 * dim)  # half away from zero
-        sums = np.clip(sums - entries[i] * (share if dot >= 0 else -share), -(2**31), 2**31 - 1)
+        sums = np.clip(sums - entries[i].astype(np.int64) * (share if dot >= 0 else -share), -(2**31), 2**31 - 1)
     return out
 
 
@@ -179,6 +188,7 @@ def capacity(entries: int, dim: int, k: int, trials: int = 10) -> tuple[int, int
     """
     book, state = encode([seed("capacity", f"item{i:05}") for i in range(entries)], dim), GOLDEN ^ entries << 8 ^ k
     hits = signed = 0
+    entries_of = components(book)
     for _ in range(trials):
         chosen: dict[int, None] = {}
         while len(chosen) < k:
@@ -187,7 +197,7 @@ def capacity(entries: int, dim: int, k: int, trials: int = 10) -> tuple[int, int
             state ^= state << 17 & _M
             chosen[state % entries] = None
         sums = accumulate(book[[*chosen]])
-        hits += len({i for i, _ in decode(sums, book, k, -1000)} & chosen.keys())
+        hits += len({i for i, _ in decode(sums, book, k, -1000, entries_of)} & chosen.keys())
         best = np.lexsort((np.arange(entries), -similarity(book, packed(sums))))[:k]
         signed += len(set(best.tolist()) & chosen.keys())
     return 1000 * hits // (k * trials), 1000 * signed // (k * trials)

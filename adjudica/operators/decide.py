@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions as d
+from ..kernels.decide import ARBITRATION_STAGE, check_arbitration, check_drives
 
 
 def score(evidence: DataFrame, keys: list[str], option: str = "option", value: str = "c", scorer: str = "max") -> DataFrame:
@@ -61,13 +62,19 @@ def choose(evidence: DataFrame, keys: list[str], profile: str = "standard", id:
     return two.select(*keys, F.when(passed, F.col(id)).alias("chosen"), F.col("top").cast("int").alias("top"), (F.col("top") - F.col("second")).cast("int").alias("margin"))
 
 
-def arbitrate(scored: DataFrame, levels: list[int], weights: list[list[int]], incumbent: str | None = None, profile: str = "standard", shape: str = "choice", scores: str = "scores") -> DataFrame:
+def arbitrate(scored: DataFrame, levels: list[int], weights: list[list[int]], incumbent: str | None = None, profile: str = "standard", shape: str = "choice", scores: str = "scores", drives: list[str] | None = None) -> DataFrame:
     """Adds urges, dominant (a drive per option, null where none pulls), persisted, bonus, answer and winner_drive.
 
-    Drives and affinities are literals (16 drives at most), so everything is an expression over the row.
+    Drives and affinities are literals (16 drives at most), so everything is an expression over the row. Specifications that don't fit are
+    refused at once; a row whose options are not those of the affinities, or whose incumbent is none of them, is an error when it is read.
     """
-    if not 1 <= len(levels) <= 16 or len(weights) != len(levels):
-        raise ValueError("1 to 16 drives are needed, and a row of weights for each")
+    check_drives(drives if drives is not None else [f"drive {i}" for i in range(len(levels))], levels, weights)
+    check_arbitration(len(weights[0]) if weights else 0, levels, weights)
+    arity = len(weights[0])
+    fault = F.when(F.size(scores) != arity, "question mismatch")
+    if incumbent:
+        fault = fault.when(~F.col(incumbent).between(0, arity - 1), F.concat(F.lit("option out of range: "), F.col(incumbent).cast("string")))
+    scored = scored.withColumn(scores, F.when(fault.isNull(), F.col(scores)).otherwise(F.raise_error(fault).cast("array<int>")))
     pulls = F.array(*(F.array(*(F.lit(level * w // 1000) for w in row)) for level, row in zip(levels, weights)))
     best = lambda i: F.array_max(F.transform(pulls, lambda row, k: F.struct(F.get(row, i).alias("pull"), (-k).alias("k"))))
     both = F.transform(F.col(scores), lambda c, i: F.struct(d.confidence(d.quotient(best(i)["pull"] * c, F.lit(1000))).alias("urge"), F.when(best(i)["pull"] > 0, -best(i)["k"]).alias("drive")))
@@ -78,3 +85,13 @@ def arbitrate(scored: DataFrame, levels: list[int], weights: list[list[int]], in
     final = F.transform(F.col("urges"), lambda u, i: F.when(i == F.col("persisted"), u + F.col("bonus")).otherwise(u))
     out = out.withColumn("_final", final).withColumn("answer", d.answer(d.ranked(F.col("_final")), p, shape))
     return out.withColumn("winner_drive", F.get(F.col("dominant"), d.chosen(F.col("answer")))).drop("_both", "_final")
+
+
+def arbitration_trail(arbitrated: DataFrame, keys: list[str], labels: list[str], drives: list[str], stage: str = ARBITRATION_STAGE) -> DataFrame:
+    """(keys, step, stage, millis, text): one record per option with an urge, by option, and one for a persisted incumbent."""
+    label, drive = (F.array(*map(F.lit, x)) for x in (labels, drives))
+    urges = F.transform("urges", lambda u, i: F.when((u > 0) & F.get(F.col("dominant"), i).isNotNull(), F.struct(u.alias("millis"), F.format_string("%s urge %d dominant %s", F.get(label, i), u, F.get(drive, F.get(F.col("dominant"), i))).alias("text"))))
+    persisted = F.when(F.col("persisted").isNotNull(), F.struct(F.col("bonus").alias("millis"), F.format_string("persist %s +%d", F.get(label, F.col("persisted")), F.col("bonus")).alias("text")))
+    records = F.filter(F.concat(urges, F.array(persisted)), lambda r: r.isNotNull())
+    each = arbitrated.select(*keys, F.posexplode(records).alias("_i", "r"))
+    return each.select(*keys, (F.col("_i") + 1).alias("step"), F.lit(stage).alias("stage"), "r.millis", "r.text")

@@ -170,12 +170,25 @@ def decode(df: DataFrame, ids: list[str], book: np.ndarray, key: str, k: int, fl
     """(key, rank, id, similarity): the entries that sums are made of, one after another. The codebook goes along as a constant."""
 
     @F.pandas_udf("array<struct<rank:int,id:string,similarity:int>>")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([[{"rank": r + 1, "id": ids[i], "similarity": s} for r, (i, s) in enumerate(hdc.decode(np.array(x), book, k, floor))] for x in rows])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        entries = hdc.components(book)
+        for rows in batches:
+            yield pd.Series([[{"rank": r + 1, "id": ids[i], "similarity": s} for r, (i, s) in enumerate(hdc.decode(np.array(x), book, k, floor, entries))] for x in rows], dtype=object)
 
     return df.select(key, F.inline(run(total)))
 
 
+def capacity(cells: DataFrame, trials: int = 10) -> DataFrame:
+    """(entries, dim, k, decode, sign): thousandths of a bundle's members that are found again, for each cell (entries, dim, k) of a table; a cell is one task's work."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(n, dim, k, *hdc.capacity(n, dim, k, trials)) for n, dim, k in zip(b["entries"].tolist(), b["dim"].tolist(), b["k"].tolist())]
+            yield pd.DataFrame(rows, columns=["entries", "dim", "k", "decode", "sign"])
+
+    return cells.select("entries", "dim", "k").mapInPandas(run, "entries int, dim int, k int, decode int, sign int")
+
+
 def resonate(df: DataFrame, a: tuple[list[str], np.ndarray], b: tuple[list[str], np.ndarray], key: str, cap: int = 16, vector: str = "vector") -> DataFrame:
     """(key, converged, iterations, a, b): the two entries whose binding a vector is."""
 

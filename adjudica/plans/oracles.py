@@ -36,7 +36,8 @@ def events_gate(profile: str, of: str = "max") -> str:
     return f"with {EVIDENCE.format(of=of)}, {gate('scores', 'user_id', profile)}"
 
 
-def arbitration(levels: list[int], weights: list[list[int]], incumbent: bool) -> str:
+def arbitration_ctes(levels: list[int], weights: list[list[int]], incumbent: bool) -> str:
+    """CTEs kept (user_id, persisted, bonus) and final (user_id, option, urge, drive, c)."""
     rows = ", ".join(f"({d}, {o}, {level * w // 1000})" for d, (level, row) in enumerate(zip(levels, weights)) for o, w in enumerate(row))
     held = "user_id % 5" if incumbent else "null"
     return f"""
@@ -45,7 +46,11 @@ pulls(drive, option, pull) as (values {rows}),
 best as (select option, max(pull) as pull, arg_min(drive, -pull * 100 + drive) as drive from pulls group by option),
 urges as (select user_id, option, cast(pull * c // 1000 as integer) as urge, case when pull > 0 then drive end as drive, cast({held} as integer) as held from scores join best using (option)),
 kept as (select user_id, max(case when option = held and urge >= 750 then held end) as persisted, max(case when option = held and urge >= 750 then least(1000, urge + 150) - urge end) as bonus from urges group by user_id),
-final as (select u.*, persisted, bonus, urge + case when option = persisted then bonus else 0 end as c from urges u join kept using (user_id)),
+final as (select u.*, persisted, bonus, urge + case when option = persisted then bonus else 0 end as c from urges u join kept using (user_id))"""
+
+
+def arbitration(levels: list[int], weights: list[list[int]], incumbent: bool) -> str:
+    return f"""{arbitration_ctes(levels, weights, incumbent)},
 ordered as (select *, row_number() over (partition by user_id order by c desc, option) as r from final),
 two as (
     select user_id, max(case when r = 1 then option end) as option, max(case when r = 1 then c end) as top, max(case when r = 2 then c end) as second, max(case when r = 1 then drive end) as drive,

@@ -21,7 +21,7 @@ from ..kernels.text import MAX_INPUT_BYTES, Config
 from ..operators import decide, graphs, hypervectors, lexicon, rules, tokens
 from ..sources import confusables, journal
 from ..sources.staging import dealt, staged
-from . import delivery, oracles, text_oracles
+from . import delivery, oracles, recorded, structure_oracles, text_oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EVENT_TYPES = 5
@@ -42,6 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _event_evidence(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
     """(user_id, option, c): how often each event type, in byte order, occurs to a user, in thousandths of the most frequent or of all."""
     events = table(spark, sf_dir, "events")
+    # a question's options are few: they are numbered in one task
     options = decide.candidate_options(events.select("event_type").distinct(), [], "event_type")
     n = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     whole = n.groupBy("user_id").agg((F.max("n") if of == "max" else F.sum("n")).alias("whole"))
@@ -144,6 +145,70 @@ def arbitrate_incumbent(spark, sf_dir):
     return _arbitrated(spark, sf_dir, True)
 
 
+DRIVES = ["haste", "care", "thrift"]
+
+
+@query
+def arbitration_trail(spark, sf_dir):
+    """What the records of each user's arbitration say."""
+    scored = decide.dense(_event_evidence(spark, sf_dir, "max"), ["user_id"], EVENT_TYPES).withColumn("incumbent", F.pmod("user_id", F.lit(EVENT_TYPES)).cast("int"))
+    made = decide.arbitrate(scored, LEVELS, WEIGHTS, "incumbent", drives=DRIVES)
+    return decide.arbitration_trail(made, ["user_id"], [f"option {i}" for i in range(EVENT_TYPES)], DRIVES)
+
+
+# --- values -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def bounded_values(spark, sf_dir):
+    """Similarities and confidences of numbers within and beyond their bounds."""
+    x = (F.pmod("event_id", F.lit(4001)) - 2000).cast("int")
+    e = table(spark, sf_dir, "events").select("event_id", x.alias("x"))
+    c = d.confidence(F.col("x"))
+    return e.select("event_id", d.millis(F.col("x")).alias("millis"), c.alias("confidence"), d.halved(c).alias("halved"), d.confidence(c + 700).alias("added"), d.confidence(c - 700).alias("taken"), d.valid_confidence(F.col("x")).alias("valid"), d.quotient(F.col("x"), F.lit(7)).alias("seventh"))
+
+
+@query
+def span_values(spark, sf_dir):
+    """Spans of bytes, whether they are proper, and how they lie to one another."""
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", span(k % 11, k % 17).alias("a"), span(k % 7, k % 7 + k % 5).alias("b"))
+    fault = d.span_fault(F.col("a.start"), F.col("a.end"))
+    cut = d.span_slice(F.regexp_replace("text", "[^\\x00-\\x7f]", "~"), F.col("b.start"), F.col("b.end"))
+    return docs.select("doc_id", fault.alias("fault"), d.span_text(F.col("b")).alias("shown"), cut.alias("cut"), d.spans_overlap(F.col("a"), F.col("b")).alias("overlap"), d.span_contains(F.col("a"), F.col("b")).alias("contains"), d.span_text(d.span_cover(F.col("a"), F.col("b"))).alias("cover"))
+
+
+@query
+def label_values(spark, sf_dir):
+    """Labels of parts, some of them empty, untrimmed or too long, and why those are refused."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    label = F.when(k % 7 == 0, F.concat(name, F.lit(" "))).when(k % 7 == 1, F.lit("  ")).when(k % 7 == 2, F.repeat(name, 20)).when(k % 7 == 3, F.lit(None).cast("string")).otherwise(name)
+    return table(spark, sf_dir, "part").select("p_partkey", d.label_fault(label).alias("fault"))
+
+
+@query
+def profile_thresholds(spark, sf_dir):
+    """Each profile's thresholds, as the expressions have them."""
+    names = spark.createDataFrame([(n,) for n in ("fast", "standard", "deep")], "profile string")
+    return names.select("profile", d.least_confidence(F.col("profile")).alias("least"), d.least_margin(F.col("profile")).alias("margin"))
+
+
+@query
+def option_numbers(spark, sf_dir):
+    """Each customer's order statuses as numbered options."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("candidate")).distinct()
+    return decide.candidate_options(orders, ["o_custkey"])
+
+
+@query
+def abstentions(spark, sf_dir):
+    """What each user's answer is, whether it abstains, and why, in words."""
+    made = decide.decide(decide.dense(_event_evidence(spark, sf_dir, "max"), ["user_id"], EVENT_TYPES), "standard")
+    a = F.col("answer")
+    return made.select("user_id", d.is_abstain(a).alias("abstains"), d.chosen(a).alias("chosen"), d.reason_text(a["why"]).alias("reason"), F.size(a["ranked"]).alias("options"))
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 
 #: What is put before conversations' texts, so that messages have cues, typos, questions, negations, spans and look-alikes.
@@ -455,6 +520,21 @@ def journal_lines(spark, sf_dir):
     return lines.select("id", F.sha2(F.regexp_replace("value", '"input_hash":"[0-9a-f]{64}"', '"input_hash":""'), 256).alias("line_sha256"))
 
 
+@query
+def recorded_journal(spark, sf_dir):
+    """The recorded messages decided anew: their journal lines must be the recorded bytes."""
+    c = delivery.classifier(skeletons=confusables.skeletons(spark), unicode=RECORDED_UNICODE)
+    made = spark.createDataFrame([r[:2] for r in recorded.JOURNAL], "message string, profile string").withColumn("d", t.classified(F.col("message"), c, F.col("profile")))
+    read = journal.parsed(journal.lines(made, F.col("message"), F.col("profile"), F.col("d.json")))
+    return journal.check(read, c).filter("check.same").select("message", "profile", "input_hash", F.sha2("value", 256).alias("line_sha256"))
+
+
+@query
+def node_labels(spark, sf_dir):
+    """64-bit labels of nodes, made of their kind and name."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", graphs.label_of(F.lit("nation"), F.col("n_name")).alias("label"))
+
+
 @query
 def replay_other_version(spark, sf_dir):
     """Records replayed under a specification that passes look-alikes over: what changes in each."""
@@ -511,6 +591,43 @@ def hdc_bundle(spark, sf_dir):
     return p.join(bundles, "p_brand").groupBy("p_brand").agg(F.sum(d.similarity(F.col("vector"), F.col("bundle"), 1024)).cast("long").alias("similarity"), F.count("*").alias("n"))
 
 
+@query
+def hdc_permute(spark, sf_dir):
+    """Components of permuted names, by place."""
+    moved = _parts(spark, sf_dir).withColumn("moved", hypervectors.permute(F.col("vector"), 70))
+    places = [0, 1, 63, 69, 70, 71, 500, 1023, 1030]
+    return moved.select("p_partkey", F.array_join(F.array(*(d.component(F.col("moved"), i, 1024) for i in places)), ",").alias("components"), d.hamming(F.col("moved"), F.col("vector")).cast("long").alias("apart"))
+
+
+@query
+def hdc_dimensions(spark, sf_dir):
+    """Names in 2048 and 4096 dimensions."""
+    p = table(spark, sf_dir, "part").select("p_partkey", hypervectors.encode(F.col("p_name"), NAMESPACE, 2048).alias("a"), hypervectors.encode(F.col("p_name"), NAMESPACE, 4096).alias("b"))
+    ones = lambda v: F.aggregate(v, F.lit(0), lambda s, x: s + F.bit_count(x))
+    return p.select("p_partkey", ones("a").alias("ones_a"), ones("b").alias("ones_b"), F.col("a")[31].alias("last_a"), F.col("b")[63].alias("last_b"))
+
+
+@query
+def hdc_cleanup(spark, sf_dir):
+    """As hdc_nearest, of names that are like a brand to a certain degree."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")).distinct().withColumn("vector", hypervectors.encode(F.col("id"), NAMESPACE))
+    return hypervectors.nearest(_parts(spark, sf_dir).select("p_partkey", "vector"), brands, "p_partkey", floor=60)
+
+
+@query
+def hdc_codebook(spark, sf_dir):
+    """Brands as a codebook, numbered in the order of their ids."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")).distinct().withColumn("vector", hypervectors.encode(F.col("id"), NAMESPACE))
+    return hypervectors.codebook(brands).select("idx", "id", F.col("vector")[0].alias("first_word"))
+
+
+@query
+def hdc_weighted(spark, sf_dir):
+    """Each brand's weighted sums of components: how large they are, and their signs."""
+    total = hypervectors.sums(_parts(spark, sf_dir).withColumn("w", F.pmod("p_partkey", F.lit(5)) - 2), ["p_brand"], weight="w").withColumn("signs", hypervectors.signs(F.col("sums")))
+    return total.select("p_brand", F.aggregate("sums", F.lit(0).cast("long"), lambda s, x: s + F.abs(x)).alias("l1"), F.array_max("sums").alias("top"), F.array_min("sums").alias("bottom"), F.col("sums")[77].alias("one"), F.aggregate("signs", F.lit(0), lambda s, x: s + F.bit_count(x)).alias("negative"))
+
+
 @query
 def hdc_decode(spark, sf_dir):
     """What event types a user's weighted sum is made of."""
@@ -528,7 +645,14 @@ def hdc_resonate(spark, sf_dir):
     regions, nations = sorted(r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()), sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_name").collect())
     book = lambda ids: (ids, hdc.encode([hdc.seed("geo", i) for i in ids]))
     bound = both.withColumn("vector", d.bind(hypervectors.encode(F.col("r_name"), "geo"), hypervectors.encode(F.col("n_name"), "geo")))
-    return hypervectors.resonate(bound, book(regions), book(nations), "n_nationkey")
+    return hypervectors.resonate(bound, book(regions), book(nations), "n_nationkey").select("n_nationkey", "converged", "a", "b")
+
+
+@query
+def hdc_capacity(spark, sf_dir):
+    """How much of a bundle is found again, by codebook, dimension and size of the bundle."""
+    cells = [(n, dim, k) for dim in hdc.DIMENSIONS for n in (64, 256, 1024) for k in (1, 5, 15, 50, 100, 200) if k <= n]
+    return hypervectors.capacity(spark.createDataFrame(cells, "entries int, dim int, k int").repartition(len(cells), "entries", "dim", "k"))
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------
@@ -561,8 +685,9 @@ def wl_stable_classes(spark, sf_dir):
 
 def _chains(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("v"), F.when(F.col("role") == "user", 1).otherwise(2).cast("long").alias("label"))
-    edges = turns.select("g", F.col("v").alias("a"), F.lead("v").over(Window.partitionBy("g").orderBy("v")).alias("b"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("directed")).filter("b is not null")
-    return turns.dropDuplicates(["g", "v"]), edges
+    edges = turns.select("g", "v").distinct().select("g", F.col("v").alias("a"), F.lead("v").over(Window.partitionBy("g").orderBy("v")).alias("b"), F.lit(None).cast("long").alias("label"), F.lit(True).alias("directed")).filter("b is not null")
+    # of turns that repeat a number, that of the least label counts
+    return turns.groupBy("g", "v").agg(F.min("label").alias("label")), edges
 
 
 @query
@@ -571,6 +696,13 @@ def wl_fingerprints(spark, sf_dir):
     return graphs.refine_each(*_chains(spark, sf_dir))
 
 
+@query
+def graph_fingerprint(spark, sf_dir):
+    """The fingerprint of the whole trade graph after two rounds."""
+    nodes, edges = _trade(spark, sf_dir)
+    return graphs.fingerprint(graphs.refine(nodes, graphs.adjacency(edges), 2))
+
+
 @query
 def spd_wl_fingerprints(spark, sf_dir):
     return graphs.refine_each(*_chains(spark, sf_dir), mode="spd")
@@ -585,4 +717,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql(LEVELS, WEIGHTS) | text_oracles.sql()
+    return oracles.sql(LEVELS, WEIGHTS) | structure_oracles.sql(LEVELS, WEIGHTS, DRIVES) | text_oracles.sql()

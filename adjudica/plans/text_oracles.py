@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from ..kernels.decide import REASONS
 from ..kernels.text import ALGORITHM_TAG
-from . import delivery, oracles
+from . import delivery, oracles, recorded
 from .text_sql import SPACE, analysis, quoted, rules, scan, values
 
 #: Fixed value: the data version of the recorded decisions.
@@ -96,6 +96,7 @@ shown as (select doc, case when why is null then '{{"answer":"choice","option":'
     else '{{"answer":"abstain","why":{{"kind":"' || why || '"' || case why when 'low_confidence' then ',"top":' || top || ',"min":750' when 'low_margin' then ',"margin":' || top - second || ',"min":150' else '' end || '}},"ranked":[' || pairs || ']}}' end as answer from gated join orders using (doc))
 select doc as id, sha256('{{"schema":1,"input_hash":"","input":{{"message":' || to_json(text) || ',"profile":"standard"}},"decision":{{"answer":' || answer || ',"profile":"standard","data_version":"{RECORDED_VERSION}","trail":[' || steps || ']}}}}') as line_sha256
 from shown join steps using (doc) join src using (doc)""",
+        "recorded_journal": f"select * from {values(recorded.JOURNAL)} t(message, profile, input_hash, line_sha256)",
         "replay_other_version": f"""with {decided}, flagged as (select distinct doc from flags)
 select doc as id, false as same, true as data_version, false as profile, f.doc is not null as answer, f.doc is not null as trail from texts left join flagged f using (doc)""",
     }

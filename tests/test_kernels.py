@@ -16,7 +16,7 @@ from adjudica.kernels.classifier import ReplayError, canonical_json, diff, input
 from adjudica.kernels.lexicon import Entry, Lexicon, SpecError, adjacent_keys, deletes, overlap, repair_cost
 from adjudica.kernels.rules import Rule, RuleClass, RuleSet
 from adjudica.kernels.text import _BOUND, MAX_INPUT_BYTES, Config, TooLong, normalize, protected_spans, word_places
-from adjudica.plans import delivery
+from adjudica.plans import delivery, recorded
 
 
 def test_blake3():
@@ -208,6 +208,7 @@ def test_arbitration():
 
 # --- classifier and journal -------------------------------------------------------------------------------------------
 
+#: Recorded messages, their profiles, and what was decided.
 GOLDEN = [
     ("stop the build", "standard", 2, 900), ("stpo now", "standard", 2, 750), ("don't stop", "standard", None, "low_confidence"), ("stop using postgres", "standard", 1, 850), ("also add tests", "standard", 0, 800), ("use rust instead", "standard", 1, 800),
     ("run `stop` now", "standard", None, "low_confidence"), ("ѕtop the build", "standard", None, "confusable"), ("should I stop?", "standard", None, "low_confidence"), ("hello there", "fast", None, "low_confidence"), ("cancel the job", "deep", 2, 900), ("STOP!!", "standard", 2, 900),
@@ -224,6 +225,15 @@ def test_golden_decisions():
         assert (a.get("option"), a.get("confidence", a.get("why", {}).get("kind"))) == (option, rest), message
 
 
+def test_recorded_journal():
+    import hashlib
+
+    c = delivery.classifier(unicode=d.RECORDED_UNICODE)
+    for message, profile, of_input, of_line in recorded.JOURNAL:
+        value = {"message": message, "profile": profile}
+        assert input_hash(value) == of_input and hashlib.sha256(journal_line(value, c.decide(message, profile)).encode()).hexdigest() == of_line
+
+
 def test_golden_line():
     value = {"message": "stop the build", "profile": "standard"}
     assert input_hash(value) == "b40e4993e961272c823caa1b074a1073a58466904937943ce45ce0e9e4b576e1"
