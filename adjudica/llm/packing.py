@@ -135,4 +135,4 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: bool
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
     sequence, offset = F.expr("_first + (_rank - _from) div _each"), F.col("_offset") + nth % F.col("_each") * F.col("length")
-    return placed.select(key, "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"), *(["ids"] if keep else []))
+    return few(placed, made.count()).select(key, "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"), *(["ids"] if keep else []))

@@ -45,8 +45,11 @@ class Models:
     least: int = 900
 
 
-def samples(spark: SparkSession, count: int = 3000) -> DataFrame:
-    """(value, random): *count* labelled rows of each of four kinds of random strings and of four kinds of identifiers."""
+def samples(spark: SparkSession, count: int = 3000, first: int = 0) -> DataFrame:
+    """(value, random): *count* labelled rows of each of four kinds of random strings and of four kinds of identifiers.
+
+    Rows of other numbers from *first* on are other strings, for evaluation on what no model was trained on.
+    """
     n = F.col("id")
 
     def digest(salt: str) -> Column:
@@ -65,7 +68,7 @@ def samples(spark: SparkSession, count: int = 3000) -> DataFrame:
         (F.concat_ws("_", word(1), word(2), word(3)), 0), (F.concat(word(4), F.initcap(word(5)), F.initcap(word(6)), F.initcap(word(9))), 0),
         (F.concat(word(10), F.element_at(F.split(F.lit(",-,/,_,=,+"), ","), (F.pmod(n, F.lit(6)) + 1).cast("int")), word(11), word(12), F.upper(word(13))), 0), (F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), (n * 7919).cast("string"), word(14)), 0),
     ]
-    return spark.range(count).select(F.inline(F.array(*(F.struct(v.alias("value"), F.lit(k).alias("random")) for v, k in kinds))))
+    return spark.range(first, first + count).select(F.inline(F.array(*(F.struct(v.alias("value"), F.lit(k).alias("random")) for v, k in kinds))))
 
 
 def train(labelled: DataFrame, least: int = 900) -> Models:
@@ -87,8 +90,17 @@ def train(labelled: DataFrame, least: int = 900) -> Models:
     return Models(tuple(round(1000 * math.log(chance(1, a, b) / chance(0, a, b))) for a in ALPHABET for b in ALPHABET), least)
 
 
-def _starts(lengths: Column) -> Column:
+def _bound(value: Column, use) -> Column:
+    """use(value), with *value* evaluated once: what stands in the body of a lambda is evaluated anew for each element, unless it is a variable."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _starts(entries: Column) -> Column:
     """Sums of all entries before each one; in two levels, so long arrays cost no quadratic copying."""
+    return _bound(entries, _starts_of)
+
+
+def _starts_of(lengths: Column) -> Column:
     step = 256
 
     def running(values: Column, zero: Column) -> Column:
@@ -96,8 +108,8 @@ def _starts(lengths: Column) -> Column:
         return F.aggregate(values, state, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["seen"], s["at"]).alias("seen")), lambda s: s["seen"])
 
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / step).cast("int") - 1, F.lit(0))), lambda i: F.slice(lengths, i * step + 1, F.lit(step)))
-    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x))
-    return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), running(sums, F.lit(0).cast("long")).alias("z")), lambda x: running(x["p"], x["z"])))
+    total = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x)
+    return _bound(parts, lambda ps: F.flatten(F.zip_with(ps, running(F.transform(ps, total), F.lit(0).cast("long")), running)))
 
 
 def _spans(text: Column, pattern: str, rank: int) -> Column:
@@ -105,10 +117,13 @@ def _spans(text: Column, pattern: str, rank: int) -> Column:
 
     The texts between matches are what split() leaves, so the sums of lengths give the places.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-    ends = F.zip_with(_starts(steps), steps, lambda a, b: a + b)
-    made = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).cast("int").alias("start"), F.lit(rank).alias("rank"), e.cast("int").alias("end"), m.alias("found")))
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = _bound(F.zip_with(found, gaps, lambda m, g: F.length(g) + F.length(m)), lambda steps: F.zip_with(_starts(steps), steps, lambda a, b: a + b))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).cast("int").alias("start"), F.lit(rank).alias("rank"), e.cast("int").alias("end"), m.alias("found")))
+
+    made = _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     return F.when(text.rlike(pattern), made).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,found:string>>)"))
 
 
@@ -116,19 +131,16 @@ def _pairs(run: Column, models: Models) -> Column:
     """The log-likelihood ratio of each adjacent pair."""
     size = len(ALPHABET)
     table = F.split(F.lit(",".join(map(str, models.table))), ",").cast("array<int>")
-    places = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.call_function("instr", F.lit(ALPHABET), F.substring(run, i, F.lit(1))) - 1)
-    return F.transform(F.array(places), lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.get(table, a * size + b)))[0]
+    place_of = F.split(F.lit(",".join(str(ALPHABET.find(chr(c))) for c in range(128))), ",").cast("array<int>")
+    # split() takes the characters in one pass, where substring() would walk to each from the start
+    places = F.transform(F.split(run, ""), lambda c: F.get(place_of, F.ascii(c)))
+    return _bound(places, lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.get(table, a * size + b)))
 
 
 def _ratio(run: Column, models: Models) -> Column:
     return F.aggregate(_pairs(run, models), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), with *value* evaluated once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _uncovered(run: Column, base: Column) -> Column:
     """What the spans of *base*, sorted by start, leave over of a run: array<struct<start, found>>, parts of SHORTEST characters at least."""
     over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
@@ -174,7 +186,7 @@ def scan(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     assigned = F.filter(F.when(t.rlike(ASSIGN), F.zip_with(_spans(t, ASSIGN, 0), values, lambda s, v: F.struct(s["start"], s["rank"], s["end"], (F.length(v) >= 6).alias("long")))), lambda s: s["long"])
     base = F.concat(F.coalesce(F.transform(assigned, bare), F.expr(f"cast(array() as {_SPAN})")), F.transform(_spans(t, ACCESS, 1), bare), F.transform(_spans(t, HEX, 2), bare))
     first = docs.withColumn("__adjudica_base", F.array_sort(base)).withColumn("__adjudica_runs", _spans(t, RUN, 3))
-    parts = F.flatten(F.transform("__adjudica_runs", lambda r: _uncovered(r, F.col("__adjudica_base"))))
+    parts = _bound(F.col("__adjudica_base"), lambda b: F.flatten(F.transform("__adjudica_runs", lambda r: _uncovered(r, b))))
     added = F.flatten(F.transform("__adjudica_parts", lambda p: _random(p, models)))
     both = first.withColumn("__adjudica_parts", parts).withColumn("__adjudica_spans", F.array_sort(F.concat("__adjudica_base", added)))
     return both.drop("__adjudica_base", "__adjudica_runs", "__adjudica_parts")

@@ -58,7 +58,7 @@ def test_ratio_equals_a_sum_over_the_table(spark, models):
 def test_samples_are_told_apart(spark, models):
     from pyspark.sql import functions as F
 
-    df = secrets.samples(spark, 500).filter(F.length("value") >= 20)
+    df = secrets.samples(spark, 500, first=100_000).filter(F.length("value") >= 20)
     rows = df.select("random", (secrets._ratio(F.col("value"), models) >= models.least * (F.length("value") - 1)).alias("said")).collect()
     assert sum(r.said for r in rows if not r.random) <= 0.01 * len(rows)
     assert sum(r.said for r in rows if r.random) >= 0.9 * sum(r.random for r in rows)
@@ -91,7 +91,7 @@ def test_random_stretches_beside_names(spark, models):
 def test_names_are_no_stretches(spark, models):
     from pyspark.sql import functions as F
 
-    df = secrets.samples(spark, 2000).filter((F.length("value") >= 20) & (F.col("random") == 0))
+    df = secrets.samples(spark, 2000, first=200_000).filter((F.length("value") >= 20) & (F.col("random") == 0))
     assert secrets.scan(df, models, "value").filter(F.exists("__adjudica_spans", lambda s: s["rank"] == 3)).count() <= 0.02 * df.count()
 
 
@@ -119,3 +119,34 @@ def test_plan_is_native(spark, models):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = secrets.report(docs, models)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_planted_secrets(spark, models):
+    """Random strings that no base rule finds, planted in whole documents: nearly all are found, and nothing in documents without."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    kinds = ["aws_secret_access_key=", "client-credential ", "https://h.example/download?sig=", "Authorization: Bearer ", "private_key_id: ", "x-signature="]
+    values = [r.value for r in secrets.samples(spark, 200, first=300_000).filter("random = 1").collect() if len(r.value) >= 24 and not re.fullmatch("[0-9a-f]+", r.value)]
+    rows = []
+    for i, r in enumerate(docs.collect()):
+        half = len(r.text) // 2
+        planted = f" {kinds[i % len(kinds)]}{values[i]} " if i % 2 else ""
+        rows.append((r.doc_id, r.text[:half] + planted + r.text[half:], half + len(planted) - 1 - len(values[i]) if planted else None, values[i] if planted else None))
+    found = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("markov")] for r in secrets.report(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), models).collect()}
+    with_one = [x for x in rows if x[2] is not None]
+    hits = sum(any(s <= at + 2 and e >= at + len(v) - 2 for s, e in found[i]) for i, _, at, v in with_one)
+    false = sum(len(found[i]) for i, _, at, _ in rows if at is None)
+    assert hits >= 0.95 * len(with_one) and false == 0, (hits, len(with_one), false)
+
+
+def test_long_runs_take_linear_time(spark, models):
+    import random
+    import time
+
+    r = random.Random(1)
+    took = []
+    for n in (50_000, 400_000):
+        df = spark.createDataFrame([(1, "".join(r.choice("abcXYZ019+/_") for _ in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert secrets.report(df, models).first().spans == f"markov:0:{n}"
+        took.append(time.time() - began)
+    assert took[1] < 8 * max(took[0], 2)
