@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adjudica.llm import langid, packing, quality, secrets, simhash
-from adjudica.llm.common import discard, scratch, staged, table
+from adjudica.llm.common import discard, few, scratch, staged, table
 from adjudica.llm.queries import remainder, tokenizer
 
 
@@ -47,9 +47,9 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 BROADCAST_IDS = 1_000_000
 
 
-def _held(spark: SparkSession, ids: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct ids, written once and marked for broadcast if they are few enough; and how many there are."""
-    out, _ = staged(ids, "ids")
+def _held(ids: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Distinct ids of a table of *rows* rows, written once and marked for broadcast if they are few enough; and how many there are."""
+    out, _ = staged(few(ids, rows), "ids")
     n = out.count()
     return (F.broadcast(out) if n <= BROADCAST_IDS else out), n
 
@@ -64,9 +64,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     named = docs.filter("doc_id is not null")
     found = simhash.near_duplicates(docs).filter("doc_id is not null")
     by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    marks, path = staged(by_id.filter("doc_id <> component_id or n > 1"), "marked")
-    others, _ = _held(spark, marks.filter("doc_id <> component_id").select("doc_id"))
-    repeated, n = _held(spark, marks.filter("doc_id = component_id").select("doc_id"))
+    marks, path = staged(few(by_id.filter("doc_id <> component_id or n > 1"), docs.count()), "marked")
+    rows = marks.count()
+    others, _ = _held(marks.filter("doc_id <> component_id").select("doc_id"), rows)
+    repeated, n = _held(marks.filter("doc_id = component_id").select("doc_id"), rows)
     kept = named.join(others, "doc_id", "left_anti").select(docs.columns)
     if n:
         copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))))
