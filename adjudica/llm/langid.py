@@ -24,7 +24,8 @@ def fit(labelled: DataFrame, size: int = 65536, rows: int = 96, longest: int = 4
     """A dictionary of up to *size* bytes for each language.
 
     The sample is bounded: of each language *rows* rows, such as are no longer than *longest* characters first, then by
-    a hash of the text, equal texts once; of a longer text *longest* characters go in. Rows without a language or text are passed over.
+    a hash of the text, equal texts once; of a longer text *longest* characters go in. Rows without a language or text are passed over, keys aren't
+    read, and an empty table gives no dictionary. Texts that share a hash and all else are one; else the order is total.
     """
     t = F.col(text)
     usable = labelled.filter(F.col(lang).isNotNull() & t.isNotNull() & (F.length(t) > 0))
@@ -86,7 +87,9 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], least: float = 0
     """*docs* with the language, its score and whether that reaches *least* (narrower margins are rejected).
 
     Texts that are null, empty or without a letter get ``und``, 0 and false. Whole texts are compressed. The dictionaries
-    are bounded by the number of languages. Columns of the same names are replaced.
+    are bounded by the number of languages; without any, all texts get ``und``. Of languages with equal sizes the first by name is
+    chosen, with score 0. Repeated rows are judged each, alike; keys aren't read, so null ones matter nothing; an empty table
+    stays empty. Columns of the same names are replaced.
     """
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

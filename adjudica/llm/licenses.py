@@ -4,7 +4,7 @@ Each unit of a text (the whole text, its paragraphs, and their lines) is normali
 licence templates by the Dice coefficient of their sets of word bigrams. A template can only reach the least
 coefficient t if its set's size is between t / (2 - t) and (2 - t) / t times the unit's; others are pruned.
 So are runs of adjoining sentences and lines, since a licence in a longer text is several paragraphs and a notice may stand in a
-line; they count where they match better than the units that they overlap.
+line; they count where they match better than units of comparable length that they overlap.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +30,8 @@ _BSD_END = (
     "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
     "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-#: Licence texts and customary notices, by SPDX identifier.
-TEMPLATES: list[tuple[str, str]] = [
+#: Short licence texts and customary notices, by SPDX identifier; whole texts of longer licences are in license_texts.
+NOTICES: list[tuple[str, str]] = [
     ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE " + _AS_IS),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -53,6 +54,14 @@ TEMPLATES: list[tuple[str, str]] = [
     *((f"CC-{kind}-4.0", f"Licensed under CC {kind} 4.0.") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
     *((f"CC-{kind}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"))),
 ]
+
+
+def templates() -> list[tuple[str, str]]:
+    """The notices, and each file of license_texts as (its name, its text)."""
+    files = sorted((f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return NOTICES + [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files]
+
+
 _WORD = re.compile(r"[^\W_]+")
 _NOTICE = re.compile(r"^.{0,16}\bcopyright\b.{0,8}(\(c\)|©|[0-9]{4}).*$", re.I | re.M)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
@@ -66,27 +75,21 @@ def bigrams(text: str) -> set[str]:
 
 
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8):
+    def __init__(self, known: list[tuple[str, str]] | None = None, least: float = 0.8):
         self.least = least
-        self.sets = [(name, bigrams(text)) for name, text in templates]
-        self.with_gram: dict[str, list[int]] = {}
-        for i, (_, grams) in enumerate(self.sets):
-            for g in grams:
-                self.with_gram.setdefault(g, []).append(i)
-        self.known = set(self.with_gram)
-        sizes = [len(g) for _, g in self.sets] or [0]
-        self.smallest, self.largest = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
+        #: By size, so that those within a unit's bounds are a slice.
+        self.sets = sorted(((name, bigrams(text)) for name, text in (templates() if known is None else known)), key=lambda x: len(x[1]))
+        self.sizes = [len(g) for _, g in self.sets]
+        self.known = set().union(*(g for _, g in self.sets))
 
     def best(self, grams: set[str]) -> tuple[float, str] | None:
         """The template of the largest coefficient, of equal ones the first by name, if that is large enough."""
         n, t = len(grams), self.least
-        if not self.smallest <= n <= self.largest or not (shared := grams & self.known):
+        first = bisect.bisect_left(self.sizes, n * t, key=lambda m: m * (2 - t))
+        last = bisect.bisect_right(self.sizes, n * (2 - t), key=lambda m: m * t)
+        if first >= last or len(shared := grams & self.known) * (2 - t) < n * t:
             return None
-        hits: dict[int, int] = {}
-        for g in shared:
-            for i in self.with_gram[g]:
-                hits[i] = hits.get(i, 0) + 1
-        found = [(2 * k / (n + m), name) for i, k in hits.items() for name, m in [(self.sets[i][0], len(self.sets[i][1]))] if n * t <= m * (2 - t) and m * t <= n * (2 - t)]
+        found = [(2 * len(shared & held) / (n + len(held)), name) for name, held in self.sets[first:last]]
         found = [x for x in found if x[0] >= t]
         return min(found, key=lambda x: (-x[0], x[1])) if found else None
 
@@ -117,14 +120,14 @@ class Scanner:
         return [(s, e, name, score) for (s, e), (score, name) in sorted(out.items())]
 
     def runs(self, text: str, units: dict[tuple[int, int], tuple[float, str]]) -> list[tuple[int, int, str, float]]:
-        """The best runs of adjoining sentences, none overlapping another, that match better than all *units* they overlap."""
-        t, whole = self.least, bigrams(text)
-        held: dict[int, int] = {}
-        for g in whole & self.known:
-            for i in self.with_gram[g]:
-                held[i] = held.get(i, 0) + 1
+        """The best runs of adjoining sentences. A run counts unless a better or equal one, or such a unit, lies across it that is of comparable
+        length: twice as long at most, or half as long at least. So a whole licence counts beside a notice that it holds."""
+        t, shared = self.least, bigrams(text) & self.known
+        if any(s == 0 and e == len(text) and score == 1 for (s, e), (score, _) in units.items()):
+            return []  # nothing matches better
         # of a match, at least t / (2 - t) of the template's bigrams are in the text
-        held = {i: k for i, k in held.items() if k * (2 - t) >= len(self.sets[i][1]) * t}
+        most = bisect.bisect_right(self.sizes, len(shared) * (2 - t), key=lambda m: m * t)
+        held = [i for i in range(most) if len(shared & self.sets[i][1]) * (2 - t) >= self.sizes[i] * t]
         if not held:
             return []
         plain = _NOTICE.sub(lambda m: " " * len(m[0]), text) if "opyright" in text or "OPYRIGHT" in text else text
@@ -163,23 +166,23 @@ class Scanner:
                             break
                 if best:
                     found.append((-best[0], name, a, best[1]))
-        taken = [0.0] * len(places)
-        for (s, e), (score, _) in units.items():
-            low = bisect.bisect_left(places, s, key=lambda x: x[1] - 1)
-            for b in range(low, len(places)):
-                if places[b][0] >= e:
-                    break
-                taken[b] = max(taken[b], score)
+        taken = [(s, e, score) for (s, e), (score, _) in units.items()]
+
+        def rival(s: int, e: int, score: float) -> bool:
+            """Whether something at least as good, of comparable length, lies there already."""
+            return any(a < e and s < b and other >= score and 2 * min(b - a, e - s) >= max(b - a, e - s) for a, b, other in taken)
+
         out = []
         for score, name, a, b in sorted(found):
-            if max(taken[a : b + 1]) < -score:
-                taken[a : b + 1] = [1.0] * (b + 1 - a)
-                out.append((places[a][0], places[b][1], name, -score))
+            start, end = places[a][0], places[b][1]
+            if not rival(start, end, -score):
+                taken.append((start, end, 1.0))
+                out.append((start, end, name, -score))
         return out
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8, keep: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of *docs*: key, license (of the best match, null if there is none), dice, n_matches, spans, and
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, least: float = 0.8, keep: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """With the templates *known* (name, text), or those of templates(), one row per row of *docs*: key, license (of the best match, null if there is none), dice, n_matches, spans, and
     with *keep* matches (array of start, end, license, dice).
 
     Of equal coefficients the first match in the text counts. Null and empty texts match nothing. Every unit of a whole text is
@@ -192,7 +195,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
 
     @F.arrow_udf(fields)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(templates, least)
+        scanner = Scanner(known, least)
         for texts in batches:
             rows = []
             for t in texts:

@@ -62,8 +62,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _nearest(m: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
-    """For each row, its nearest pivots in order; ties to the first pivot."""
-    return np.argsort(-(_unit(m) @ pivots.T), axis=1, kind="stable")[:, :length]
+    """For each row, its nearest pivots in order; of those that count, ties go to the first pivot."""
+    far = -(_unit(m) @ pivots.T)
+    if length < far.shape[1]:
+        some = np.sort(np.argpartition(far, length - 1, axis=1)[:, :length], axis=1)
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
+    return np.argsort(far, axis=1, kind="stable")
 
 
 def _indexed(pivots: dict[int, np.ndarray], length: int, keep: int):
@@ -100,7 +104,7 @@ def _expected(shared: np.ndarray, x: np.ndarray, cosines: np.ndarray) -> np.ndar
     return at + slope * shared + 2 * (cosines - at - slope * x).std()
 
 
-def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float, least: int):
+def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float):
     def score(row: dict) -> Iterator[pa.RecordBatch]:
         dim = row["dim"]
         own, asked = np.frombuffer(row["q_ids"], dtype=np.int64), np.frombuffer(row["q_data"]).reshape(-1, dim)
@@ -112,7 +116,7 @@ def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float,
         norms = np.linalg.norm(data / max(np.abs(data).max(initial=0), np.finfo(float).tiny), axis=1)
         probes = np.unique(np.linspace(0, len(data) - 1, 512).astype(np.int64))
         cosines = _unit(asked) @ _unit(data[probes]).T
-        count = min(len(data), max(least, int(share * len(data))))
+        count = min(len(data), max(8 * (k + 1), int(share * len(data))))
         found = []
         for i, q in enumerate(asked):
             shared = np.zeros(len(data), dtype=np.int32)  # the footrule distance is length * (length + 1) - 2 * shared
@@ -146,11 +150,12 @@ def _searched(pivots: dict[int, np.ndarray], length: int, k: int, share: float,
     return score
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = 256, length: int = 96, share: float = 0.12, least: int = 600, size: int = 16384, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = 1024, length: int = 64, share: float = 0.12, size: int = 16384, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the *k* largest inner products found, in double precision.
 
     *pivots* bounds the sample of pivots, *length* is that of a permutation, *size* that of a segment; of each
-    segment the most promising *share* by footrule and norm, but at least *least*, are ranked anew. Every row is indexed. Queries are
+    segment the most promising *share* by footrule and norm (of very small ones 8 (k + 1) rows) are ranked anew. Many pivots and lists that hold
+    few of them keep the inverted files short: a query meets length ** 2 / pivots entries a row. Every row is indexed. Queries are
     the rows whose key is divisible by *every*, one per key (of repeated ones the least vector); candidates all other
     rows except such as bear the query's own key. Ties go to the smaller key. Rows with a null key, or with
     a vector that is null, empty, zero or holds null or non-finite components, take no part; vectors of different
@@ -160,9 +165,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = 256,
     rows = usable(vectors, key, vector, zero=False)
     sample = pivots_of(rows, pivots)
     index, _ = staged(packed(rows, size).mapInArrow(_indexed(sample, length, k + 1), SEGMENT), "segments")
-    groups = max(1, min(index.count(), 4096))
     asked, _ = staged(rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "asked")
-    sent = packed(asked.repartition(max(1, -(-asked.count() // 1024)), "id"), 1024)
-    best = meet(sent, index, _searched(sample, length, k, share, least), "query_id long, vec_id long, score double", groups)
+    parts = max(1, -(-asked.count() // 1024))
+    sent = packed(asked.repartition(parts, "id"), 1024)
+    best = meet(sent, index, _searched(sample, length, k, share), "query_id long, vec_id long, score double", (index.count(), parts))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -161,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, text: str = "t
 def scored(docs: DataFrame, model: Additive, least: float = 0.7, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """*docs* with the score of each whole text (null and empty ones too), and 1 where it reaches *least*, else 0.
 
-    Columns of the same names are replaced; repeated rows are scored each.
+    Columns of the same names are replaced; repeated rows are scored each, alike; keys aren't read, so null ones matter nothing; very long texts
+    are read whole; an empty table stays empty. A model that was taught nothing scores 1/2.
     """
 
     @F.arrow_udf("double")

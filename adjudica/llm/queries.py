@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, licenses, packing, permutation, pieces, quality, secrets, simhash, token_counts, topk
-from .common import table
+from .common import dealt, table
 
 
 def tokenizer(name: str) -> str:
@@ -22,20 +22,25 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts of all documents, dealt out if they are read in fewer parts than there are cores."""
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return token_counts.token_counts(texts(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), keep=False)
+    return licenses.scan(texts(spark, sf_dir), keep=False)
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep=False)
+    return pieces.encode_decode(texts(spark, sf_dir), tokenizer("piece_bpe_32k.model"), keep=False)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(texts(spark, sf_dir))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,19 +50,19 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = langid.fit(docs.filter(remainder(3) != 1))
-    found = langid.identified(docs.select("doc_id", "text"), dictionaries)
+    found = langid.identified(texts(spark, sf_dir), dictionaries)
     return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "reliable")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(remainder(4) != 2))
-    found = quality.scored(docs.select("doc_id", "text"), model)
+    found = quality.scored(texts(spark, sf_dir), model)
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packing.pack(texts(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+    return secrets.report(texts(spark, sf_dir), secrets.train(secrets.samples(spark)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -198,14 +198,22 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, models: Models, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of *docs*: key, n_assign, n_access, n_hex, base_sha256, spans. Other columns are not read; a null key stays null."""
+    """One row per row of *docs*: key, n_assign, n_access, n_hex, base_sha256, spans.
+
+    A null or empty text has none; repeated rows are scanned each; other columns are not read; a null key stays null; an empty table
+    gives no rows.
+    """
     found = scan(docs.select(F.col(key), F.col(text).alias("_text")), models, "_text")
     count = lambda rank: F.size(F.filter("__adjudica_spans", lambda s: s["rank"] == rank)).cast("long")
     return found.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.filter("__adjudica_spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), _joined(F.col("__adjudica_spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, models: Models, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """*docs* with each stretch that spans cover, alone or overlapping, replaced by *mark*; a null text stays null."""
+    """*docs* with each stretch that spans cover, alone or overlapping, replaced by *mark*.
+
+    A null text stays null and an empty one empty; texts without spans stay as they are; spans that overlap or touch become one mark;
+    repeated rows are treated each, alike; whole texts whatever their length; an empty table stays empty; other columns stay.
+    """
     found = scan(docs, models, text)
     spans = F.col("__adjudica_spans")
     # the text between covered stretches: from the furthest end so far to the next start beyond it

@@ -87,7 +87,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, size: int = 4096, key
     give fewer rows, an empty table none. Other columns are not read.
     """
     rows = usable(vectors, key, vector)
-    blocks, groups = blocks_of(rows, size, "candidates")
+    blocks, count = blocks_of(rows, size, "candidates")
     asked = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.floor(x * SCALE).cast("double") * F.floor(x * SCALE).cast("double")))
     longest = rows.agg(F.max(norm)).first()[0]
@@ -99,7 +99,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, size: int = 4096, key
     parts = max(1, -(-n // 1024))
     while True:
         sent = packed(state.repartition(parts, "id"), 1024, ("low", "width", "bins"))
-        counts = meet(sent, blocks, _counted(k), "query_id long, bin long, n long", groups).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = meet(sent, blocks, _counted(k), "query_id long, bin long, n long", (count, parts)).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         upto = counts.join(state.select(F.col("id").alias("query_id"), "need"), "query_id").withColumn("upto", F.sum("n").over(down)).withColumn("before", F.col("upto") - F.col("n"))
         # the bin of the k-th value, or the lowest one if there are fewer
@@ -108,6 +108,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, size: int = 4096, key
         state, _ = staged(moved.select("id", "v", "low", F.col("step").alias("width"), F.ceil(F.col("span") / F.col("step")).cast("long").alias("bins"), "need", "span"), "ranges")
         if (state.agg(F.max("span")).first()[0] or 1) <= 1:
             break
-    best = meet(packed(state.repartition(parts, "id"), 1024, ("low",)), blocks, _taken(k), "query_id long, vec_id long, score long", groups)
+    best = meet(packed(state.repartition(parts, "id"), 1024, ("low",)), blocks, _taken(k), "query_id long, vec_id long, score long", (count, parts))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,16 +68,32 @@ def packed(rows: DataFrame, size: int, extra: tuple[str, ...] = ()) -> DataFrame
     return rows.mapInArrow(pack, schema)
 
 
-def meet(queries: DataFrame, candidates: DataFrame, score: Callable[..., Iterator[pa.RecordBatch]], schema: str, groups: int) -> DataFrame:
+MOST_CELLS = 4096
+
+
+def grid(candidates: int, queries: int, cores: int) -> tuple[int, int]:
+    """(rows, columns) of a grid of cells that candidate blocks and query blocks are dealt to.
+
+    A candidate block goes to each column of its row, a query block to each row of its column; with sides in proportion to the blocks, both
+    are copied about equally often, and as little as can be for that many cells. A cell has a few pairs of blocks or more.
+    """
+    pairs = candidates * queries
+    cells = max(1, min(MOST_CELLS, max(pairs // 4, min(pairs, 2 * cores))))
+    rows = max(1, min(candidates, round(math.sqrt(cells * candidates / max(1, queries)))))
+    return rows, max(1, min(queries, -(-cells // rows)))
+
+
+def meet(queries: DataFrame, candidates: DataFrame, score: Callable[..., Iterator[pa.RecordBatch]], schema: str, blocks: tuple[int, int]) -> DataFrame:
     """Let every query block meet every candidate block of its vector length, one pair of blocks at a time.
 
-    Candidate blocks are dealt to *groups* groups; query blocks go to each group. *score* turns a row with
-    the columns of both (those of queries prefixed with q_) into record batches; a task holds two blocks at a
-    time, however many there are.
+    Blocks are dealt to a grid (*blocks*: about how many candidate and query blocks there are); a task holds two blocks at a
+    time, however many there are. *score* turns a row with the columns of both (those of queries prefixed with q_) into record batches.
     """
-    dealt = candidates.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    sent = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    pairs = dealt.join(sent, (dealt["g"] == sent["g"]) & (F.col("dim") == F.col("q_dim"))).drop("g")
+    rows, columns = grid(*blocks, queries.sparkSession.sparkContext.defaultParallelism)
+    along = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = candidates.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(rows))).withColumn("h", along(columns))
+    sent = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns), F.pmod(F.xxhash64("block"), F.lit(columns)).alias("_h"), along(rows).alias("_g"))
+    pairs = dealt.join(sent, (F.col("g") == F.col("_g")) & (F.col("h") == F.col("_h")) & (F.col("dim") == F.col("q_dim"))).drop("g", "h", "_g", "_h")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -88,6 +105,6 @@ def meet(queries: DataFrame, candidates: DataFrame, score: Callable[..., Iterato
 
 
 def blocks_of(df: DataFrame, size: int, label: str) -> tuple[DataFrame, int]:
-    """Staged candidate blocks and how many groups to deal them to."""
+    """Staged candidate blocks and how many there are."""
     out, _ = staged(packed(df, size), label)
-    return out, max(1, min(out.count(), 4096))
+    return out, out.count()

@@ -5,7 +5,9 @@ import textwrap
 
 from adjudica.llm import licenses
 
-MIT = licenses.TEMPLATES[0][1]
+TEMPLATES = licenses.templates()
+GRAMS = [(n, licenses.bigrams(t)) for n, t in TEMPLATES]
+MIT = TEMPLATES[0][1]
 
 
 def brute(text, least=0.8):
@@ -22,7 +24,7 @@ def brute(text, least=0.8):
     out = []
     for s, e in sorted(units):
         a = licenses.bigrams(text[s:e])
-        scores = [(-2 * len(a & b) / (len(a) + len(b)), n) for n, t in licenses.TEMPLATES for b in [licenses.bigrams(t)] if a]
+        scores = [(-2 * len(a & b) / (len(a) + len(b)), n) for n, b in GRAMS if a]
         if scores and -min(scores)[0] >= least:
             out.append((s, e, min(scores)[1], -min(scores)[0]))
     return out
@@ -43,7 +45,7 @@ def test_scan(spark):
 
 
 def test_licences_of_several_paragraphs_and_notices_within_lines(spark):
-    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "granted" in t)
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and "granted" in t)
     a, b = mit.index("The above copyright notice and"), mit.index("THE SOFTWARE IS")
     parts = ["MIT License", "Copyright (c) 2020 A. Person", mit[12:a].strip(), mit[a:b].strip(), mit[b:]]
     wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 78)) for p in parts)
@@ -57,3 +59,17 @@ def test_licences_of_several_paragraphs_and_notices_within_lines(spark):
     m = rows[0].matches[0]
     assert rows[0].n_matches == 1 and m.dice > 0.95 and texts[0][m.start : m.end].startswith(("MIT License", "Permission is")) and texts[0][m.start : m.end].endswith("SOFTWARE.")
     assert [line[m.start : m.end] for m in rows[1].matches] == ["Released under the MIT License."] and rows[2].n_matches == 2
+
+
+def test_whole_texts_of_long_licences(spark):
+    names = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    whole = {n: t for n, t in TEMPLATES if len(t) > 5000}
+    assert names <= whole.keys()
+    prose = "\n\n".join(f"Chapter {i}. The sea was calm on day {i * 3}, and nobody had seen a ship{i} for weeks." for i in range(400))
+    texts = {n: t for n, t in whole.items() if n in names}
+    rows = [(n, t.replace("  ", " ")) for n, t in texts.items()] + [(n + " within", prose + "\n\n" + t + "\n\n" + prose) for n, t in texts.items() if len(t) < 20_000] + [("none", prose)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()}
+    for name, text in rows[:-1]:
+        best = max(found[name].matches, key=lambda m: m.end - m.start)
+        assert best.license == name.split(" ")[0] and best.dice > 0.9 and best.end - best.start > 0.8 * len(whole[best.license].replace("  ", " ")), (name, best)
+    assert found["none"].license is None

@@ -18,8 +18,8 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(fps):
-    """{key: smallest reachable key} over keys with fingerprints, all pairs."""
+def brute_components(fps, most=3, others=None, most_beside=64):
+    """{key: smallest reachable key} over keys with fingerprints (and *others* beside them), all pairs."""
     keys, root = sorted(fps), {k: k for k in fps}
 
     def find(x):
@@ -27,9 +27,9 @@ def brute_components(fps):
             x = root[x]
         return x
 
-    values = np.array([fps[k] for k in keys], dtype=np.uint64)
+    values, beside = (np.array([x[k] for k in keys], dtype=np.uint64) for x in (fps, others or fps))
     for i, k in enumerate(keys):
-        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 3):
+        for j in np.flatnonzero((np.bitwise_count(values[i + 1 :] ^ values[i]) <= most) & (np.bitwise_count(beside[i + 1 :] ^ beside[i]) <= most_beside)):
             a, b = find(k), find(keys[i + 1 + j])
             root[max(a, b)] = min(a, b)
     return {k: find(k) for k in keys}
@@ -46,7 +46,7 @@ def test_anchors_meet_and_are_few():
     draw = np.random.default_rng(1)
     x = draw.integers(0, 2**63, 4000, dtype=np.int64) * 2 + 1
     for code, most in ((simhash.COARSE, 80), (simhash.FINE, 200)):
-        flips = np.array([np.bitwise_or.reduce(np.uint64(1) << draw.choice(64, 3, replace=False).astype(np.uint64)) for _ in x]).view(np.int64)
+        flips = np.array([np.bitwise_or.reduce(np.uint64(1) << draw.choice(64, 4, replace=False).astype(np.uint64)) for _ in x]).view(np.int64)
         (i, a), (j, b) = simhash.anchors(x, code), simhash.anchors(x ^ flips, code)
         assert len(a) < most * len(x)
         assert len(set(zip(i.tolist(), a.tolist()))) == len(a)
@@ -67,8 +67,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [50_000, 8])
-def test_links_against_all_pairs(spark, limit):
+@pytest.mark.parametrize("limit,most,beside,many", [(50_000, 3, None, 1 << 27), (8, 3, None, 1 << 27), (2, 3, None, 1 << 27), (50_000, 3, None, 10), (2, 4, (5, 20), 1 << 27), (50_000, 4, (5, 20), 1 << 27), (2, 4, None, 10)])
+def test_links_against_all_pairs(spark, monkeypatch, limit, most, beside, many):
+    """By the coarse code alone, with crowded anchors done over by the finer code and by masks, and by the finer code from the start."""
+    monkeypatch.setattr(simhash, "MANY", many)
     draw = np.random.default_rng(7)
     centres = draw.integers(-(2**63), 2**63 - 1, 6, dtype=np.int64)
     fps = set(draw.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64).tolist())
@@ -79,9 +81,11 @@ def test_links_against_all_pairs(spark, limit):
                 x ^= 1 << b
             fps.add(x)
     by = {i: int(f) for i, f in enumerate(sorted(fps))}
-    found = components(simhash.links(spark.createDataFrame([(f, i) for i, f in by.items()], "fp long, first long"), limit=limit))
-    got = {r.node: r.component for r in found.collect()}
-    expected = brute_components({i: f % 2**64 for i, f in by.items()})
+    second = {i: int(x) for i, x in zip(by, draw.choice(centres[:3], len(by)) ^ (1 << draw.integers(0, 63, len(by))))}
+    df = spark.createDataFrame([(f, i, second[i]) for i, f in by.items()], "fp long, first long, fp2 long")
+    rule = simhash.Rule(width=1, most=most, beside=beside)
+    got = {r.node: r.component for r in components(simhash.links(df, rule, limit)).collect()}
+    expected = brute_components({i: f % 2**64 for i, f in by.items()}, most, {i: f % 2**64 for i, f in second.items()} if beside else None, beside[1] if beside else 64)
     assert {k: got.get(k, k) for k in by} == expected
 
 
@@ -116,3 +120,27 @@ def test_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     expected = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
     assert {r.doc_id: r.component_id for r in op4_near_duplicates(spark, d).collect()} == expected
+
+
+def test_similar_texts_are_found(spark):
+    """Of texts of a five-word similarity from 0.8 on most are linked; other texts, and the same words in another order, are not."""
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    shingles = lambda t: set(zip(*(t[i:] for i in range(5))))
+    rows, wanted, kept_apart = [], [], []
+    for i in range(300):
+        words = draw.choices(vocabulary, k=200)
+        near = list(words)
+        for _ in range(draw.randint(1, 4)):
+            near[draw.randrange(200)] = "changed"
+        if (a := shingles(words)) and len(a & shingles(near)) >= 0.8 * len(a | shingles(near)):
+            wanted.append((3 * i, 3 * i + 1))
+        shuffled = draw.sample(words, 200)
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(shuffled))]
+        kept_apart.append(3 * i + 2)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), simhash.SIMILAR).collect()}
+    assert len(wanted) > 200 and sum(found[a] == found[b] for a, b in wanted) >= 0.85 * len(wanted)
+    assert all(found[i] == i for i in kept_apart)
+    assert {found[a] // 3 for a in found if a % 3 == 1} <= set(range(300)) and all(found[a] // 3 == a // 3 for a in found)
+    with pytest.raises(ValueError):
+        simhash.Rule(most=5)

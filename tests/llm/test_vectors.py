@@ -6,6 +6,7 @@ import numpy as np
 
 from adjudica.llm.permutation import nearest
 from adjudica.llm.topk import top_k
+from adjudica.llm.vectors import MOST_CELLS, grid
 
 
 def fixture(spark, n=300, dim=8, integral=False):
@@ -53,7 +54,7 @@ def test_exact_beyond_doubles(spark):
 def test_index_is_exact_where_it_ranks_all_anew(spark):
     df, good = fixture(spark)
     good = [(i, v) for i, v in good if any(v)]
-    found = nearest(df.repartition(3), k=6, every=50, pivots=16, length=4)
+    found = nearest(df.repartition(3), k=6, every=50, pivots=16, length=4, share=1.0)
     expected = brute(good, 6, 50, lambda a, b: float(np.dot(np.array(a), np.array(b))))
     got = sorted(map(tuple, found.collect()))
     assert [x[:3] for x in got] == [x[:3] for x in expected]
@@ -61,6 +62,14 @@ def test_index_is_exact_where_it_ranks_all_anew(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_grid():
+    for candidates, queries in [(1, 1), (13, 3), (500, 10), (10**6, 40_000), (3, 900)]:
+        rows, columns = grid(candidates, queries, 6)
+        assert 1 <= rows <= candidates and 1 <= columns <= queries and rows * columns <= 2 * MOST_CELLS
+    rows, columns = grid(10**6, 40_000, 6)
+    assert columns * 10**6 + rows * 40_000 < 30 * 10**6  # copies of blocks, where a column of groups alone would make 160 million
+
+
 def test_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
