@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adjudica.llm import langid, packing, quality, secrets, simhash
-from adjudica.llm.common import discard, few, scratch, staged, table
+from adjudica.llm.common import dealt, discard, few, scratch, staged, table
 from adjudica.llm.queries import remainder, tokenizer
 
 
@@ -55,14 +55,15 @@ def _held(ids: DataFrame, rows: int) -> tuple[DataFrame, int]:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates, in one row even if its row is repeated.
+    """The document of the smallest id of each group of near-duplicates (a similarity of about 0.8 or more of shingles of five words), in one row
+    even if its row is repeated.
 
     Rows without an id, which no group can name, stay. Null and empty texts are near-duplicates of one another. Of rows that repeat an id the
     first by text and then by the other columns stays. An empty table stays empty; columns stay as they are. Ids of what goes and
     of repeated rows are found first, from ids and fingerprints alone, so texts are shuffled only beyond BROADCAST_IDS of them.
     """
     named = docs.filter("doc_id is not null")
-    found = simhash.near_duplicates(docs).filter("doc_id is not null")
+    found = simhash.near_duplicates(docs, simhash.SIMILAR).filter("doc_id is not null")
     by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     marks, path = staged(few(by_id.filter("doc_id <> component_id or n > 1"), docs.count()), "marked")
     rows = marks.count()
@@ -112,7 +113,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents that the stages keep; each stage's rows are written and read again."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before = dealt(table(spark, sf_dir, "documents")), None
     for name, stage in STAGES[:-1]:
         with scratch(spark) as made:
             docs, path = staged(stage(spark, docs, sf_dir), name)
