@@ -13,9 +13,6 @@ from ..functions.text import lexicon_lookup, repaired
 from ..kernels.lexicon import MIN_REPAIR_CHARS, Lexicon
 from ..kernels.text import BASIC_SKELETONS
 
-#: Rows of a side that may be broadcast: checked before each use.
-BROADCAST_ROWS = 1_000_000
-
 
 def hits(docs: DataFrame, key: str, text: str, lexicon: Lexicon, skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
     """(doc, term, tag, start, end, span, kind, edits, penalty): the hits of each text's scan from left to right; null and refused texts have none."""

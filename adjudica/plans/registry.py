@@ -220,7 +220,7 @@ CUES = [
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): conversations' turns, each after a cue."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = dealt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     cue = F.element_at(F.array(*map(F.lit, CUES)), (F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(len(CUES))) + 1).cast("int"))
     return turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(cue, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
@@ -232,7 +232,7 @@ def _digest(rows, order: str = "pos"):
 
 @query
 def canonical_turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", t.canonical(F.col("text")).alias("canonical"))
+    return dealt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", t.canonical(F.col("text")).alias("canonical"))
 
 
 def _summarised(docs: DataFrame, key: str, collapse: bool) -> DataFrame:

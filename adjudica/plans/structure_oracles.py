@@ -63,6 +63,45 @@ def _chains(tag: str, signature: str) -> str:
     cast(count(distinct colour) as integer) as classes, cast(3 as integer) as rounds from k3 group by g"""
 
 
+#: Fixed values of BLAKE3: the initial words and the order in which a round takes the words of the last one's message.
+BLAKE3_IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
+BLAKE3_ORDER = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
+
+
+def _blake3(source: str, keep: str) -> str:
+    """CTEs from a query *source* (*keep*, data: at most 64 bytes) to digest (*keep*, h0 to h7): BLAKE3 of one block, a half round a CTE."""
+    word = lambda i: "cast('0x' || " + " || ".join(f"substr(h, {8 * i + k}, 2)" for k in (7, 5, 3, 1)) + " as bigint)"
+    turned = lambda x, n: f"(({x} >> {n}) | (({x} << {32 - n}) & 4294967295))"
+    # start, end and root of the tree at once
+    start = [*BLAKE3_IV, *BLAKE3_IV[:4], 0, 0, "octet_length(data)", 1 + 2 + 8]
+    out = [
+        f"padded as (select {keep}, data, rpad(lower(hex(data)), 128, '0') as h from ({source}))",
+        f"q0 as (select {keep}, {', '.join(f'{word(i)} as m{i}' for i in range(16))}, {', '.join(f'cast({x} as bigint) as v{i}' for i, x in enumerate(start))} from padded)",
+    ]
+    order, held = list(range(16)), ", ".join(f"m{i}" for i in range(16))
+    for half in range(14):
+        lanes = [(i, 4 + (i + s) % 4, 8 + (i + 2 * s) % 4, 12 + (i + 3 * s) % 4) for s in [half % 2] for i in range(4)]
+        cells: list[str] = []
+        for k, (a, b, c, d) in enumerate(lanes):
+            x, y = (order[8 * (half % 2) + 2 * k + j] for j in (0, 1))
+            cells += [
+                f"(v{a} + v{b} + m{x}) & 4294967295 as a{k}", f"{turned(f'xor(v{d}, a{k})', 16)} as d{k}", f"(v{c} + d{k}) & 4294967295 as c{k}", f"{turned(f'xor(v{b}, c{k})', 12)} as b{k}",
+                f"(a{k} + b{k} + m{y}) & 4294967295 as w{a}", f"{turned(f'xor(d{k}, w{a})', 8)} as w{d}", f"(c{k} + w{d}) & 4294967295 as w{c}", f"{turned(f'xor(b{k}, w{c})', 7)} as w{b}",
+            ]
+        out.append(f"p{half + 1} as (select {keep}, {held}, {', '.join(f'v{i}' for i in range(16))}, {', '.join(cells)} from q{half})")
+        out.append(f"q{half + 1} as (select {keep}, {held}, {', '.join(f'w{i} as v{i}' for i in range(16))} from p{half + 1})")
+        if half % 2:
+            order = [order[i] for i in BLAKE3_ORDER]
+    out.append(f"digest as (select {keep}, {', '.join(f'xor(v{i}, v{i + 8}) as h{i}' for i in range(8))} from q14)")
+    return ", ".join(out)
+
+
+def _node_labels() -> str:
+    part = lambda x: f"lpad(lower(hex(strlen({x}))), 2, '0') || '00000000000000' || lower(hex(encode({x})))"
+    source = f"select n_nationkey, unhex('{b'pua-graph/label/1'.hex()}' || {part(chr(39) + 'nation' + chr(39))} || {part('n_name')}) as data from nation"
+    return f"with {_blake3(source, 'n_nationkey')} select n_nationkey, {oracles.SIGNED.format(x='(cast(h1 as uhugeint) * cast(4294967296 as uhugeint) + cast(h0 as uhugeint))')} as label from digest"
+
+
 WL_SIGNATURE = """select g, p, count(*) as m, string_agg('00' || '0000000000000000' || way || colour, '' order by way, colour) as around from (
     select a.g, a.p, '01' as way, b.colour from {c} a join {c} b on a.g = b.g and b.p = a.p + 1 union all select a.g, a.p, '02', b.colour from {c} a join {c} b on a.g = b.g and b.p = a.p - 1) group by g, p"""
 SPD_SIGNATURE = """select g, p, count(*) as m, string_agg(lpad(lower(hex(far)), 2, '0') || '000000' || colour, '' order by far, colour) as around from (
@@ -138,6 +177,7 @@ with {NODES}, {ADJACENT}, {_hashed_rounds(2)}, sizes as (select colour, count(*)
 total as (select count(*) as classes, cast(sum(n) as bigint) as nodes, {_summed('h')} from (select n, sha256(colour || ':' || n) as h from sizes))
 select classes, nodes, sha256(concat_ws(',', classes, nodes, {SUMS})) as fingerprint from total""",
         "wl_stable_classes": f'with {NODES}, {ADJACENT}, {_rounds(6)} select "class", count(*) as n from (select min(v) over (partition by colour) as "class" from c6) group by "class"',
+        "node_labels": _node_labels(),
         "wl_fingerprints": _chains("wl-v1", WL_SIGNATURE),
         "spd_wl_fingerprints": _chains("spd-wl-v1", SPD_SIGNATURE),
     }

@@ -49,6 +49,18 @@ def test_arbitration_equals_kernel(spark):
         assert (r.urges, r.dominant, r.persisted, r.bonus, r.winner_drive) == (e["urges"], e["dominant"], e["persisted"], e["bonus"], e["winner_drive"])
 
 
+def test_arbitration_refuses_what_does_not_fit(spark):
+    rows = spark.createDataFrame([([900, 100], 0)], "scores array<int>, held int")
+    with pytest.raises(kd.ArbitrationError):
+        decide.arbitrate(rows, [800, 900], [[1000, 200]])
+    with pytest.raises(kd.ArbitrationError):
+        decide.arbitrate(rows, [800, 900], [[1000, 200], [1, 2]], drives=["a", "a"])
+    with pytest.raises(Exception, match="question mismatch"):
+        decide.arbitrate(rows, [800], [[1000, 200, 5]]).collect()
+    with pytest.raises(Exception, match="option out of range: 7"):
+        decide.arbitrate(rows.withColumn("held", F.lit(7)), [800], [[1000, 200]], "held").collect()
+
+
 def test_options(spark):
     with pytest.raises(Exception, match="duplicate candidate"):
         decide.candidate_options(spark.createDataFrame([("q", "a"), ("q", "a")], "q string, candidate string"), ["q"]).collect()
