@@ -51,7 +51,7 @@ class WordBpe:
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         # words are chunks of themselves, so one memo serves both
         self.counts = Memo(self._count_chunk)
-        self.ids = Memo(self._ids_of_chunk)
+        self.ids = Memo(self._ids_of_chunk, limit=64 << 20)
 
     @staticmethod
     def _check(spec: dict) -> None:
