@@ -93,9 +93,9 @@ class PieceModel:
         else:
             self._chunk = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
         self._fit = Memo(self._fits)
-        self._segments = Memo(self._encode_segment)
+        self._segments = Memo(self._encode_segment, limit=32 << 20)
         self._chunks = Memo(self._encode_chunk)
-        self._shown = Memo(self._show_chunk, weigh=lambda x: 72 + sum(map(sys.getsizeof, x[1:])))
+        self._shown = Memo(self._show_chunk, limit=128 << 20, weigh=lambda x: 72 + sum(map(sys.getsizeof, x[1:])))
 
     def remerge(self, text: str) -> list[str]:
         """What merging alone gives: the best-scored pair first, of equals the leftmost."""
