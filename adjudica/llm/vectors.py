@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-
 BLOCK = "dim int, block string, n int, ids binary, data binary"
 
 
@@ -102,9 +100,3 @@ def meet(queries: DataFrame, candidates: DataFrame, score: Callable[..., Iterato
                 yield from score(dict(zip(names, (rows.column(j)[i].as_py() for j in range(len(names))))))
 
     return pairs.mapInArrow(scored, schema)
-
-
-def blocks_of(df: DataFrame, size: int, label: str) -> tuple[DataFrame, int]:
-    """Staged candidate blocks and how many there are."""
-    out, _ = staged(packed(df, size), label)
-    return out, out.count()

@@ -1,11 +1,14 @@
 """Exact and approximate search against brute force."""
 
 import math
+import pathlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from adjudica.llm.common import shared_dir
 from adjudica.llm.permutation import nearest
-from adjudica.llm.topk import top_k
+from adjudica.llm.topk import HELD_BYTES, cells_of, top_k
 from adjudica.llm.vectors import MOST_CELLS, grid
 
 
@@ -45,6 +48,30 @@ def test_exact(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_exact_search_moves_small_rows(spark):
+    # Arrow batches are counted in rows: rows of megabytes took an executor's memory on larger tables
+    draw = np.random.default_rng(5)
+    v = np.round(draw.normal(size=(9000, 32)), 1)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>").coalesce(1)
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("adjudica-candidates-*"))
+    found = sorted(map(tuple, top_k(df, every=100).collect()))
+    (made,) = set(folder.glob("adjudica-candidates-*")) - before
+    assert spark.read.parquet(str(made)).agg(F.max(F.octet_length("data"))).first()[0] <= 8192
+    w = np.floor(256 * v.astype(np.float32).astype(float)).astype(np.int64)
+    for q in range(0, 9000, 100):
+        s = w @ w[q]
+        order = [i for i in np.lexsort((np.arange(9000), -s)).tolist() if i != q][:5]
+        assert found[q // 20 : q // 20 + 5] == [(q, r + 1, i, int(s[i])) for r, i in enumerate(order)]
+
+
+def test_cells_of():
+    for candidates, queries, dim in [(1, 1, 8), (51_000, 1000, 64), (615_000, 12_300, 64), (10**7, 2 * 10**5, 768), (10, 900, 3)]:
+        rows, columns = cells_of(candidates, queries, dim, 6)
+        assert 1 <= rows <= candidates and columns >= 1 and -(-queries // columns) * dim * 8 <= HELD_BYTES + 8 * dim
+        assert rows * queries <= max(12 * queries, columns * candidates)  # queries aren't copied more often than candidates
+
+
 def test_exact_beyond_doubles(spark):
     rows = [(0, [3.0e6, 1.0e6]), (1, [2.9e6, 5.0]), (2, [2.9e6, 6.0]), (3, [-3.0e6, 0.5])]
     found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
