@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,26 +73,60 @@ def _protected(n: kernel.Normalized, at) -> list[tuple]:
     return [(k, at[a], at[b], s) for k, a, b, s in n.protected]
 
 
+def _slices(texts: pa.Array, most: int = 1 << 18) -> Iterator[pa.Array]:
+    """Neighbouring texts of about *most* bytes together, or one longer text: a batch has up to 10,000 texts, whose tokens would take hundreds of
+    times the memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield texts.slice(first, stop - first)
+        first = stop
+
+
+def _token_lists() -> _Lists:
+    return _Lists(pos=_INT, text=_STR, start=_INT, end=_INT, span=_SPAN_TYPE, zone=_STR, sentence=_INT, confusable=_STR, skeleton=_STR)
+
+
+def _listed(n: kernel.Normalized, at) -> list[tuple]:
+    return [(i, x.text, at[x.start], at[x.end], x.span, x.zone, x.sentence, x.confusable, x.skeleton) for i, x in enumerate(n.tokens)]
+
+
 def normalized(text: Column, config: kernel.Config = kernel.Config(), skeletons: dict[str, str] = kernel.BASIC_SKELETONS) -> Column:
     """Canonical text with protected spans and tokens; offsets are canonical bytes, spans bytes of the original."""
 
     @F.arrow_udf(NORMALIZED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in (x for batch in batches for x in _slices(batch)):
             whole: list[tuple] = []
             spans = _Lists(kind=_STR, start=_INT, end=_INT, span=_SPAN_TYPE)
-            tokens = _Lists(pos=_INT, text=_STR, start=_INT, end=_INT, span=_SPAN_TYPE, zone=_STR, sentence=_INT, confusable=_STR, skeleton=_STR)
+            tokens = _token_lists()
             for refused, n in _normalized(texts.to_pylist(), config, skeletons):
                 whole.append((refused, n and n.canonical, n and n.sentences))
                 at = kernel.byte_offsets(n.canonical) if n else ()
                 spans.add(n and _protected(n, at))
-                tokens.add(n and [(i, x.text, at[x.start], at[x.end], x.span, x.zone, x.sentence, x.confusable, x.skeleton) for i, x in enumerate(n.tokens)])
+                tokens.add(n and _listed(n, at))
             refused, canonical, sentences = zip(*whole) if whole else ((), (), ())
             yield _struct(refused=pa.array(refused, _BOOL), canonical=pa.array(canonical, _STR), sentences=pa.array(sentences, _INT), protected=spans.array(), tokens=tokens.array())
 
     return run(text)
 
 
+def tokenized(text: Column, config: kernel.Config = kernel.Config(), skeletons: dict[str, str] = kernel.BASIC_SKELETONS) -> Column:
+    """Only the tokens of :func:`normalized`; null where the text is refused."""
+
+    @F.arrow_udf(f"array<{TOKEN}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in (x for batch in batches for x in _slices(batch)):
+            tokens = _token_lists()
+            for _, n in _normalized(texts.to_pylist(), config, skeletons):
+                tokens.add(n and _listed(n, kernel.byte_offsets(n.canonical)))
+            yield tokens.array()
+
+    # else a filter on the tokens, such as explode brings along, has them made twice
+    return run.asNondeterministic()(text)
+
+
 def summary(text: Column, config: kernel.Config = kernel.Config()) -> Column:
     """Canonical text, protected spans, and how many sentences and tokens there are: no token is made."""
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized
+from ..functions.text import tokenized
 from ..kernels.text import BASIC_SKELETONS, Config
 
 
+def token_lists(docs: DataFrame, key: str, text: str, config: Config = Config(), skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
+    """(doc, tokens): the tokens of each row's canonical text as an array, in order; null where there is no text or it is refused."""
+    return docs.select(F.col(key).alias("doc"), tokenized(F.col(text), config, skeletons).alias("tokens"))
+
+
 def all_tokens(docs: DataFrame, key: str, text: str, config: Config = Config(), skeletons: dict[str, str] = BASIC_SKELETONS) -> DataFrame:
     """(doc, pos, word, start, end, span, zone, sentence, confusable, skeleton): every token of canonical texts, in protected spans too."""
-    made = docs.select(F.col(key).alias("doc"), normalized(F.col(text), config, skeletons).alias("n"))
-    each = made.select("doc", F.explode("n.tokens").alias("t"))
+    each = token_lists(docs, key, text, config, skeletons).select("doc", F.explode("tokens").alias("t"))
     return each.select("doc", "t.pos", F.col("t.text").alias("word"), "t.start", "t.end", "t.span", "t.zone", "t.sentence", "t.confusable", "t.skeleton")
 
 

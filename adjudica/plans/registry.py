@@ -7,7 +7,7 @@ import json
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decisions as d
@@ -288,10 +288,26 @@ def protected_urls(spark, sf_dir):
     return n.select("page_id", F.transform("n.protected", lambda p: p["kind"])[0].alias("kind"), F.size("n.protected").alias("n"))
 
 
+def _token_row(x) -> Column:
+    marks = (F.coalesce(x[c], F.lit("-")) for c in ("zone", "confusable", "skeleton"))
+    return F.concat_ws(" ", x["pos"], x["text"], x["span"]["start"], x["span"]["end"], F.when(x["zone"].isNull(), x["sentence"]), *marks)
+
+
 def _token_digests(docs: DataFrame, skeletons: dict[str, str], key: str) -> DataFrame:
-    each = tokens.all_tokens(dealt(docs), key, "text", Config(punct="collapse"), skeletons)
-    row = F.concat_ws(" ", "pos", "word", "span.start", "span.end", F.when(F.col("zone").isNull(), F.col("sentence")), F.coalesce("zone", F.lit("-")), F.coalesce("confusable", F.lit("-")), F.coalesce("skeleton", F.lit("-")))
-    return each.groupBy("doc").agg(F.count("*").alias("n"), F.count("zone").alias("zoned"), F.count("confusable").alias("confusable"), _digest(row).alias("tokens_sha256"))
+    """A row's tokens are put together where its text lies; only rows whose key repeats are gathered by it."""
+    config = Config(punct="collapse")
+    repeated = docs.groupBy(F.col(key).alias("again")).count().filter("count > 1").select("again")
+    some = not repeated.isEmpty()
+    again = F.col(key).eqNullSafe(F.col("again"))
+    single = docs.join(repeated, again, "left_anti") if some else docs
+    made = tokens.token_lists(dealt(single), key, "text", config, skeletons).filter(F.size("tokens") > 0)
+    known = lambda c: F.size(F.filter("tokens", lambda x: x[c].isNotNull())).cast("long").alias(c)
+    digest = F.sha2(F.array_join(F.transform("tokens", _token_row), "\n"), 256)
+    found = made.select("doc", F.size("tokens").cast("long").alias("n"), known("zone").alias("zoned"), known("confusable"), digest.alias("tokens_sha256"))
+    if not some:
+        return found
+    t = tokens.token_lists(docs.join(repeated, again, "left_semi"), key, "text", config, skeletons).select("doc", F.explode("tokens").alias("t")).select("doc", "t.*", _token_row(F.col("t")).alias("said"))
+    return found.unionByName(t.groupBy("doc").agg(F.count("*").alias("n"), F.count("zone").alias("zoned"), F.count("confusable").alias("confusable"), _digest(F.col("said")).alias("tokens_sha256")))
 
 
 @query
