@@ -84,12 +84,13 @@ def _slices(texts: pa.Array, most: int = 1 << 18) -> Iterator[pa.Array]:
         first = stop
 
 
-def _token_lists() -> _Lists:
-    return _Lists(pos=_INT, text=_STR, start=_INT, end=_INT, span=_SPAN_TYPE, zone=_STR, sentence=_INT, confusable=_STR, skeleton=_STR)
-
-
-def _listed(n: kernel.Normalized, at) -> list[tuple]:
-    return [(i, x.text, at[x.start], at[x.end], x.span, x.zone, x.sentence, x.confusable, x.skeleton) for i, x in enumerate(n.tokens)]
+def _numbered(n: kernel.Normalized | None, numbers: list[np.ndarray]) -> tuple[list, ...]:
+    """Words, zones and look-alikes of a text; its numbers go to *numbers*."""
+    if n is None:
+        return ()
+    made, *rest = kernel.token_columns(n)
+    numbers.append(made)
+    return tuple(rest)
 
 
 def normalized(text: Column, config: kernel.Config = kernel.Config(), skeletons: dict[str, str] = kernel.BASIC_SKELETONS) -> Column:
@@ -100,12 +101,12 @@ def normalized(text: Column, config: kernel.Config = kernel.Config(), skeletons:
         for texts in (x for batch in batches for x in _slices(batch)):
             whole: list[tuple] = []
             spans = _Lists(kind=_STR, start=_INT, end=_INT, span=_SPAN_TYPE)
-            tokens = _token_lists()
+            tokens = _Lists(pos=_INT, text=_STR, start=_INT, end=_INT, span=_SPAN_TYPE, zone=_STR, sentence=_INT, confusable=_STR, skeleton=_STR)
             for refused, n in _normalized(texts.to_pylist(), config, skeletons):
                 whole.append((refused, n and n.canonical, n and n.sentences))
                 at = kernel.byte_offsets(n.canonical) if n else ()
                 spans.add(n and _protected(n, at))
-                tokens.add(n and _listed(n, at))
+                tokens.add(n and [(i, x.text, at[x.start], at[x.end], x.span, x.zone, x.sentence, x.confusable, x.skeleton) for i, x in enumerate(n.tokens)])
             refused, canonical, sentences = zip(*whole) if whole else ((), (), ())
             yield _struct(refused=pa.array(refused, _BOOL), canonical=pa.array(canonical, _STR), sentences=pa.array(sentences, _INT), protected=spans.array(), tokens=tokens.array())
 
@@ -118,10 +119,16 @@ def tokenized(text: Column, config: kernel.Config = kernel.Config(), skeletons:
     @F.arrow_udf(f"array<{TOKEN}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in (x for batch in batches for x in _slices(batch)):
-            tokens = _token_lists()
+            numbers, offsets, words, zones, alike = [np.zeros((6, 0), dtype=np.int64)], [], [], [], []
             for _, n in _normalized(texts.to_pylist(), config, skeletons):
-                tokens.add(n and _listed(n, kernel.byte_offsets(n.canonical)))
-            yield tokens.array()
+                offsets.append(None if n is None else len(words))
+                for held, more in zip((words, zones, alike), _numbered(n, numbers)):
+                    held.extend(more)
+            pos, start, end, first, last, sentence = (pa.array(c, _INT) for c in np.concatenate(numbers, axis=1).astype(np.int32))
+            span = pa.StructArray.from_arrays([first, last], fields=[*_SPAN_TYPE])
+            confusable, skeleton = (pa.array([x[i] for x in alike], _STR) for i in (0, 1))
+            items = _struct(pos=pos, text=pa.array(words, _STR), start=start, end=end, span=span, zone=pa.array(zones, _STR), sentence=sentence, confusable=confusable, skeleton=skeleton)
+            yield pa.ListArray.from_arrays(pa.array([*offsets, len(words)], _INT), items)
 
     # else a filter on the tokens, such as explode brings along, has them made twice
     return run.asNondeterministic()(text)

@@ -15,7 +15,7 @@ from adjudica.kernels import graph as g
 from adjudica.kernels.classifier import ReplayError, canonical_json, diff, input_hash, journal_line, lexicon_spec, read_line, render_trail, rules_spec
 from adjudica.kernels.lexicon import Entry, Lexicon, SpecError, adjacent_keys, deletes, overlap, repair_cost
 from adjudica.kernels.rules import Rule, RuleClass, RuleSet
-from adjudica.kernels.text import _BOUND, MAX_INPUT_BYTES, Config, TooLong, normalize, protected_spans, word_places
+from adjudica.kernels.text import _BOUND, MAX_INPUT_BYTES, Config, TooLong, byte_offsets, normalize, protected_spans, token_columns, word_places
 from adjudica.plans import delivery, recorded
 
 
@@ -358,3 +358,12 @@ def test_relabelling_changes_nothing(n, data):
     random.Random(1).shuffle(renamed)
     for f in (g.wl_refine, g.spd_wl_refine):
         assert f(graph(n, edges, labels), 2, "sha2_256").fingerprint() == f(graph(n, renamed, moved), 2, "sha2_256").fingerprint()
+
+
+@pytest.mark.parametrize("text", ["", " ", "...", "st\u03bfp the build __ a_b _", "d\u043en't cancel, halt", "see https://a.b/c?x=stop, rather. \u00e9t\u00e9! Yes", "```\nstop\n``` next. ok", "e\u0301tat: \u201cstop\u201d \U0001f600 x.  v1.2.3"])
+def test_token_columns_equal_tokens(text):
+    n = normalize(text, Config(punct="collapse"))
+    at = byte_offsets(n.canonical)
+    numbers, *rest = token_columns(n)
+    found = [(i, s, e, (f, t), z, *x) for (i, s, e, f, t, z), *x in zip(numbers.T.tolist(), *rest)]
+    assert found == [(i, at[t.start], at[t.end], t.span, t.sentence, t.text, t.zone, (t.confusable, t.skeleton)) for i, t in enumerate(n.tokens)]
