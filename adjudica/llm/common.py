@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def few(df: DataFrame, rows: int, each: int = 50_000, least: int = 6) -> DataFrame:
+def few(df: DataFrame, rows: int, each: int = 50_000, least: int = 1) -> DataFrame:
     """*df* of about *rows* rows in no more parts than make *each* rows a part (*least* parts at least): for small tables that many
-    shuffle partitions would write as as many tiny files. A large table keeps its parts."""
+    shuffle partitions would write as as many tiny files, for each of which Hadoop's local file system starts several processes. A large
+    table keeps its parts."""
     return df.coalesce(max(least, -(-rows // each)))
 
 

@@ -26,8 +26,8 @@ def _starred(links: DataFrame, both: bool, rows: int) -> tuple[DataFrame, str]:
     return made.filter("a <> b").distinct(), path
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node of *links* (a, b: long, either order) reaches.
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, component): the least node that each node of *links* (a, b: long, either order; about *rows*, if that is known) reaches.
 
     Nodes without a link to another node have no row. Every step's links are written to the shared
     folder, and steps go on until one changes nothing; nothing is gathered on the driver but a count and
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    now, path = staged(pairs, "links")
+    now, path = staged(pairs if rows is None else few(pairs, rows), "links")
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_000_007))).first()

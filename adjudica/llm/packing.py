@@ -114,6 +114,11 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: boo
     return docs.select(F.col(key), once(F.col(text)).alias("_p")).select(key, F.inline("_p"))
 
 
+def table_of(runs: list[tuple[int, int, int, int, int, int]]) -> pa.Table:
+    columns = zip(*runs) if runs else [()] * 6
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["_length", "_from", "_to", "_first", "_offset", "_each"])
+
+
 def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: bool = False, shards: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset, and with *keep* ids.
 
@@ -122,17 +127,19 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0, keep: bool
     """
     spark = docs.sparkSession
     made, _ = staged(pieces(docs, path, size, end, keep, text, key).withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    shards = shards or max(256, made.count() // 50_000)
+    rows = made.count()
+    shards = shards or max(256, rows // 50_000)
     made = made.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
-    counts, _ = staged(few(made.groupBy("length", "_shard").agg(F.count("*").alias("n")), size * shards), "lengths")
+    counts, _ = staged(few(made.groupBy("length", "_shard").agg(F.count("*").alias("n")), min(rows, size * shards)), "lengths")
     ahead = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_base"))
     lengths = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = spark.createDataFrame(plan(lengths, size), "_length long, _from long, _to long, _first long, _offset long, _each long")
+    # an Arrow table gets to the JVM as it is; rows would start workers of another kind, which stay
+    runs = spark.createDataFrame(table_of(plan(lengths, size)))
     within = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("_row")) - 1
     ranked = made.withColumn("_within", within).join(bases, ["length", "_shard"]).withColumn("_rank", F.col("_base") + F.col("_within"))
     # the plan is bounded by the number of lengths, not of documents
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
     sequence, offset = F.expr("_first + (_rank - _from) div _each"), F.col("_offset") + nth % F.col("_each") * F.col("length")
-    return few(placed, made.count()).select(key, "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"), *(["ids"] if keep else []))
+    return few(placed, rows).select(key, "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"), *(["ids"] if keep else []))

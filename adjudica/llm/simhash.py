@@ -84,18 +84,20 @@ SIMILAR = Rule(width=1, most=4, distinct=True, beside=(5, 13))
 
 
 def fingerprints(docs: DataFrame, rule: Rule = Rule(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) and, with rule.beside, fp2: fingerprints as signed longs."""
+    """(doc_id, fp) and, with rule.beside, fp2: fingerprints as signed longs.
 
-    def made(width: int, distinct: bool):
-        @F.arrow_udf("long")
-        def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                yield pa.array(np.array([fingerprint(t.as_py(), width, distinct) for t in texts], dtype=np.uint64).view(np.int64))
+    One function makes both: of two with iterators each would get the texts in a worker of its own.
+    """
+    kinds = [(rule.width, rule.distinct), *([(rule.beside[0], False)] if rule.beside else [])]
 
-        return marked(F.col(text))
+    @F.arrow_udf(f"struct<{','.join(f'{m}:bigint' for m in rule.marks)}>")
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            made = np.array([[fingerprint(t, *kind) for kind in kinds] for t in (x.as_py() for x in texts)], dtype=np.uint64).reshape(-1, len(kinds))
+            yield pa.StructArray.from_arrays([pa.array(m) for m in made.view(np.int64).T.copy()], names=rule.marks)
 
-    second = [made(rule.beside[0], False).alias("fp2")] if rule.beside else []
-    return docs.select(F.col(key).alias("doc_id"), made(rule.width, rule.distinct).alias("fp"), *second)
+    made = docs.select(F.col(key).alias("doc_id"), marked(F.col(text)).alias("_marks"))
+    return made.select("doc_id", *(F.col(f"_marks.{m}").alias(m) for m in rule.marks))
 
 
 @lru_cache
@@ -271,7 +273,7 @@ def _met(firsts: DataFrame, code: tuple | None, limit: int | None, rule: Rule, r
     named = ["first", *rule.marks]
     posted = firsts.select(named).mapInArrow(post, ", ".join(f"{c} long" for c in ["anchor", *named]))
     compared = posted.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, ", ".join(f"{c} long" for c in ["a", "b", *(f"passed_{m}" for m in rule.marks)]))
-    return staged(few(compared, 61 * rows, 200_000), "met")[0]
+    return staged(few(compared, 61 * rows, 200_000, 6), "met")[0]
 
 
 def links(firsts: DataFrame, rule: Rule = Rule(), limit: int = 50_000) -> DataFrame:
@@ -290,7 +292,7 @@ def links(firsts: DataFrame, rule: Rule = Rule(), limit: int = 50_000) -> DataFr
         rest = met.filter("passed_fp is not null").select(F.col("a").alias("first"), *(F.col(f"passed_{m}").alias(m) for m in rule.marks)).distinct()
         if code is None or rest.isEmpty():
             return found
-        rest, _ = staged(rest, "dense")
+        rest, _ = staged(few(rest, rows), "dense")
         rows = rest.count()
     return found
 
@@ -312,7 +314,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", ke
         found = links(firsts, rule)
         several = named.groupBy("doc_id").agg(F.min(F.struct(*kinds)).alias("x"), F.max(F.struct(*kinds)).alias("y")).filter("x <> y").select("doc_id")
         same = named.join(several, "doc_id", "left_semi").join(firsts, kinds).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        reached = components(found.unionAll(same))
+        reached = components(found.unionAll(same), rows)
         classes = firsts.join(reached, F.col("first") == F.col("node"), "left").select(*kinds, F.coalesce("component", "first").alias("component_id"))
         by_fp, kept = staged(few(classes, rows), "classes")
         made.remove(kept)  # the result reads this and the marks

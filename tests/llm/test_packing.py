@@ -84,6 +84,13 @@ def test_rows(spark):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in kept)
 
 
+def test_plan_starts_no_workers(spark):
+    """The plan gets to the JVM as an Arrow table; as rows it went through Python workers of their own, which stayed in the executors."""
+    leaves = packing.pack(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").coalesce(1), WORD)._jdf.queryExecution().analyzed().collectLeaves()
+    held = [leaves.apply(i) for i in range(leaves.size())]
+    assert len(held) == 3 and not any("PythonRDD" in x.rdd().toDebugString() for x in held if x.getClass().getSimpleName() == "LogicalRDD")
+
+
 def test_whole_table(spark):
     from adjudica.llm.queries import op8_packing
 

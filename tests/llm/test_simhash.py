@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs."""
 
+import pathlib
 import random
 import re
 
@@ -144,3 +145,42 @@ def test_similar_texts_are_found(spark):
     assert {found[a] // 3 for a in found if a % 3 == 1} <= set(range(300)) and all(found[a] // 3 == a // 3 for a in found)
     with pytest.raises(ValueError):
         simhash.Rule(most=5)
+
+
+def test_both_fingerprints_in_one_worker(spark):
+    """Texts go to one Python worker a task, however many kinds of fingerprints a rule has."""
+    docs = spark.createDataFrame([(1, "a B c d e f"), (2, None), (None, ""), (1, "x")], "doc_id long, text string")
+    made = simhash.fingerprints(docs, simhash.SIMILAR)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    assert [tuple(r) for r in made.collect()] == [(r.doc_id, signed(simhash.fingerprint(r.text, 1, True)), signed(simhash.fingerprint(r.text, 5))) for r in docs.collect()]
+    assert [tuple(r) for r in simhash.fingerprints(docs).collect()] == [(r.doc_id, signed(simhash.fingerprint(r.text))) for r in docs.collect()]
+
+
+def test_small_tables_go_to_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are: for each file that it writes, Hadoop's local file system starts several processes."""
+    from pyspark.sql import DataFrameWriter
+
+    files, write = {}, DataFrameWriter.parquet
+
+    def counted(self, path, *a, **b):
+        write(self, path, *a, **b)
+        files[re.sub(r"-\w+$", "", path.rsplit("/", 1)[1])] = len(list(pathlib.Path(path.removeprefix("file:")).glob("part-*")))
+
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [draw.choices(vocabulary, k=150) for _ in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*base[i % 200][:-1], str(i // 200)])) for i in range(800)], "doc_id long, text string").repartition(4)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.SIMILAR).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 800 and all(c % 200 == i % 200 for i, c in found.items()) and sum(i != c for i, c in found.items()) > 500
+    assert {"adjudica-links", "adjudica-least", "adjudica-large", "adjudica-firsts", "adjudica-classes"} < set(files)
+    assert all(n <= {"adjudica-marks": 4, "adjudica-met": 6}.get(name, 1) for name, n in files.items()), files
